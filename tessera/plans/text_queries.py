@@ -51,8 +51,8 @@ LINE = "role || ': ' || replace(text, chr(10), ' ')"
 
 
 @query(f"""WITH l AS (SELECT conv_id, turn, trim({LINE}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM conversations),
-    n AS (SELECT line, row_number() OVER (ORDER BY conv_id, turn, line) - 1 AS at FROM l WHERE line <> '')
-    SELECT CAST(at // 10 AS BIGINT) AS batch, string_agg(line || chr(10), '' ORDER BY at) AS content, CAST(count(*) AS INT) AS lines FROM n GROUP BY 1""")
+    n AS (SELECT line, row_number() OVER (ORDER BY conv_id, turn, line) - 1 AS pos FROM l WHERE line <> '')
+    SELECT CAST(pos // 10 AS BIGINT) AS batch, string_agg(line || chr(10), '' ORDER BY pos) AS content, CAST(count(*) AS INT) AS lines FROM n GROUP BY 1""")
 def conversation_batches(spark, sf):
     """All conversations as one export, ten lines to a batch."""
     rows = table(spark, sf, "conversations").withColumn("raw", F.concat("role", F.lit(": "), F.translate("text", "\n", " ")))
