@@ -41,7 +41,8 @@ def file_chunks(files: DataFrame, root: str | None, max_chunk: int = text.MAX_CH
 
 
 def stats(files: DataFrame) -> DataFrame:
-    """(files_processed, files_skipped, bytes) in one aggregate."""
+    """(files_processed, files_skipped, bytes) in one aggregate. The file reader lists neither hidden nor empty files, so only
+    frames from elsewhere count them as skipped."""
     keep = mined(F.col("path"), F.col("length"))
     return files.agg(F.count_if(keep).alias("files_processed"), F.count_if(~keep).alias("files_skipped"),
                      F.coalesce(F.sum(F.when(keep, F.col("length"))), F.lit(0)).cast("long").alias("bytes"))
