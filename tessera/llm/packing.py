@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,7 +23,9 @@ from tessera.llm.common import documents, materialise
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 #: Documents of a group, on average; entries that a worker keeps of encoded words and of stretches between spaces.
-GROUP_DOCUMENTS, KEEP_WORDS, KEEP_UNITS = 4096, 600_000, 300_000
+GROUP_DOCUMENTS, KEEP_WORDS, KEEP_UNITS = 4096, 300_000, 120_000
+#: Characters of the texts that are encoded together, about, and strings that the tokenizer is given at once.
+SLICE_CHARS, RAW = 1_000_000, 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -45,8 +49,10 @@ class WordEncoder:
         return head.lower(), tail
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in got]
+        out: list[bytes] = []
+        for at in range(0, len(texts), RAW):
+            out += [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + RAW], add_special_tokens=False)]
+        return out
 
     def _learn_words(self, new: list[str]) -> None:
         """Encode distinct words many at a time: each word's last id is the only one that ends a word."""
@@ -85,19 +91,31 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of a batch in runs of rows of about `chars` characters, one row at least; only a run is held as strings."""
+    size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(size) - size) // chars
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            part = batch.slice(lo, hi - lo)
+            yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
+
+
 def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
     """PIECES of every row: full ones and the rest, which is never empty as END_ID ends each document."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for lo in range(0, len(f), 2000):
-                part = f.iloc[lo : lo + 2000]
-                for doc, ids in zip(part["doc_id"], encoder(path).encode([t or "" for t in part["text"]])):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, texts in slices(batch, SLICE_CHARS):
+                out = []
+                for doc, ids in zip(docs, encoder(path).encode(texts)):
                     ids = np.append(ids, END_ID).astype("<u4")
                     out += [(doc, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes()), len(ids)) for at in range(0, len(ids), capacity)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 class Tournament:
