@@ -86,7 +86,8 @@ def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id of edges; component is the smallest id reachable, the id itself included.
 
-    Each round hands the smallest label over every edge, then follows the label's own label (pointer jumping).
+    Each round hands the labels that moved in the round before over every edge, then follows the label's own label
+    (pointer jumping). A label that didn't move was handed over when it did, so the join carries only what is new.
     Minima are partial aggregates and joins are on tables without a partitioning, so a hub may hold any share
     of the edges. Rounds end when no label moves; each round's table goes to the shared folder.
     """
@@ -94,17 +95,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialise(pair.union(pair.select("v", "u")).distinct(), "edges")
     label = materialise(
         both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
-        .select("id", F.least("id", "m").alias("component")), "labels",
+        .select("id", F.least("id", "m").alias("component"), (F.col("m") < F.col("id")).alias("moved")), "labels",
     )
     while True:
-        told = both.join(label, both.u == label.id).select(F.col("v").alias("id"), "component")
+        news = label.where("moved").select("id", "component")
+        told = both.join(news, both.u == news.id).select(F.col("v").alias("id"), "component", F.lit(None).cast("long").alias("was"))
         low = materialise(
-            told.union(label).groupBy("id").agg(F.min("component").alias("component")), "labels")
+            told.union(label.select("id", "component", F.col("component").alias("was"))).groupBy("id")
+            .agg(F.min("component").alias("component"), F.max("was").alias("was")), "labels")
         up = low.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        jumped = materialise(
-            low.join(up, "component").select("id", F.least("component", "top").alias("component")), "labels")
-        old = label.select("id", F.col("component").alias("was"))
-        moved = jumped.join(old, "id").where("component <> was").limit(1).count()
-        label = jumped
-        if not moved:
-            return label
+        label = materialise(
+            low.join(up, "component").select("id", F.least("component", "top").alias("component"), (F.least("component", "top") < F.col("was")).alias("moved")), "labels")
+        if not label.where("moved").limit(1).count():
+            return label.select("id", "component")
