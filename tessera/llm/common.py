@@ -87,7 +87,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id of edges; component is the smallest id reachable, the id itself included.
 
     Each round hands the labels that moved in the round before over every edge, then follows the label's own label
-    (pointer jumping). A label that didn't move was handed over when it did, so the join carries only what is new.
+    (pointer jumping). Who hears of a smaller label tells its old label too, so that whole trees join at once and the
+    rounds grow with the logarithm of a chain. A label that didn't move was handed over when it did, so the join
+    carries only what is new.
     Minima are partial aggregates and joins are on tables without a partitioning, so a hub may hold any share
     of the edges. Rounds end when no label moves; each round's table goes to the shared folder.
     """
@@ -103,7 +105,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = materialise(
             told.union(label.select("id", "component", F.col("component").alias("was"))).groupBy("id")
             .agg(F.min("component").alias("component"), F.max("was").alias("was")), "labels")
-        up = low.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        heard = low.where("component < was").select(F.col("was").alias("component"), F.col("component").alias("top"))
+        up = low.select(F.col("id").alias("component"), F.col("component").alias("top")).union(heard).groupBy("component").agg(F.min("top").alias("top"))
         label = materialise(
             low.join(up, "component").select("id", F.least("component", "top").alias("component"), (F.least("component", "top") < F.col("was")).alias("moved")), "labels")
         if not label.where("moved").limit(1).count():
