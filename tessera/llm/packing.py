@@ -22,31 +22,33 @@ from tokenizers import Tokenizer
 from tessera.llm.common import documents, materialise
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
-#: Documents of a group, on average; entries that a worker keeps of encoded words and of stretches between spaces.
-GROUP_DOCUMENTS, KEEP_WORDS, KEEP_UNITS = 4096, 300_000, 120_000
+#: Documents of a group, on average; encoded words that a worker keeps.
+GROUP_DOCUMENTS, KEEP_WORDS = 4096, 400_000
 #: Characters of the texts that are encoded together, about, and strings that the tokenizer is given at once.
-SLICE_CHARS, RAW = 1_000_000, 1000
+SLICE_CHARS, RAW = 4_000_000, 1000
+#: Marks that the tokenizer sees as a token of their own behind a word; a stretch of letters with one of them or none.
+MARKS = ".,!?;:"
+SURE = rf"^\pL+[{MARKS}]?$"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def gather(pool: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool (run i has size[i] entries) that pick names, end to end, and the size of each."""
+    start, long = np.cumsum(size) - size, size[pick]
+    return pool[np.repeat(start[pick] - (np.cumsum(long) - long), long) + np.arange(long.sum())], long
+
+
 class WordEncoder:
-    """A tokenizer that drops white space and never joins across it: stretches between spaces are encoded once and kept."""
+    """A tokenizer that drops white space and never joins across it: the distinct stretches between spaces are encoded
+    once a slice of texts, and words are kept for later slices."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-
-    @staticmethod
-    def _split(unit: str) -> tuple[str, str] | None:
-        """(letters in lower case, one mark or none) where the tokenizer is sure to see exactly these; else None."""
-        head, tail = (unit[:-1], unit[-1]) if unit[-1:] in (".", ",", "!", "?", ";", ":") else (unit, "")
-        if not head.isalpha() or "Σ" in head or "İ" in head:
-            return None
-        return head.lower(), tail
+        self.marks = self._raw(list(MARKS))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -60,30 +62,42 @@ class WordEncoder:
             part = new[at : at + 4000]
             lines = [part[i : i + 200] for i in range(0, len(part), 200)]
             for line, coded in zip(lines, self._raw([" ".join(x) for x in lines])):
-                ids = np.frombuffer(coded, dtype="<u2")
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == len(line) and cuts[-1] == len(ids):
-                    self.words.update(zip(line, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                cuts = [0, *((np.flatnonzero(self.ends[np.frombuffer(coded, dtype="<u2")]) + 1) * 2).tolist()]
+                if len(cuts) == len(line) + 1 and cuts[-1] == len(coded):
+                    self.words.update(zip(line, [coded[lo:hi] for lo, hi in zip(cuts, cuts[1:])]))
                 else:
                     self.words.update(zip(line, self._raw(line)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        units = {u for us in cut for u in us}
-        new = units - self.units.keys()
-        if len(self.units) + len(new) > KEEP_UNITS:
-            new, self.units = units, {}
-        if len(self.words) > KEEP_WORDS:
-            self.words = {}
-        known = {u: self._split(u) for u in new}
-        self._learn_words(list({w for s in known.values() if s for w in s if w and w.isalpha()} - self.words.keys()))
-        marks = {m: c for m, c in zip(".,!?;:", self._raw(list(".,!?;:")))} | {"": b""}
-        rest = [u for u, s in known.items() if not s]
-        coded = dict(zip(rest, self._raw(rest)))
-        coded.update((u, self.words[s[0]] + marks[s[1]]) for u, s in known.items() if s)
-        self.units.update(coded)
-        at = self.units.__getitem__
-        return [np.frombuffer(b"".join(map(at, us)), dtype="<u2").astype("<u4") for us in cut]
+    def _coded_words(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > KEEP_WORDS:
+            new, self.words = words, {}
+        self._learn_words(new)
+        return list(map(self.words.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (no nulls)."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        places = cut.flatten().dictionary_encode()
+        units = places.dictionary
+        sure = pc.and_(pc.match_substring_regex(units, SURE), pc.invert(pc.match_substring_regex(units, "[\u03a3\u0130]")))
+        known = units.filter(sure)
+        mark = pc.index_in(pc.utf8_slice_codeunits(known, -1), pa.array(list(MARKS), known.type))
+        low = pc.utf8_lower(pc.utf8_rtrim(known, MARKS)).dictionary_encode()
+        rest = units.filter(pc.invert(sure)).to_pylist()
+        coded = [*self._coded_words(low.dictionary.to_pylist()), *self._raw(rest), *self.marks, b""]
+        pool, size = np.frombuffer(b"".join(coded), dtype="<u2"), np.array([len(c) // 2 for c in coded])
+        # the two runs of each unit: a word and its mark, or what is neither and nothing
+        none, first_rest = len(coded) - 1, len(low.dictionary)
+        runs = np.full((len(units), 2), none)
+        is_sure = sure.to_numpy(zero_copy_only=False)
+        runs[is_sure, 0] = low.indices.to_numpy(zero_copy_only=False)
+        runs[~is_sure, 0] = np.arange(len(rest)) + first_rest
+        runs[is_sure, 1] = pc.fill_null(pc.add(mark, first_rest + len(rest)), none).to_numpy(zero_copy_only=False)
+        pool, size = gather(pool, size, runs.ravel())
+        ids, size = gather(pool, size.reshape(-1, 2).sum(axis=1), places.indices.to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        return np.split(ids.astype("<u4"), np.append(0, np.cumsum(size))[ends[:-1]]) if len(ends) else []
 
 
 @lru_cache(maxsize=1)
@@ -91,15 +105,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts of a batch in runs of rows of about `chars` characters, one row at least; only a run is held as strings."""
+def slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list[int], pa.Array]]:
+    """Ids and texts of a batch in runs of rows of about `chars` characters, one row at least."""
     size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     run = (np.cumsum(size) - size) // chars
     cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
     for lo, hi in zip(cuts, cuts[1:]):
         if hi > lo:
             part = batch.slice(lo, hi - lo)
-            yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
+            yield part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "")
 
 
 def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import regex
@@ -114,9 +115,12 @@ def test_edges(awkward, nothing):
 
 
 def test_word_encoder_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(packing, "KEEP_UNITS", 3)
     monkeypatch.setattr(packing, "KEEP_WORDS", 3)
     enc, tok = packing.WordEncoder(P.path(packing.VOCABULARY)), Tokenizer.from_file(P.path(packing.VOCABULARY))
     for _ in range(2):
         for t in filter(None, TEXTS):
             assert enc.encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    odd = ["", "  a  b\n\nc", "Straße. İstanbul ΣΑΣ, σας don't x<|endoftext|>y ½ 漢字。 étude!\tco 12ab, ?!", ".", " \u0301x .a a..b", "Ǆ. ﬁn; 가", "ab?. ,"]
+    texts = pa.array(odd + list(filter(None, TEXTS)))
+    assert [x.tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert enc.encode(pa.array([], pa.string())) == []
