@@ -1,6 +1,6 @@
 """Operator 6, byte-level BPE encoding and decoding by merge replay.
 
-A block of documents (one Arrow batch) is cut into the distinct matches of the tokenizer's pattern. All of them
+A block of documents (rows of an Arrow batch) is cut into the distinct matches of the tokenizer's pattern. All of them
 lie in one flat array of symbols; an inverted index from a pair's rank to its positions is kept, merges are applied
 in rank order to all positions at once, and only the pairs next to a merge are looked up again. Documents are then
 put together from the results, which a worker keeps (up to a bound) for its later blocks.
@@ -17,6 +17,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Results that a worker keeps for later blocks at most, and characters of a match above which they aren't kept.
-KEEP, KEEP_CHARS = 300_000, 64
+#: Pieces that a worker keeps for later blocks at most, characters of a piece above which it isn't kept, characters of a block.
+KEEP, KEEP_CHARS, BLOCK_CHARS = 300_000, 64, 2_000_000
+#: Ids whose bytes are laid out at once for a digest.
+STEP = 500_000
+#: Texts that cut_texts leaves whole.
+ODD = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\x{0}\t\x{b}\x{c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NONE = np.int64(2**62)
 
 
@@ -50,8 +56,13 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (not empty)."""
+        ids, size = self.encode_flat(words)
+        return np.split(ids, np.cumsum(size)[:-1]) if words else []
+
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (not empty), end to end, and how many each has."""
         if not words:
-            return []
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         size = np.array([len(w) for w in words])
         end = np.cumsum(size)
         symbol = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -109,8 +120,12 @@ class MergeReplay:
             rank[left] = self.lookup(symbol[left], symbol[after[left]])
             add(np.concatenate([has, left]))
         kept = np.flatnonzero(alive[:n])
-        ids, cut = symbol[kept], np.searchsorted(kept, end)
-        return np.split(ids, cut[:-1])
+        return symbol[kept], np.diff(np.searchsorted(kept, end), prepend=0)
+
+    def decoder(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens by id, end to end, and how many each has; an id without a token has none."""
+        each = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        return np.frombuffer(b"".join(each), dtype=np.uint8), np.array([len(b) for b in each])
 
     @staticmethod
     def _leftmost(at: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -127,43 +142,86 @@ def replay(path: str) -> MergeReplay:
         return MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def pieces(text: str) -> list[str]:
-    """Cut text where no match of the pattern can reach across: before a single space, and around a single line feed,
-    between characters that are not white space. Each piece's matches are the text's own."""
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        words = line.split(" ")
-        out.append(words[0])
-        out += [" " + w for w in words[1:]]
-    return out
+def gather(pool: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool (run i has size[i] entries) that pick names, end to end, and the size of each."""
+    start, long = np.cumsum(size) - size, size[pick]
+    return pool[np.repeat(start[pick] - (np.cumsum(long) - long), long) + np.arange(long.sum())], long
 
 
-def plain(text: str) -> bool:
-    """True if pieces() is right for text: white space is only single spaces and line feeds, each between other characters."""
-    words = text.replace("\n", " ").split(" ")
-    return "" not in words and len(text.split()) == len(words)
+def cut_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(pieces of all texts, the order of the texts in which they lie, the number of pieces of each text there).
 
+    A text whose white space is only single spaces and line feeds, each between other characters, is cut where no match
+    of the pattern can reach across: before a space, and around a line feed. Any other text is one piece.
+    """
+    odd = pc.match_substring_regex(texts, ODD)
+    marked = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\0 "), "\n", "\0\n\0")
+    cut, is_odd = pc.split_pattern(marked, "\0"), odd.to_numpy(zero_copy_only=False)
+    count = np.append(pc.list_value_length(cut).to_numpy(zero_copy_only=False), np.ones(int(is_odd.sum()), dtype=np.int64))
+    return pa.concat_arrays([cut.flatten(), texts.filter(odd)]), np.argsort(is_odd, kind="stable"), count
+
+
+class BlockEncoder:
+    """Encodes blocks of texts; results of short pieces are kept for later blocks."""
+
+    def __init__(self, path: str, pattern: str):
+        self.model, self.pattern, self.kept = replay(path), regex.compile(pattern), {}
+        decimals = [b"%d," % i for i in range(max(self.model.tokens) + 1)]
+        self.decimals = np.frombuffer(b"".join(decimals), dtype=np.uint8), np.array([len(x) for x in decimals])
+        self.bytes = self.model.decoder()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        spans = [self.pattern.findall(p) for p in new]
+        number = {w: i for i, w in enumerate(sorted({w for ws in spans for w in ws}))}
+        ids, size = self.model.encode_flat([w.encode("utf-8", "surrogatepass") for w in number])
+        ids, each = gather(ids, size, np.array([number[w] for ws in spans for w in ws], dtype=np.int64))
+        ends = np.append(0, np.cumsum(each))[np.cumsum([len(ws) for ws in spans])] * 4 if new else []
+        raw, at, out = ids.astype("<i4").tobytes(), 0, {}
+        for p, end in zip(new, map(int, ends)):
+            out[p], at = raw[at:end], end
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, the order of the texts in which they lie, the number of ids of each text there); no nulls."""
+        pieces, order, count = cut_texts(texts)
+        places = pieces.dictionary_encode()
+        distinct = places.dictionary.to_pylist()
+        new = self._learn([p for p in distinct if p not in self.kept])
+        coded = [self.kept[p] if p in self.kept else new[p] for p in distinct]
+        if len(self.kept) + len(new) > KEEP:
+            self.kept = {}
+        self.kept.update((p, c) for p, c in new.items() if len(p) <= KEEP_CHARS)
+        ids, each = gather(np.frombuffer(b"".join(coded), dtype="<i4"), np.array([len(c) // 4 for c in coded], dtype=np.int64),
+                           places.indices.to_numpy(zero_copy_only=False))
+        return ids, order, np.diff(np.append(0, np.cumsum(each))[np.cumsum(count)], prepend=0)
+
+
+def digests(pool: tuple[np.ndarray, np.ndarray], ids: np.ndarray, count: np.ndarray, drop: int) -> list[str]:
+    """SHA-256 of the pool's bytes of each text's ids, without the last `drop` bytes."""
+    ends, hashes = np.append(0, np.cumsum(count)), [hashlib.sha256() for _ in count]
+    for lo in range(0, len(ids), STEP):
+        raw, each = gather(*pool, ids[lo : lo + STEP])
+        hi, at = lo + len(each), np.append(0, np.cumsum(each))
+        first, last = np.searchsorted(ends, lo, "right") - 1, np.searchsorted(ends, hi, "left")
+        start, end = at[np.maximum(ends[first:last], lo) - lo].tolist(), at[np.minimum(ends[first + 1 : last + 1], hi) - lo].tolist()
+        for k, i, j in zip(range(first, last), start, end):
+            hashes[k].update(raw[i : max(i, j - drop * int(ends[k + 1] <= hi))])
+    return [h.hexdigest() for h in hashes]
 
-def encode_block(texts: list[str], model: MergeReplay, pattern: "regex.Pattern", kept: dict[str, str]) -> list[str]:
-    """The ids of each text as decimals joined by commas."""
-    cut = [pieces(t) if plain(t) else ([t] if t else []) for t in texts]
-    new = {p for ps in cut for p in ps}
-    new.difference_update(kept)
-    spans = {p: pattern.findall(p) for p in new}
-    words = sorted({w for ws in spans.values() for w in ws})
-    ids = {w: ",".join(map(str, x.tolist())) for w, x in zip(words, model.encode([w.encode("utf-8", "surrogatepass") for w in words]))}
-    here = {p: ",".join([ids[w] for w in ws]) for p, ws in spans.items()}
-    old = {p: kept[p] for ps in cut for p in ps if p in kept} if len(kept) + len(here) > KEEP else kept
-    if old is not kept:
-        kept.clear()
-    kept.update((p, s) for p, s in here.items() if len(p) <= KEEP_CHARS)
-    whole = old if old is kept and all(len(p) <= KEEP_CHARS for p in here) else {**old, **here}
-    return [",".join([whole[p] for p in ps]) for ps in cut]
 
+@lru_cache(maxsize=2)
+def block_encoder(path: str, pattern: str) -> BlockEncoder:
+    return BlockEncoder(path, pattern)
 
-_KEPT: dict[str, dict[str, str]] = {}
+
+def slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about `chars` characters of text, one row at least."""
+    size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(size) - size) // chars
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, pattern: str | None = None,
@@ -177,22 +235,21 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, rule, kept = replay(path), regex.compile(pattern), _KEPT.setdefault(path + pattern, {})
-        token = {str(r): b for r, b in model.tokens.items()}
-        for f in frames:
-            coded = encode_block([t or "" for t in f["text"]], model, rule, kept)
-            lists = [s.split(",") if s else [] for s in coded]
-            out = {
-                "id": f["id"], "n_tokens": [len(x) for x in lists], "ids_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in coded],
-                "decoded_sha256": [hashlib.sha256(b"".join([token[i] for i in x])).hexdigest() for x in lists],
-            }
-            if with_ids:
-                out["ids"] = [np.array(x, dtype=np.int32) for x in lists]
-            yield pd.DataFrame(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = block_encoder(path, pattern)
+        for batch in batches:
+            for part in slices(batch, BLOCK_CHARS):
+                ids, order, count = coder.encode(pc.fill_null(part.column("text"), ""))
+                out = {
+                    "id": part.column("id").take(pa.array(order)), "n_tokens": pa.array(count, pa.int64()),
+                    "ids_sha256": pa.array(digests(coder.decimals, ids, count, 1)), "decoded_sha256": pa.array(digests(coder.bytes, ids, count, 0)),
+                }
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, path: str | None = None) -> DataFrame:

@@ -55,9 +55,17 @@ def test_replay_matches_the_library_on_random_words(own):
 
 def test_bpe_keeps_within_its_bound(own, monkeypatch):
     monkeypatch.setattr(bpe, "KEEP", 5)
-    model, rule, kept = bpe.replay(P.path(bpe.RANKS)), regex.compile(P.PATTERN), {}
-    for texts in (["a b c d e f g", "h"], ["a b z", "x" * 100 + " y"], ["q r s t u v a b"]):
-        assert [s for s in bpe.encode_block(texts, model, rule, kept)] == [",".join(map(str, own.encode_ordinary(t))) for t in texts]
+    coder = bpe.BlockEncoder(P.path(bpe.RANKS), P.PATTERN)
+    odd = ["", "  a  b\n\nc", "a\x00b c", "it's a\nb c\xa0d", "a\x1cb c", "a b\n c", "\n", "x y\r\nz", "ab 12 ab3 ,. c", "a b\u2003c", "a b ", ""]
+    for texts in (["a b c d e f g", "h"], ["a b z", "x" * 100 + " y"], ["q r s t u v a b"], odd, []):
+        ids, order, count = coder.encode(pa.array(texts, pa.string()))
+        want = [own.encode_ordinary(texts[i]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(texts)))
+        assert ids.tolist() == [i for x in want for i in x] and count.tolist() == [len(x) for x in want]
+        for step in (1, 3, 1000):
+            monkeypatch.setattr(bpe, "STEP", step)
+            assert bpe.digests(coder.decimals, ids, count, 1) == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
+            assert bpe.digests(coder.bytes, ids, count, 0) == [hashlib.sha256(texts[i].encode()).hexdigest() for i in order]
 
 
 def pack_check(rows, text_of, capacity):
