@@ -46,13 +46,24 @@ def prefix_sums(values: Column, chunk: int = 256) -> Column:
     return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), running))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Matches of a pattern, leftmost and not overlapping: array of (s, e, v), code points, end exclusive.
-    The stretches between matches and the matches themselves, laid end to end, give the places."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ends = prefix_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h)))
-    spans = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("v")))
-    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+def with_found(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """df (text, ...) with the matches of each pattern in text, leftmost and not overlapping, under the pattern's name:
+    array of (s, e, v), code points, end exclusive.
+    The stretches between matches and the matches themselves, laid end to end, give the places. Each step is a
+    projection of its own, as an expression inside an array function is run again wherever it is named."""
+    hits, gaps, size, ends = ({k: F.col(f"_{what}_{k}") for k in kinds} for what in ("hits", "gaps", "size", "ends"))
+    names = lambda step, make: {f"_{step}_{k}": make(k) for k in kinds}
+    some = lambda k: F.size(hits[k]) > 0
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    span = lambda e, h: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("v"))
+    out = (
+        df.withColumns(names("hits", lambda k: F.regexp_extract_all("text", F.lit(kinds[k]), F.lit(0))))
+        .withColumns(names("gaps", lambda k: F.when(some(k), F.split("text", kinds[k], -1))))
+        .withColumns(names("size", lambda k: F.when(some(k), F.zip_with(F.slice(gaps[k], F.lit(1), F.size(hits[k])), hits[k], lambda g, h: F.length(g) + F.length(h)))))
+        .withColumns(names("ends", lambda k: F.when(some(k), prefix_sums(size[k]))))
+        .withColumns({k: F.when(some(k), F.zip_with(ends[k], hits[k], span)).otherwise(none) for k in kinds})
+    )
+    return out.drop(*[f"_{step}_{k}" for step in ("hits", "gaps", "size", "ends") for k in kinds])
 
 
 def digits(v: Column) -> Column:
@@ -76,10 +87,10 @@ def valid(kind: str, v: Column) -> Column:
     return F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)
 
 
-def base_spans(text: Column) -> Column:
-    """All valid seeds: array of (s, k, e, v), by start, then kind."""
+def base_spans() -> Column:
+    """All valid seeds of a row that has the matches of BASE: array of (s, k, e, v), by start, then kind."""
     def of(k: int, kind: str) -> Column:
-        hits = F.filter(found(text, BASE[kind]), lambda x: valid(kind, x["v"]))
+        hits = F.filter(F.col(kind), lambda x: valid(kind, x["v"]))
         return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
 
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
@@ -96,11 +107,11 @@ def patterns(text: Column, s: Column, e: Column) -> Column:
     return F.filter(all_, lambda p: p.isNotNull())
 
 
-def mentions(text: Column, base: Column) -> Column:
-    """Seeds and other tokens of identifier form: array of (s, e, k, v, p), k null for those that are no seed."""
+def mentions(text: Column, base: Column, tokens: Column) -> Column:
+    """Seeds and other tokens of identifier form (tokens: the matches of TOKEN): array of (s, e, k, v, p), k null for those that are no seed."""
     seeds = F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), F.lower(b["v"]).alias("v"), patterns(text, b["s"], b["e"]).alias("p")))
     lead, tail = "\"'([<{=", "\"')]>}.,;:!?"
-    trimmed = F.transform(found(text, TOKEN), lambda x: F.struct(
+    trimmed = F.transform(tokens, lambda x: F.struct(
         (x["s"] + F.length(x["v"]) - F.length(F.ltrim(x["v"], F.lit(lead)))).alias("s"),
         (x["e"] - F.length(x["v"]) + F.length(F.rtrim(x["v"], F.lit(tail)))).alias("e"), F.rtrim(F.ltrim(x["v"], F.lit(lead)), F.lit(tail)).alias("v")))
     free = F.filter(trimmed, lambda x: (F.length(x["v"]) >= 5) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
@@ -134,7 +145,8 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     text = F.col("text")
     kept = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
     table = materialise(
-        kept.withColumn("base", base_spans(text)).withColumn("m", mentions(text, F.col("base")))
+        with_found(kept, {k: BASE[k] for k in KINDS} | {"token": TOKEN}).withColumn("base", base_spans())
+        .withColumn("m", mentions(text, F.col("base"), F.col("token")))
         .select("id", "row", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), "m"), "mentions")
     each = table.select("row", F.explode("m").alias("m")).select("row", "m.*")
     edges = materialise(each.select(F.explode("p").alias("pattern"), F.xxhash64("v").alias("instance"), "k").distinct(), "pattern-instances")

@@ -74,6 +74,6 @@ def test_contexts_find_unseen_identifiers(docs):
 def test_long_arrays_have_right_places(spark):
     n = 1000
     df = spark.createDataFrame([(" ".join(f"a{i}@b.cd" for i in range(n)),)], "text string")
-    got = df.select(pii.found(F.col("text"), pii.BASE["email"]).alias("m")).head().m
+    got = pii.with_found(df, {"m": pii.BASE["email"]}).head().m
     text = df.head().text
     assert [(x.s, x.e) for x in got] == [m.span() for m in re.finditer(RULES["email"], text)] and len(got) == n
