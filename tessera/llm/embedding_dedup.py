@@ -1,6 +1,7 @@
 """Operator 9, embedding near-dedup: a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is described by its `prefix` nearest pivots in order of
+Pivots are a bounded sample of the vectors that lie apart: a group of near copies has hardly more than one among them,
+so its members agree on their nearest pivots whatever share of the rows the group holds. A vector is described by its `prefix` nearest pivots in order of
 nearness. Two vectors become candidates when at least `shared` of these are common: every `shared`-subset of a
 prefix is a posting list, and a pair is taken from the list of its smallest common pivots only. Candidates in a list
 are verified by blocks in double precision. Lists above `block` vectors are cut into blocks, of which every pair is
@@ -21,6 +22,8 @@ from tessera.llm.common import components, documents, groups, materialise
 
 #: Pivots at least and at most (their number grows with the root of the rows), pivots of a description, pivots to share.
 PIVOTS, PREFIX, SHARED, BLOCK = (96, 768), 7, 3, 512
+#: Cosine from which a sampled pivot is too close to one chosen before, and vectors sampled per pivot.
+APART, SAMPLED = 0.8, 4
 THRESHOLD = 0.95
 POSTING = "key long, id long, size long, vector binary, near binary"
 FOUND = "id long, links long, other long"
@@ -39,13 +42,19 @@ def classes(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, Dat
 
 
 def choose_pivots(distinct: DataFrame, bounds: tuple[int, int] = PIVOTS) -> tuple[np.ndarray, int]:
-    """Unit vectors of the smallest hashes, of the commonest dimension, one per row; and that dimension."""
+    """Unit vectors of the commonest dimension, one per row, in the order of their hashes without those that are too
+    close to an earlier one; and that dimension."""
     sizes = distinct.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return np.empty((0, 0)), 0
     d, m = sizes[0]["d"], int(min(max(bounds[0], sizes[0]["count"] ** 0.5), bounds[1]))
-    rows = distinct.where(F.size("vector") == d).orderBy(F.xxhash64("class", F.lit(9)), "class").limit(m).collect()
-    return unit(np.array([r["vector"] for r in rows])), d
+    rows = distinct.where(F.size("vector") == d).orderBy(F.xxhash64("class", F.lit(9)), "class").limit(SAMPLED * m).collect()
+    sample = unit(np.array([r["vector"] for r in rows]))
+    chosen = sample[:0]
+    for v in sample:
+        if len(chosen) < m and (chosen @ v < APART).all():
+            chosen = np.concatenate([chosen, v[None, :]])
+    return chosen, d
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -84,21 +93,18 @@ def _verify(left: pd.DataFrame, right: pd.DataFrame | None, key: int, m: int, sh
     x = np.frombuffer(b"".join(a["vector"]), dtype=np.float64).reshape(len(a), -1)
     near = np.frombuffer(b"".join(a["near"]), dtype=np.int16).reshape(len(a), -1).astype(np.int64)
     n = len(left)
+    own = [key // m**k % m for k in range(shared)]
+    below = np.zeros((len(a), m), dtype=np.float32)  # a pair belongs to this list unless it shares a smaller pivot too
+    np.put_along_axis(below, near, 1, axis=1)
+    below[:, own] = below[:, max(own) :] = 0
+    below = below[:, below.any(axis=0)]
+    if below.all(axis=0).any():
+        return None
     if right is None:
-        i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        i, j = np.nonzero(np.triu((x @ x.T >= threshold) & (below @ below.T == 0), 1))
     else:
-        i, j = np.nonzero(x[:n] @ x[n:].T >= threshold)
+        i, j = np.nonzero((x[:n] @ x[n:].T >= threshold) & (below[:n] @ below[n:].T == 0))
         j = j + n
-    keep = np.zeros(len(i), dtype=bool)
-    for lo in range(0, len(i), 100_000):  # is this list the one of the pair's smallest common pivots?
-        p, q = near[i[lo : lo + 100_000]], near[j[lo : lo + 100_000]]
-        common = (p[:, :, None] == q[:, None, :]).any(axis=2)
-        first = np.sort(np.where(common, p, m), axis=1)[:, :shared]
-        code = np.zeros(len(first), dtype=np.int64)
-        for k in range(first.shape[1]):
-            code = code * m + first[:, k]
-        keep[lo : lo + 100_000] = code == key
-    i, j = i[keep], j[keep]
     if not len(i):
         return None
     ids, size = a["id"].to_numpy(), a["size"].to_numpy()
@@ -148,7 +154,7 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     if not len(p):
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = min(shared, prefix, len(p))
+    shared = min(shared, prefix) if len(p) > prefix else len(p)  # with few pivots all vectors are in one list
     lists = materialise(postings(distinct.where(F.size("vector") == d), p, prefix, shared), "postings")
     found = materialise(linked(lists, len(p), shared, threshold, block), "links")
     count = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))

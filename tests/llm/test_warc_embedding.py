@@ -87,6 +87,18 @@ def test_clusters_blocks_and_copies(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_a_group_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(11)
+    centre, x = rng.normal(size=64), rng.normal(size=(1500, 64))
+    x[::3] = centre + 0.15 * x[::3]
+    df = spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id long, embedding array<double>")
+    on, low = brute(range(len(x)), x, 0.95)
+    assert on.sum() > 0.9 * 500 * 499
+    got = {r.vec_id: r for r in ed.embedding_dedup(df, block=128).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.95 * on.sum() and all(r.n_links <= on[i].sum() for i, r in got.items())
+    assert all(got[i].component_id == c for i, c in enumerate(low))
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, nan]), (6, [1.0, inf]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [1e-200, 0.0]), (12, [-1.0, 0.0])]
