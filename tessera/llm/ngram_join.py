@@ -8,6 +8,9 @@ possible overlap rule a link out, or whose texts are in one component already; w
 
 Large cells are dealt out: random blocks of `block` texts first, which settle most of the components, then every pair
 of nodes that still spans two components and passes the bounds, each in a task of its own. No pair is left out.
+
+Where links are counted, no component is a reason to drop a pair: every pair of classes of a cell that passes the
+bounds is verified, and a link counts with the sizes of its classes.
 """
 
 from __future__ import annotations
@@ -27,6 +30,12 @@ WORDS = 32  # 64-bit words of a bitmap
 BLOCK, LEAF, ROUNDS = 64, 8, 3
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>"
 MEMBER = "cell long, id long, n long, hashes binary, bits array<long>, pop long"
+EDGE, FOUND = "a long, b long", "id long, links long, other long"
+
+
+def weights(docs: DataFrame) -> list[str]:
+    """The column of class sizes, where links are counted."""
+    return ["weight"] if "weight" in docs.columns else []
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -186,26 +195,76 @@ def link(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: int) ->
     return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
 
-def within_blocks(docs: DataFrame, size: DataFrame, num: int, den: int, block: int, rounds: int) -> DataFrame:
+def overlaps(sets: list[np.ndarray], n: int | None) -> np.ndarray:
+    """Common elements of each two sets, or of each of the first n with each of the others, by stretches of the elements."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rest = 0 if n is None else n
+    out = np.zeros((n or len(sets), len(sets) - rest), dtype=np.int64)
+    for lo in range(0, int(column[-1]) + 1, 4096):
+        part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[owner[part], column[part] - lo] = 1
+        out += (has[:n] @ has[rest:].T).astype(np.int64)
+    return out
+
+
+def count_links(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: int) -> pd.DataFrame | None:
+    """FOUND rows of one node's texts, or of two nodes' against each other: links by weight, and local components."""
+    def tree(f: pd.DataFrame) -> tuple[pd.DataFrame, SignatureTree]:
+        f = f.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
+        return f, SignatureTree(f["n"].to_numpy(), np.array(f["bits"].tolist(), dtype=np.int64).reshape(len(f), -1).view(np.uint64))
+
+    left, ta = tree(left)
+    both, tb = left, None
+    if right is not None:
+        right, tb = tree(right)
+        both = pd.concat([left, right], ignore_index=True)
+    i, j = candidates(ta, tb, num, den)
+    if not len(i):
+        return None
+    common = overlaps([np.frombuffer(x, dtype=np.uint64) for x in both["hashes"]], None if tb is None else len(left))[i, j]
+    if tb is not None:
+        j = j + len(left)
+    ids, n, weight = (both[c].to_numpy() for c in ("id", "n", "weight"))
+    keep = (common * (num + den) >= num * (n[i] + n[j])) & (ids[i] != ids[j])
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return None
+    links = np.bincount(i, weight[j], len(both)) + np.bincount(j, weight[i], len(both))
+    low = ids.copy()
+    while True:
+        was = low.copy()
+        np.minimum.at(low, i, was[j])
+        np.minimum.at(low, j, was[i])
+        if (low == was).all():
+            break
+    at = np.unique(np.concatenate([i, j]))
+    return pd.DataFrame({"id": ids[at], "links": links[at].astype(np.int64), "other": low[at]})
+
+
+def within_blocks(docs: DataFrame, size: DataFrame, num: int, den: int, block: int, rounds: int, each=link, out_schema: str = EDGE) -> DataFrame:
     """Edges inside blocks: a small cell is one block, a large one is dealt out at random, `rounds` times anew."""
     cut = F.ceil(F.col("size") / block).cast("int")
     rows = (
         docs.join(size.select("id", "size"), "id")
         .withColumn("r", F.explode(F.when(cut > 1, F.sequence(F.lit(0), F.lit(rounds - 1))).otherwise(F.array(F.lit(0)))))
         .withColumn("b", F.pmod(F.xxhash64("id", "r"), cut).cast("int"))
-        .select("cell", "r", "b", "id", "n", "hashes", "bits", F.col("id").alias("label"))
+        .select("cell", "r", "b", "id", "n", "hashes", "bits", F.col("id").alias("label"), *weights(docs))
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(frames, ["cell", "r", "b"]):
-            if len(g) > 1 and (out := link(g, None, num, den)) is not None:
+            if len(g) > 1 and (out := each(g, None, num, den)) is not None:
                 yield out
 
     key = ["cell", "r", "b"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, out_schema)
 
 
-def across_nodes(docs: DataFrame, label: DataFrame, size: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def across_nodes(docs: DataFrame, label: DataFrame, size: DataFrame, num: int, den: int, block: int, each=link, out_schema: str = EDGE) -> DataFrame:
     """Edges between texts of large cells that `label` leaves in different components: every pair of nodes that may link.
 
     A component of `block` texts or more has nodes of its own, the others share nodes by set size."""
@@ -219,7 +278,7 @@ def across_nodes(docs: DataFrame, label: DataFrame, size: DataFrame, num: int, d
     count = materialise(rows.groupBy("cell", "pure", "of").agg(F.count(F.lit(1)).alias("k")), "node-sizes")
     rows = rows.join(count, ["cell", "pure", "of"]).withColumn(
         "node", F.xxhash64("pure", "of", F.pmod(F.xxhash64("id", F.lit(77)), F.ceil(F.col("k") / block).cast("int"))))
-    rows = materialise(rows.select("cell", "node", "id", "n", "hashes", "bits", "pop", "label", "pure"), "node-texts")
+    rows = materialise(rows.select("cell", "node", "id", "n", "hashes", "bits", "pop", "label", "pure", *weights(docs)), "node-texts")
     nodes = materialise(rows.groupBy("cell", "node").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pop")).alias("slack"), F.min(F.when(F.col("pure"), F.col("label"))).alias("own"),
         F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)]).alias("bits")), "nodes")
@@ -233,7 +292,7 @@ def across_nodes(docs: DataFrame, label: DataFrame, size: DataFrame, num: int, d
     )
     pairs = materialise(a.join(b, fits).where(most * (num + den) >= num * (F.col("a.lo") + F.col("b.lo"))).select(
         F.col("a.cell").alias("cell"), F.col("a.node").alias("x"), F.col("b.node").alias("y")), "node-pairs")
-    texts = rows.select("cell", "node", "id", "n", "hashes", "bits", "label")
+    texts = rows.select("cell", "node", "id", "n", "hashes", "bits", "label", *weights(docs))
     sides = [texts.join(pairs.withColumnRenamed(end, "node").select("cell", "node", F.col("node" if end == "x" else "x").alias("x"),
                                                                   F.col("node" if end == "y" else "y").alias("y")), ["cell", "node"]) for end in ("x", "y")]
     both = sides[0].union(sides[1].where("x <> y"))
@@ -242,26 +301,31 @@ def across_nodes(docs: DataFrame, label: DataFrame, size: DataFrame, num: int, d
         for g in groups(frames, ["cell", "x", "y"]):
             first = g["node"] == g["x"].iloc[0]
             left, right = g[first], None if g["x"].iloc[0] == g["y"].iloc[0] else g[~first]
-            if len(left) and (right is None or len(right)) and (out := link(left, right, num, den)) is not None:
+            if len(left) and (right is None or len(right)) and (out := each(left, right, num, den)) is not None:
                 yield out
 
     key = ["cell", "x", "y"]
-    return both.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
+    return both.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, out_schema)
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, threshold: tuple[int, int] = (80, 100),
-               block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+               block: int = BLOCK, rounds: int = ROUNDS, links: bool = False) -> DataFrame:
     """One row per row of df: id, n_shingles (distinct n-word shingles), component_id (smallest id reachable by links).
 
     Two texts link if den * (shingles in common) >= num * (shingles of both together), threshold = (num, den). Words
     are split at ASCII white space with A-Z in lower case; fewer than n words make one shingle. Null and empty texts
     have no shingle and link with nothing. Ids are cast to long; rows with a null id are returned with a null
     component. An id that stands for several texts links as all of them. Other columns are ignored.
+
+    With links, a fourth column n_links is the number of other rows linked directly, those of equal shingle sets
+    included; ids should then be unique. Without, only the links that settle the components are verified.
     """
     num, den = threshold
     sig = materialise(signatures(df, id_col, text_col, n), "signatures")
     member, cell = cells(sig)
     docs = materialise(members(df, cell, id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "members")
+    if links:
+        return with_links(sig, member, cell, docs, id_col, num, den, block)
     edges = materialise(within_blocks(docs, cell, num, den, block, rounds), "block-edges")
     if cell.where(F.col("size") > block).limit(1).count():
         more = across_nodes(docs, components(edges), cell, num, den, block)
@@ -273,6 +337,26 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def with_links(sig: DataFrame, member: DataFrame, cell: DataFrame, docs: DataFrame, id_col: str, num: int, den: int, block: int) -> DataFrame:
+    """The rows of `ngram_join` with n_links: every pair of classes of a cell is met in one task, or a bound drops it."""
+    key = ["n_shingles", "h1", "h2"]
+    some = sig.where("n_shingles > 0 AND id IS NOT NULL")
+    heads = materialise(some.groupBy(*key).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("weight")), "class-sizes")
+    docs = materialise(docs.join(heads.select(F.col("class").alias("id"), F.col("n_shingles").alias("n"), "weight"), ["id", "n"]), "weighted")
+    found = within_blocks(docs, cell.where(F.col("size") <= block), num, den, block, 1, count_links, FOUND)
+    if cell.where(F.col("size") > block).limit(1).count():
+        own = cell.select("id", F.col("id").alias("component"))
+        found = found.union(across_nodes(docs, own, cell, num, den, max(block, 2), count_links, FOUND))
+    found = materialise(found, "links")
+    count = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
+    top = components(found.where("id <> other"), "id", "other").withColumnRenamed("id", "class")
+    known = materialise(member.join(top, "class", "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component_id")), "components")
+    number = materialise(heads.join(count, "class", "left").select(*key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "n-links")
+    return sig.select("id", *key).join(number, key, "left").join(known, "id", "left").select(
+        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
+        F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of df whose text is the first of its component, with all their columns."""
     gone = ngram_join(df, id_col, text_col, **kw).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
@@ -281,3 +365,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir), n=4, threshold=(85, 100))
+
+
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_ngram_join with n_links."""
+    return ngram_join(documents(spark, sf_dir), n=4, threshold=(85, 100), links=True)

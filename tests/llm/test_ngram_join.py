@@ -64,6 +64,17 @@ def test_join_matches_brute_force(spark, docs):
     assert sorted(map(tuple, got.collect())) == brute(ids, texts, 4, 85, 100)
 
 
+def test_links_match_brute_force(spark, docs):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = family(rng, 60, 90, 4, vocab) + family(rng, 9, 30, 2, vocab) + ["one two three"] * 5 + [None, ""]
+    sets = sets_of(texts, 4)
+    want = [sum(a != b and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    got = nj.ngram_join(docs(list(enumerate(texts))), n=4, threshold=(85, 100), block=16, links=True).collect()
+    assert sum(want) > 500 and sorted((r.doc_id, r.n_links) for r in got) == list(enumerate(want))
+    assert sorted(tuple(r)[:3] for r in got) == brute(list(range(len(texts))), texts, 4, 85, 100)
+
+
 def test_documents_match_brute_force(spark):
     rows = documents(spark, SF).select("doc_id", "text").collect()
     got = nj.op4_ngram_join(spark, SF)
