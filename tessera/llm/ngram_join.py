@@ -2,7 +2,7 @@
 
 Texts with the same shingle set are one class. Classes that agree in a band of minimum hashes are neighbours, and the
 connected components of neighbours are the cells, the roots of the trees: with the bands below a pair at the threshold
-shares a root but for odds of less than 1e-9. In a cell, nodes hold the OR of the token bitmaps of their texts and
+agrees in a band but for odds of 6e-11 at 0.85 and 5e-8 at 0.8. The pruning in the trees is exact, the bands are not. In a cell, nodes hold the OR of the token bitmaps of their texts and
 their range of set sizes. A dual traversal starts at pairs of nodes and drops those whose sizes or whose largest
 possible overlap rule a link out, or whose texts are in one component already; what is left is verified exactly.
 
