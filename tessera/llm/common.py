@@ -12,10 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lanes over which a key that may hold any share of the rows is spread.
+LANES = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local one is made, for a
+    local master only; elsewhere each machine would write to a disk of its own, so a ValueError is raised."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,7 +57,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """At most `rows` labelled documents that are not held out, those of the smallest id hashes: (id, text, label).
 
     The bound keeps training the same size whatever the corpus. Ids of the sample are drawn before texts are
-    read, and the id set is bounded by `rows`, so it may be broadcast.
+    read, and the id set is bounded by `rows`, so it may be broadcast. An id that several rows have counts once, with
+    the last of its texts by their order, so that repeated rows don't widen the sample.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -59,7 +67,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
 
 def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -83,6 +92,16 @@ def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield pd.concat(rest, ignore_index=True)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one (a row per key), where a key may hold any share of many's rows.
+
+    The rows of a key are dealt to LANES lanes by a hash of `by`; the key's row of `one` goes to the lanes that it is
+    in, at most LANES copies, so no task gets more than a lane of a key."""
+    many = many.withColumn("_lane", F.pmod(F.xxhash64(*by), F.lit(LANES)).cast("int"))
+    seats = many.select(*key, "_lane").distinct().join(one, key)
+    return many.join(seats, [*key, "_lane"], how).drop("_lane")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id of edges; component is the smallest id reachable, the id itself included.
 
@@ -90,24 +109,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     (pointer jumping). Who hears of a smaller label tells its old label too, so that whole trees join at once and the
     rounds grow with the logarithm of a chain. A label that didn't move was handed over when it did, so the join
     carries only what is new.
-    Minima are partial aggregates and joins are on tables without a partitioning, so a hub may hold any share
-    of the edges. Rounds end when no label moves; each round's table goes to the shared folder.
+    Minima are partial aggregates; the joins go over lanes (see spread_join), so a hub may hold any share of the edges
+    and a component any share of the ids. Rounds end when no label moves; each round's table goes to the shared folder.
     """
     pair = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = materialise(pair.union(pair.select("v", "u")).distinct(), "edges")
+    lane = F.pmod(F.xxhash64("v"), F.lit(LANES)).cast("int")
+    both = materialise(pair.union(pair.select("v", "u")).distinct().withColumn("lane", lane), "edges")
+    seats = materialise(both.select("u", "lane").distinct(), "edge-seats")
     label = materialise(
         both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
         .select("id", F.least("id", "m").alias("component"), (F.col("m") < F.col("id")).alias("moved")), "labels",
     )
     while True:
-        news = label.where("moved").select("id", "component")
-        told = both.join(news, both.u == news.id).select(F.col("v").alias("id"), "component", F.lit(None).cast("long").alias("was"))
+        news = seats.join(label.where("moved").select(F.col("id").alias("u"), "component"), "u")
+        told = both.join(news, ["u", "lane"]).select(F.col("v").alias("id"), "component", F.lit(None).cast("long").alias("was"))
         low = materialise(
             told.union(label.select("id", "component", F.col("component").alias("was"))).groupBy("id")
             .agg(F.min("component").alias("component"), F.max("was").alias("was")), "labels")
         heard = low.where("component < was").select(F.col("was").alias("component"), F.col("component").alias("top"))
         up = low.select(F.col("id").alias("component"), F.col("component").alias("top")).union(heard).groupBy("component").agg(F.min("top").alias("top"))
         label = materialise(
-            low.join(up, "component").select("id", F.least("component", "top").alias("component"), (F.least("component", "top") < F.col("was")).alias("moved")), "labels")
+            spread_join(low, up, ["component"], ["id"])
+            .select("id", F.least("component", "top").alias("component"), (F.least("component", "top") < F.col("was")).alias("moved")), "labels")
         if not label.where("moved").limit(1).count():
             return label.select("id", "component")
