@@ -33,6 +33,23 @@ def test_exact_dedup_edges(awkward, nothing):
     assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 7, 8, 9]
 
 
+def test_one_of_repeated_rows_stays_and_null_ids_come_last(docs):
+    rows = [(5, "x y z"), (5, "x y z"), (None, "same"), (2, "same"), (1, "same"), (7, "a b"), (7, "ab"), (None, "own"), (None, "o wn")]
+    got = exact_dedup.exact_dedup(docs(rows)).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [
+        (0, 0, 2, False), (0, 0, 2, True), (0, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False), (5, 5, 2, False), (5, 5, 2, True), (7, 7, 2, False), (7, 7, 2, True)]
+    kept = exact_dedup.deduplicated(docs(rows)).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == [(0, "o wn"), (1, "same"), (5, "x y z"), (7, "a b")]
+
+
+def test_lanes_of_a_round_hold_no_digest_twice(spark, docs):
+    rows = docs([(i, f"text {i % 50}") for i in range(2000)]).selectExpr("doc_id AS id", "text", "doc_id AS tag")
+    entries = exact_dedup.digest_rows(rows, 16)
+    leaf, winners = exact_dedup.tree_merge(entries, 16, 4)
+    assert leaf.count() == leaf.select("lane", "text_sha256").distinct().count() > 50 and leaf.agg({"size": "sum"}).head()[0] == 2000
+    assert winners.count() == 50 and winners.where("group_size = 40 AND keep_id < 50").count() == 50
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_exact_dedup"])
 def test_queries_match_sql(spark, name):
     from tessera.llm.queries import ORACLE_SQL, QUERIES
