@@ -1,8 +1,8 @@
 """Operator 10, quality classifier: compression with zstandard dictionaries of good and of bad text.
 
-Two dictionaries are built from a bounded sample of labelled texts. A text's feature is the difference of its
-compressed sizes under the two, by its length; isotonic steps fitted on labelled texts that no dictionary has
-seen turn it into the probability of label 1.
+The dictionaries are trained by zstandard, in tasks, from the whole texts of one half of a sample of labelled rows. A
+text's feature is the difference of its compressed sizes under the two kinds, by its length; isotonic steps fitted on
+the other half, which no dictionary has seen, turn it into the probability of label 1.
 """
 
 from __future__ import annotations
@@ -16,46 +16,55 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, held_out, labelled_sample
+from tessera.llm.common import documents, held_out, labelled_sample, materialise
 
-#: Labelled rows to learn from, bytes kept of each of them for a dictionary, and each dictionary's size.
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 12_000, 4_000, 110_000, 3
+#: Labelled rows to learn from at most (the one bound on what is learned), each dictionary's size, the level.
+SAMPLE_ROWS, DICT_BYTES, LEVEL = 12_000, 110_000, 3
+#: Bytes of text of one training task about: a label with more has several dictionaries. Segment and match of the trainer.
+PART_BYTES, SEGMENT, MATCH = 64 << 20, 1000, 8
+#: A text goes to the trainer in pieces of this size, all of them, as it looks for what pieces have in common.
+PIECE = 1 << 14
 ACCEPT = 0.3
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    good: bytes
-    bad: bytes
-    xs: tuple[float, ...]
-    ys: tuple[float, ...]
+    """Dictionaries by label (0: bad, 1: good), and the knots of the calibration."""
 
+    dictionaries: dict[int, list[bytes]]
+    xs: tuple[float, ...] = (0.0,)
+    ys: tuple[float, ...] = (0.5,)
 
-def _coders(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
-    return [
-        zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                                 write_checksum=False, write_content_size=False, write_dict_id=False)
-        for d in (good, bad)
-    ]
 
+def _coders(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
+    return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            for d in dictionaries]
 
-def differences(texts: list[str | None], coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """(size under the bad dictionary - size under the good one) / bytes of the text, whole texts; 0 for empty ones."""
+
+def sizes(raw: bytes, coders: list[zstandard.ZstdCompressor]) -> int:
+    """Bytes of raw, compressed with the one of a label's dictionaries that fits it best."""
+    return min(len(c.compress(raw)) for c in coders)
+
+
+def differences(texts: list[str | None], dictionaries: dict[int, list[bytes]]) -> np.ndarray:
+    """(size under bad dictionaries - size under good ones) / bytes of the text, whole texts; 0 for empty ones."""
     out = np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        if t:
-            raw = t.encode("utf-8", "surrogatepass")
-            g, b = (len(c.compress(raw)) for c in coders)
-            out[i] = (b - g) / len(raw)
+    if all(dictionaries.get(k) for k in (0, 1)):
+        bad, good = (_coders(dictionaries[k]) for k in (0, 1))
+        for i, t in enumerate(texts):
+            if t:
+                raw = t.encode("utf-8", "surrogatepass")
+                out[i] = (sizes(raw, bad) - sizes(raw, good)) / len(raw)
     return out
 
 
-def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A raw dictionary: pieces of as many texts as fit, in turn, the same number of bytes of each."""
-    if not texts:
-        return b" " * 64
-    share = max(64, size // len(texts))
-    return b"\n".join(t[:share] for t in texts)[:size].ljust(64)
+def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A dictionary trained from whole texts. Where they are too few to train, the texts themselves are the dictionary."""
+    samples = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts).ljust(64)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -79,16 +88,31 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np
 
 
 def train(sample: DataFrame) -> CompressionModel:
-    """Fit on (doc_id, text, label); the caller bounds the sample. Only the rows' own bytes decide, and order is by id."""
-    rows = sample.select("doc_id", "label", F.col("text")).toPandas().sort_values("doc_id", kind="stable")
-    raw, y = [t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["label"].to_numpy()
-    fit = np.arange(len(rows)) % 2 == 0
-    pick = lambda label: [raw[i][:SAMPLE_BYTES] for i in np.flatnonzero(fit & (y == label))][: DICT_BYTES // 256]
-    good, bad = (dictionary(pick(k), DICT_BYTES) for k in (1, 0))
-    prior = float(y.mean()) if len(y) else 0.5
-    coders = _coders(good, bad)
-    xs, ys = isotonic(differences(rows["text"][~fit].tolist(), coders), y[~fit].astype(float), prior)
-    return CompressionModel(good, bad, tuple(xs), tuple(ys))
+    """Fit on (doc_id, text, label), whose rows the caller bounds. Half of the rows, by a hash of their id, train the
+    dictionaries, a task for each PART_BYTES of a label's text; the driver receives the dictionaries, and of the other
+    half a difference and a label a row."""
+    rows = materialise(sample.select("label", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).alias("half"), F.xxhash64("doc_id", F.lit(4)).alias("place")), "quality-sample")
+    size = F.octet_length("text").cast("long")
+    parts = rows.where("half = 0").groupBy("label").agg((F.floor(F.sum(size) / PART_BYTES) + 1).cast("int").alias("parts"))
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.encode("utf-8", "surrogatepass") for t in frame.sort_values(["place", "text"])["text"] if t]
+        return pd.DataFrame({"label": frame["label"].iloc[:1], "part": frame["part"].iloc[:1], "dictionary": [dictionary(texts)] if texts else [None]})
+
+    fitting = rows.where("half = 0").join(F.broadcast(parts), "label").withColumn("part", F.pmod("place", F.col("parts")).cast("int"))
+    found: dict[int, list[bytes]] = {}
+    for r in fitting.groupBy("label", "part").applyInPandas(learn, "label int, part int, dictionary binary").orderBy("label", "part").collect():
+        if r["dictionary"]:
+            found.setdefault(r["label"], []).append(bytes(r["dictionary"]))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"x": differences(f["text"].tolist(), found), "y": f["label"].astype(float)})
+
+    seen = rows.where("half = 1").select("text", "label").mapInPandas(compare, "x double, y double").orderBy("x", "y").toPandas()
+    share = rows.agg(F.avg("label")).head()[0]
+    xs, ys = isotonic(seen["x"].to_numpy(), seen["y"].to_numpy(), 0.5 if share is None else float(share))
+    return CompressionModel(found, tuple(xs), tuple(ys))
 
 
 def score(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,9 +120,8 @@ def score(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_c
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coders = _coders(model.good, model.bad)
         for f in frames:
-            d = differences(f["text"].tolist(), coders)
+            d = differences(f["text"].tolist(), model.dictionaries)
             yield pd.DataFrame({"id": f["id"], "difference": d, "score": np.interp(d, model.xs, model.ys)})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -108,8 +131,9 @@ def score(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_c
 def quality_classifier(df: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of df: doc_id, held_out, score (0 to 1, higher is better), predicted, difference.
 
-    Null and empty texts have difference 0 and the score at 0. Texts count whole, at any length. Without any
-    labelled row the score is 0.5. Repeated rows are each scored; columns besides doc_id and text are ignored.
+    Null and empty texts have difference 0 and the score at 0. Texts count whole, at any length. Without labelled rows
+    the score is 0.5; where they are all of one label, or too few for the calibration, it is the share of label 1. An id
+    that several rows have teaches once. Repeated rows are each scored; columns besides doc_id and text are ignored.
     """
     model = train(labelled_sample(df, labels, "quality", SAMPLE_ROWS))
     return score(df, model).select(

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
@@ -51,6 +52,39 @@ def test_quality_edges(spark, awkward, nothing):
     assert all(r.score == 0.5 for r in quality.quality_classifier(awkward, labels.limit(0)).collect())
 
 
+def test_quality_score_is_the_difference_of_compressed_sizes(spark, docs):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice("gold silver bronze copper iron".split() if i % 2 else "mud dust sand gravel stone".split(), 40 + i))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.train(quality.labelled_sample(docs(rows), labels, "quality", 150))
+    assert sorted(model.dictionaries) == [0, 1] and all(len(d) == 1 for d in model.dictionaries.values())
+
+    def size(raw, d):
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+
+    for r in quality.score(docs([*rows[:20], (900, None), (901, "")]), model).collect():
+        raw = (dict(rows).get(r.doc_id) or "").encode()
+        want = (size(raw, model.dictionaries[0][0]) - size(raw, model.dictionaries[1][0])) / len(raw) if raw else 0.0
+        assert r.difference == want and r.score == np.interp(want, model.xs, model.ys)
+    got = quality.quality_classifier(docs(rows), labels).where("held_out").collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_a_repeated_id_teaches_once(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs([(3, "a"), (3, "b"), (3, None), (4, None), (100, "c")]), labels, "quality", 50)
+    assert set(map(tuple, sample.select("doc_id", "label", "text").collect())) <= {(3, 1, "b"), (4, 0, "")} and sample.count() <= 2
+
+
+def test_texts_of_a_label_beyond_one_task_make_more_dictionaries(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "PART_BYTES", 20_000)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green"] if i % 2 else ["one", "two", "three"], 200))) for i in range(400)]
+    model = quality.train(docs(rows).selectExpr("doc_id", "text", "cast(doc_id % 2 AS int) AS label"))
+    assert all(len(d) > 1 for d in model.dictionaries.values())
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in quality.score(docs(rows), model).collect())
+
+
 def test_isotonic_never_falls():
     rng = np.random.default_rng(1)
     x = rng.normal(size=500).round(1)
