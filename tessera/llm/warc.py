@@ -1,10 +1,13 @@
 """Operator 8, WARC: a chunked record table.
 
-A payload is written and read as rows (record id, chunk number, bytes), never as one buffer: the writer hands
-chunks to the archive as they come, the reader streams an archive's bytes and emits each chunk with the digest
-of the payload so far; the last chunk carries the digest of all of it. Archives lie in the shared folder and are
-opened through pyarrow.fs, so any store that it knows will do. A task writes its archive under a name of its
-own and renames it when it is whole, so a task that runs twice leaves one archive.
+A payload is rows (record, chunk number, bytes) on both ways. Spark cuts the payloads into chunk rows; the writer is
+handed a record's chunks in order and streams them to the archive with a running digest, which must end as the declared
+one. The reader streams an archive's bytes and emits each chunk with the digest of the payload so far; what a record's
+payload is, in bytes and digest, comes from its chunk rows. So no Python worker or archive holds a payload in one
+buffer; the JVM holds it as the one row that it came in.
+
+Archives lie in the shared folder and are opened through pyarrow.fs, so any store that it knows will do. A task writes
+its archive under a name of its own and renames it when it is whole, so a task that runs twice leaves one archive.
 """
 
 from __future__ import annotations
@@ -15,15 +18,18 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, materialise, new_path
 
-CHUNK = 1 << 20
+#: Bytes of a chunk; an Arrow batch has at most 10,000 of them by Spark's default.
+CHUNK = 1 << 15
 CRLF = b"\r\n"
-CHUNKS = "archive string, record_id long, record_type string, refers_to long, declared_digest string, chunk_no long, chunk binary, sofar_digest string, last boolean, payload_bytes long"
+CHUNKS = ("archive string, record_no long, record_id long, record_type string, refers_to long, declared_digest string, declared_bytes long, chunk_no long, chunk binary, "
+          "sofar_digest string, last boolean")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -39,66 +45,89 @@ def sha1_base32(payload) -> "F.Column":
     return F.concat(*[at(F.shiftright(q, s).bitwiseAND(31)) for q in quints for s in (15, 10, 5, 0)])
 
 
-def with_record_types(df: DataFrame, min_bytes: int) -> DataFrame:
-    """(record_id, url, payload) with record_type, refers_to, payload_digest: of equal payloads of min_bytes or more,
-    the largest id is the response. Equality is by SHA-1, SHA-256 and length."""
-    rows = materialise(df.select(
-        "record_id", F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("payload_digest"),
-        F.sha2("payload", 256).alias("sha256")), "payloads")
+def with_record_types(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """rows (record_id, url, payload) with n, sha256, payload_digest, record_type, refers_to: of equal payloads of min_bytes
+    or more, the largest id is the response. Equality is by SHA-1, SHA-256 and length. Types are known by id and payload,
+    so ids that several rows have are told apart by what they hold."""
     key = ["n", "payload_digest", "sha256"]
-    first = materialise(rows.where(F.col("n") >= min_bytes).groupBy(*key).agg(F.max("record_id").alias("first")), "payloads")
-    typed = rows.join(first, key, "left").select(
-        "record_id", "payload_digest",
-        F.when(F.col("first") != F.col("record_id"), "revisit").otherwise("response").alias("record_type"),
-        F.when(F.col("first") != F.col("record_id"), F.col("first")).alias("refers_to"))
-    return materialise(typed, "types")
+    rows = rows.withColumns({"n": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload")), "sha256": F.sha2("payload", 256)})
+    ids = materialise(rows.select("record_id", *key).distinct(), "payloads")
+    first = ids.where(F.col("n") >= min_bytes).groupBy(*key).agg(F.max("record_id").alias("first"))
+    revisits = materialise(ids.join(first, key).where("record_id <> first").select("record_id", *key, "first"), "revisits")
+    return rows.join(revisits, ["record_id", *key], "left").select(
+        "record_id", "url", "payload", "n", "sha256", "payload_digest", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
+        F.col("first").alias("refers_to"))
+
+
+def chunk_rows(typed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk of each record, in order; a record without a block (empty, or a revisit) has one empty chunk."""
+    block = F.when(F.col("record_type") == "response", F.col("n")).otherwise(F.lit(0)).cast("long")
+    last = F.greatest(F.ceil(block / chunk).cast("int") - 1, F.lit(0))
+    piece = lambda i: F.struct(i.alias("chunk_no"), F.when(block > 0, F.substring("payload", i * chunk + 1, F.lit(chunk))).otherwise(F.lit(b"")).alias("chunk"), (i == last).alias("last"))
+    pieces = F.transform(F.sequence(F.lit(0), last), piece)
+    head = ["record_id", "url", "n", "sha256", "payload_digest", "record_type", "refers_to"]
+    return typed.select(*head, F.explode(pieces).alias("c")).select(*head, "c.*")
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1" + CRLF + b"".join(f"{k}: {v}".encode() + CRLF for k, v in fields) + CRLF
 
 
-def _urn(record_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=int(record_id) & (2**128 - 1))}>"
+def _urn(record_id: int, sha256: str) -> str:
+    """The record's name: half of it from the payload, half the id, so that records of one id have different names."""
+    return f"<urn:uuid:{uuid.UUID(int=int(sha256[:16], 16) << 64 | int(record_id) & (2**64 - 1))}>"
 
 
-def write_record(out, row) -> int:
-    """Write one record to a stream in chunks; how many bytes of payload it has. A revisit has no block."""
-    payload = memoryview(row.payload or b"") if row.record_type == "response" else memoryview(b"")
-    fields = [
-        ("WARC-Type", row.record_type), ("WARC-Record-ID", _urn(row.record_id)), ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", " ".join((row.url or "").split()) or "about:blank"), ("WARC-Payload-Digest", f"sha1:{row.payload_digest}"),
-        ("X-Payload-Length", str(len(row.payload or b""))), ("Content-Type", "text/html"), ("Content-Length", str(len(payload))),
-    ]
-    if row.record_type == "revisit":
-        fields[1:1] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(row.refers_to))]
-    out.write(_header(fields))
-    for at in range(0, len(payload), CHUNK):
-        out.write(payload[at : at + CHUNK])
-    out.write(CRLF + CRLF)
-    return len(payload)
+def record_id_of(urn: str) -> int:
+    x = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int & (2**64 - 1)
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def write_archives(df: DataFrame, uri: str) -> DataFrame:
-    """Write rows (record_id, url, payload, record_type, refers_to, payload_digest) as one WARC file per partition under uri; (archive, records, payload_bytes) per file."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class RecordWriter:
+    """Streams records to an archive, chunk by chunk; the digest runs along and must end as the declared one."""
+
+    def __init__(self, out):
+        self.out, self.records, self.bytes, self.digest = out, 0, 0, None
+
+    def add(self, row: dict) -> None:
+        if row["chunk_no"] == 0:
+            revisit = row["record_type"] == "revisit"
+            fields = [
+                ("WARC-Type", row["record_type"]), ("WARC-Record-ID", _urn(row["record_id"], row["sha256"])), ("WARC-Date", "1970-01-01T00:00:00Z"),
+                ("WARC-Target-URI", " ".join((row["url"] or "").split()) or "about:blank"), ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"),
+                ("X-Payload-Length", str(row["n"])), ("Content-Type", "text/html"), ("Content-Length", str(0 if revisit else row["n"])),
+            ]
+            if revisit:
+                fields[1:1] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(row["refers_to"], row["sha256"]))]
+            self.out.write(_header(fields))
+            self.digest, self.records = hashlib.sha1(), self.records + 1
+        self.out.write(row["chunk"])
+        self.digest.update(row["chunk"])
+        self.bytes += len(row["chunk"])
+        if row["last"]:
+            if row["record_type"] == "response" and base32(self.digest.digest()) != row["payload_digest"]:
+                raise ValueError(f"record {row['record_id']}: the chunks don't make up the payload")
+            self.out.write(CRLF + CRLF)
+
+
+def write_archives(chunks: DataFrame, uri: str) -> DataFrame:
+    """Write chunk rows, in the order in which they come, as one WARC file per partition under uri; (archive, records, payload_bytes) per file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
-        name, records, size, out, part = uuid.uuid4().hex, 0, 0, None, ""
-        for f in frames:
-            for row in f.itertuples(index=False):
+        name, out, writer = uuid.uuid4().hex, None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
                 if out is None:
                     store.create_dir(root, recursive=True)
-                    part = f"{root}/.{name}.tmp"
-                    out = store.open_output_stream(part)
-                size += write_record(out, row)
-                records += 1
+                    out = store.open_output_stream(f"{root}/.{name}.tmp")
+                    writer = RecordWriter(out)
+                writer.add({k: c[at].as_py() for k, c in zip(batch.schema.names, batch.columns)})
         if out is not None:
             out.close()
-            store.move(part, f"{root}/{name}.warc")
-            yield pd.DataFrame({"archive": [f"{name}.warc"], "records": [records], "payload_bytes": [size]})
+            store.move(f"{root}/.{name}.tmp", f"{root}/{name}.warc")
+            yield pa.RecordBatch.from_pydict({"archive": [f"{name}.warc"], "records": [writer.records], "payload_bytes": [writer.bytes]})
 
-    return df.select("record_id", "url", "payload", "record_type", F.col("refers_to").cast("string").alias("refers_to"), "payload_digest").mapInPandas(
-        run, "archive string, records long, payload_bytes long")
+    return chunks.mapInArrow(run, "archive string, records long, payload_bytes long")
 
 
 def _line(stream) -> bytes:
@@ -107,6 +136,7 @@ def _line(stream) -> bytes:
 
 def read_archive(stream, archive: str) -> Iterator[dict]:
     """The chunk rows of one open archive, one chunk in memory at a time. Raises ValueError where the file is cut or damaged."""
+    number = -1
     while True:
         line = _line(stream)
         if not line:
@@ -121,14 +151,11 @@ def read_archive(stream, archive: str) -> Iterator[dict]:
             fields[k.strip().lower()] = v.strip()
         if not line:
             raise ValueError(f"{archive}: header without an end")
-        ident = lambda v: uuid.UUID(v.strip("<>").removeprefix("urn:uuid:")).int
-        signed = lambda v: (x - (1 << 128)) if (x := ident(v)) >= 1 << 127 else x
-        left, digest, no = int(fields.get("content-length", "0")), hashlib.sha1(), 0
-        total = left
+        left, digest, no, number = int(fields.get("content-length", "0")), hashlib.sha1(), 0, number + 1
         base = {
-            "archive": archive, "record_id": signed(fields["warc-record-id"]), "record_type": fields["warc-type"],
-            "refers_to": signed(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
-            "declared_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"),
+            "archive": archive, "record_no": number, "record_id": record_id_of(fields["warc-record-id"]), "record_type": fields["warc-type"],
+            "refers_to": record_id_of(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
+            "declared_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "declared_bytes": int(fields.get("x-payload-length", left)),
         }
         while left or not no:
             chunk = stream.read(min(CHUNK, left)) if left else b""
@@ -136,8 +163,7 @@ def read_archive(stream, archive: str) -> Iterator[dict]:
                 raise ValueError(f"{archive}: payload is cut")
             digest.update(chunk)
             left -= len(chunk)
-            yield base | {"chunk_no": no, "chunk": chunk, "sofar_digest": base32(digest.digest()), "last": not left,
-                          "payload_bytes": total if base["record_type"] == "response" else int(fields.get("x-payload-length", "0"))}
+            yield base | {"chunk_no": no, "chunk": chunk, "sofar_digest": base32(digest.digest()), "last": not left}
             no += 1
 
 
@@ -166,9 +192,9 @@ class _Buffered:
         return out
 
 
-def read_archives(archives: DataFrame, uri: str, with_chunks: bool = True) -> DataFrame:
-    """CHUNKS of every archive named in archives (archive string). with_chunks=False leaves the bytes out of the rows."""
-    names = ["archive", "record_id", "record_type", "refers_to", "declared_digest", "chunk_no", "chunk", "sofar_digest", "last", "payload_bytes"]
+def read_archives(archives: DataFrame, uri: str) -> DataFrame:
+    """CHUNKS of every archive named in archives (archive string), about 8 MB of them at a time."""
+    names = [f.split()[0] for f in CHUNKS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(uri)
@@ -178,8 +204,8 @@ def read_archives(archives: DataFrame, uri: str, with_chunks: bool = True) -> Da
                 with store.open_input_stream(f"{root}/{archive}") as raw:
                     for row in read_archive(_Buffered(raw), archive):
                         held += len(row["chunk"]) + 200
-                        rows.append(row if with_chunks else row | {"chunk": None})
-                        if held > 8 * CHUNK:
+                        rows.append(row)
+                        if held > 8 << 20:
                             yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
                             rows, held = [], 0
                 if rows:
@@ -188,25 +214,31 @@ def read_archives(archives: DataFrame, uri: str, with_chunks: bool = True) -> Da
     return archives.select("archive").mapInPandas(run, CHUNKS)
 
 
+def records(chunks: DataFrame) -> DataFrame:
+    """One row per record of a chunk table: record_id, payload_bytes, payload_digest, record_type, refers_to. A response's
+    bytes and digest are those of its chunks; a ValueError is raised where they differ from the declared ones."""
+    each = chunks.groupBy("archive", "record_no", "record_id", "record_type", "refers_to", "declared_digest", "declared_bytes").agg(
+        F.sum(F.octet_length("chunk")).cast("long").alias("n"), F.max_by("sofar_digest", "chunk_no").alias("digest"))
+    good = (F.col("record_type") == "revisit") | ((F.col("digest") == F.col("declared_digest")) & (F.col("n") == F.col("declared_bytes")))
+    return each.select("record_id", F.col("declared_bytes").alias("payload_bytes"), F.when(good, F.col("declared_digest")).otherwise(
+        F.raise_error(F.lit("payload differs from what its record declares")).cast("string")).alias("payload_digest"), "record_type", "refers_to")
+
+
 def warc_roundtrip(df: DataFrame, id_col: str, payload_col: str, url_col: str | None = None, *, min_bytes: int = 0) -> DataFrame:
     """Write a record per row, read the archives back, one row per record: record_id, payload_bytes, payload_digest,
     record_type, refers_to.
 
-    Null payloads count as empty; a url is folded to one line. Rows with a null id are not written; ids should be
-    unique, repeated ids each make a record. The digest of a response is computed from the bytes read back and a
-    ValueError is raised where it differs from the declared one. An empty table writes no archive.
+    Null payloads count as empty; a url is folded to one line. Rows with a null id are not written. Rows repeated with
+    one id each make a record: with other payloads of their own type, with one payload of the same type. Other columns
+    are ignored. An empty table writes no archive.
     """
     spark, uri = df.sparkSession, new_path(df.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("record_id"), (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("url"), payload.alias("payload"))
-    types = with_record_types(rows, min_bytes).distinct()
-    archives = materialise(write_archives(rows.join(types, "record_id"), uri), "archives")
+    archives = materialise(write_archives(chunk_rows(with_record_types(rows, min_bytes)), uri), "archives")
     files = archives.select("archive").repartition(max(1, min(archives.count(), 4 * spark.sparkContext.defaultParallelism)), "archive")
-    whole = read_archives(files, uri, with_chunks=False).where("last")
-    digest = F.when(F.col("record_type") == "revisit", F.col("declared_digest")).when(
-        F.col("sofar_digest") == F.col("declared_digest"), F.col("sofar_digest")).otherwise(F.raise_error(F.lit("payload digest differs")).cast("string"))
-    return whole.select("record_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    return records(read_archives(files, uri))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

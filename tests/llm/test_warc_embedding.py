@@ -35,21 +35,48 @@ def test_warc_revisits_and_edges(spark, monkeypatch):
     assert warc.warc_roundtrip(df.limit(0), "page_id", "html").count() == 0
 
 
-def test_chunks_carry_running_digests():
-    class Row:
-        record_id, url, record_type, refers_to, payload_digest, payload = 3, "u", "response", None, "D", b"ab" * (warc.CHUNK + 5)
+def test_repeated_ids_null_ids_and_clashing_names(spark):
+    rows = [(1, "u", "one", "x", 0), (1, "u", "two", "x", 0), (1, "u", "one", "x", 0), (2, "u", "two", "x", 0), (None, "u", "two", "x", 0), (3, "u", "own", "x", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, n int")
+    got = sorted(((r.record_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.warc_roundtrip(df, "page_id", "html", "url").collect()), key=str)
+    digest = {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in ("one", "two", "own")}
+    want = [(1, digest["one"], "response", None)] * 2 + [(1, digest["two"], "revisit", 2), (2, digest["two"], "response", None), (3, digest["own"], "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def chunked(payload):
+    parts = [payload[at : at + warc.CHUNK] for at in range(0, len(payload), warc.CHUNK)] or [b""]
+    head = {"record_id": -3, "url": "u", "n": len(payload), "sha256": hashlib.sha256(payload).hexdigest(), "payload_digest": warc.base32(hashlib.sha1(payload).digest()), "record_type": "response", "refers_to": None}
+    return [head | {"chunk_no": i, "chunk": c, "last": i == len(parts) - 1} for i, c in enumerate(parts)]
+
 
-    out = io.BytesIO()
-    warc.write_record(out, Row)
+def test_chunks_carry_running_digests():
+    out, payload = io.BytesIO(), b"ab" * (warc.CHUNK + 5)
+    writer = warc.RecordWriter(out)
+    for row in chunked(payload) + chunked(b""):
+        writer.add(row)
     rows = list(warc.read_archive(warc._Buffered(io.BytesIO(out.getvalue()), 1000), "a"))
-    assert b"".join(r["chunk"] for r in rows) == Row.payload and [r["chunk_no"] for r in rows] == list(range(len(rows)))
+    assert [r["record_no"] for r in rows] == [0] * (len(rows) - 1) + [1] and all(r["record_id"] == -3 for r in rows)
+    rows = rows[:-1]
+    assert b"".join(r["chunk"] for r in rows) == payload and [r["chunk_no"] for r in rows] == list(range(len(rows)))
     assert max(len(r["chunk"]) for r in rows) <= warc.CHUNK and [r["last"] for r in rows] == [False] * (len(rows) - 1) + [True]
     so_far = b""
     for r in rows:
         so_far += r["chunk"]
         assert r["sofar_digest"] == warc.base32(hashlib.sha1(so_far).digest())
+    cut = out.getvalue()[: out.getvalue().rindex(b"WARC/") - 500]
     with pytest.raises(ValueError, match="cut"):
-        list(warc.read_archive(warc._Buffered(io.BytesIO(out.getvalue()[:-500])), "a"))
+        list(warc.read_archive(warc._Buffered(io.BytesIO(cut)), "a"))
+    with pytest.raises(ValueError, match="make up"):
+        warc.RecordWriter(io.BytesIO()).add(chunked(b"xy")[0] | {"chunk": b"xz"})
+
+
+def test_chunk_table_of_a_large_payload(spark):
+    n = 5 * warc.CHUNK + 7
+    typed = spark.sql(f"SELECT 1L AS record_id, 'u' AS url, cast(repeat('abcdefg', {n // 7 + 1}) AS binary) AS payload").selectExpr(
+        "record_id", "url", "payload", "cast(octet_length(payload) AS long) AS n", "sha2(payload, 256) AS sha256", "'' AS payload_digest", "'response' AS record_type", "cast(null AS long) AS refers_to")
+    whole, rows = bytes(typed.head().payload), warc.chunk_rows(typed).collect()
+    assert b"".join(bytes(r.chunk) for r in rows) == whole and [r.chunk_no for r in rows] == list(range(6)) and [r.last for r in rows] == [False] * 5 + [True]
 
 
 def brute(ids, x, threshold):
