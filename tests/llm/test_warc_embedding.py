@@ -126,6 +126,35 @@ def test_a_group_of_a_third_of_the_rows(spark):
     assert all(got[i].component_id == c for i, c in enumerate(low))
 
 
+def test_every_dimension_links_and_rows_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.05, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [-1.0, 0.0]), (6, [3.0]), (7, [4.0]),
+            (8, [0.0, 2.0]), (8, [0.0, 2.0]), (8, [-1.0, 0.01]), (None, [1.0, 0.0]), (None, [0.0, 0.0, -1.0])]
+    df = spark.createDataFrame([(i, v, 1, "k", "t") for i, v in rows], "vec_id long, embedding array<double>, size int, code string, tag string")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in ed.embedding_dedup(df).collect()))
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (0, 1, 3, False), (4, 2, 4, True), (8, 2, 4, False), (8, 2, 4, False), (5, 1, 5, True), (8, 1, 5, False),
+                          (6, 1, 6, True), (7, 1, 6, False), (0, 0, 0, True)])
+
+
+def test_counts_of_shared_pivots_match_brute_force():
+    rng = np.random.default_rng(5)
+    near = np.array([rng.permutation(12)[:5] for _ in range(60)], dtype="<i2")
+    frame = ed.pd.DataFrame({"id": range(60), "size": 1, "near": [r.tobytes() for r in near], "vector": [r.tobytes() for r in rng.normal(size=(60, 3))]})
+    for own in (0, 3, 7):
+        part = frame[[own in r for r in near]]
+        a = ed.List(part, 3)
+        (lo, hi, tile), = a.tiles()
+        got = ed.retrieved(tile, tile, hi, hi, own, 3)
+        sets = [set(near[i]) for i in part["id"]]
+        want = {(i, j) for i in range(hi) for j in range(hi) if len(sets[i] & sets[j]) >= 3 and min(sets[i] & sets[j]) == own}
+        assert set(zip(*(x.tolist() for x in got))) == want
+
+
+def test_a_million_equal_vectors_are_one_class(spark):
+    df = spark.range(1_000_000, numPartitions=8).selectExpr("id AS vec_id", "array(float(1), float(2), float(3)) AS embedding").union(spark.sql("SELECT 2000000L, array(float(3), float(-2), float(1))"))
+    got = ed.embedding_dedup(df).groupBy("n_links", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 2_000_000, True, 1), (999_999, 0, False, 999_999), (999_999, 0, True, 1)]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, nan]), (6, [1.0, inf]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [1e-200, 0.0]), (12, [-1.0, 0.0])]
