@@ -24,46 +24,79 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Tokens that may be identifiers, and the loose form that a span found by context must have.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Tokens that may be identifiers: words with a digit or @, and groups of digits that single spaces join; and the loose
+#: form that a span found by context must have.
+TOKEN = r"(?<!\S)(?:[(+]?[0-9][0-9().-]*+(?: [(]?[0-9][0-9().-]*+(?![^\s,;:!?\"')\]}>]))++|[^\s0-9@]*+[0-9@]\S*+)"
 LOOSE = {
     "email": r"^[^\s@]{1,64}@[^\s@]{2,255}$", "ip": r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7})(?:[:/][0-9]{1,5})?$",
-    "card": r"^[0-9][0-9-]{10,22}[0-9]$", "phone": r"^[(]?[0-9][0-9().-]{5,18}[0-9]$",
+    "card": r"^[0-9][0-9 -]{10,22}[0-9]$", "phone": r"^[(]?[0-9][0-9(). -]{5,18}[0-9]$",
 }
-ROUNDS, MIN_INSTANCES, MIN_SCORE, WINDOW = 3, 5, 0.8, 48
+#: What is trimmed from tokens, and from the words beside seeds: on the left, on the right.
+LEAD, TAIL = "\"'([<{=", "\"')]>}.,;:!?"
+ROUNDS, MIN_INSTANCES, MIN_SCORE = 3, 5, 0.8
+#: Code points of the stretches that a text is cut into to be masked.
+STRETCH = 4096
+KEY = ["row", "row2"]
 
 
-def prefix_sums(values: Column, chunk: int = 256) -> Column:
-    """Running sums of an array of ints, by chunks so that the work doesn't grow with the square of its size."""
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def scan(values: Column, zero: int, step, chunk: int = 256) -> Column:
+    """Running results of an associative step over a column of ints, by chunks so that the work doesn't grow with the
+    square of its size."""
     def running(a: Column, start: Column) -> Column:
-        zero = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"] + x)).alias("out"))
-        return F.aggregate(a, zero, step, lambda acc: acc["out"])
+        first = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
+        more = lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(step(acc["s"], x))).alias("out"))
+        return F.aggregate(a, first, more, lambda acc: acc["out"])
 
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda c: F.slice(values, c * chunk + 1, F.lit(chunk)))
-    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
-    starts = F.concat(F.array(F.lit(0)), running(totals, F.lit(0)))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(zero), step))
+    starts = F.concat(F.array(F.lit(zero)), running(totals, F.lit(zero)))
     return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), running))
 
 
+def patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of a place: the word before, the two words before, the word after; lower case, digits as 0.
+    Brackets and marks next to the place don't count. The text before is read from its end, so only words are looked at."""
+    flat = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
+    back = F.ltrim(F.reverse(before), F.lit(LEAD))
+    one, two = (F.reverse(F.regexp_extract(back, rule, 1)) for rule in (r"^\s*+(\S++)", r"^\s*+(\S++\s++\S++)"))
+    right = F.regexp_extract(F.ltrim(after, F.lit(TAIL)), r"^\s*+(\S++)", 1)
+    all_ = F.array(*[F.when(c != "", F.concat(F.lit(mark), flat(c))) for mark, c in (("<1 ", one), ("<2 ", two), (">1 ", right))])
+    return F.filter(all_, lambda p: p.isNotNull())
+
+
 def with_found(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """df (text, ...) with the matches of each pattern in text, leftmost and not overlapping, under the pattern's name:
-    array of (s, e, v), code points, end exclusive.
-    The stretches between matches and the matches themselves, laid end to end, give the places. Each step is a
-    projection of its own, as an expression inside an array function is run again wherever it is named."""
-    hits, gaps, size, ends = ({k: F.col(f"_{what}_{k}") for k in kinds} for what in ("hits", "gaps", "size", "ends"))
+    array of (s, e, v, p), code points, end exclusive; p are the lexical patterns of the match.
+
+    The stretches between matches and the matches themselves, laid end to end, give the places. What stands before a
+    match is read back to the second match before it, what stands after to the end of the next one, so each stretch is
+    looked at a fixed number of times and the work is linear in the text. Each step is a projection of its own, as an
+    expression inside an array function is run again wherever it is named."""
+    steps = ("hits", "gaps", "size", "ends")
+    hits, gaps, size, ends = ({k: F.col(f"_{what}_{k}") for k in kinds} for what in steps)
     names = lambda step, make: {f"_{step}_{k}": make(k) for k in kinds}
     some = lambda k: F.size(hits[k]) > 0
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    span = lambda e, h: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("v"))
+    none = F.array().cast("array<struct<s:int,e:int,v:string,p:array<string>>>")
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+    def match(k: str):
+        h, g = hits[k], gaps[k]
+        before = lambda i: F.concat(at(h, i - 2), at(g, i - 1), at(h, i - 1), at(g, i))
+        return lambda v, i: F.struct((F.get(ends[k], i) - F.length(v)).alias("s"), F.get(ends[k], i).alias("e"), v.alias("v"),
+                                     patterns(before(i), F.concat(at(g, i + 1), at(h, i + 1))).alias("p"))
+
     out = (
         df.withColumns(names("hits", lambda k: F.regexp_extract_all("text", F.lit(kinds[k]), F.lit(0))))
         .withColumns(names("gaps", lambda k: F.when(some(k), F.split("text", kinds[k], -1))))
         .withColumns(names("size", lambda k: F.when(some(k), F.zip_with(F.slice(gaps[k], F.lit(1), F.size(hits[k])), hits[k], lambda g, h: F.length(g) + F.length(h)))))
-        .withColumns(names("ends", lambda k: F.when(some(k), prefix_sums(size[k]))))
-        .withColumns({k: F.when(some(k), F.zip_with(ends[k], hits[k], span)).otherwise(none) for k in kinds})
+        .withColumns(names("ends", lambda k: F.when(some(k), scan(size[k], 0, lambda a, b: a + b))))
+        .withColumns({k: F.when(some(k), F.transform(hits[k], match(k))).otherwise(none) for k in kinds})
     )
-    return out.drop(*[f"_{step}_{k}" for step in ("hits", "gaps", "size", "ends") for k in kinds])
+    return out.drop(*[f"_{step}_{k}" for step in steps for k in kinds])
 
 
 def digits(v: Column) -> Column:
@@ -88,35 +121,41 @@ def valid(kind: str, v: Column) -> Column:
 
 
 def base_spans() -> Column:
-    """All valid seeds of a row that has the matches of BASE: array of (s, k, e, v), by start, then kind."""
+    """All valid seeds of a row that has the matches of BASE: array of (s, k, e, v, p), by start, then kind."""
     def of(k: int, kind: str) -> Column:
         hits = F.filter(F.col(kind), lambda x: valid(kind, x["v"]))
-        return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
+        return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v"), x["p"].alias("p")))
 
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
 
-def patterns(text: Column, s: Column, e: Column) -> Column:
-    """The lexical patterns of a place: the word before, the two words before, the word after; lower case, digits as 0."""
-    flat = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    before = F.substring(text, F.greatest(F.lit(1), s - WINDOW + 1), F.least(F.lit(WINDOW), s))
-    after = F.substring(text, e + 1, F.lit(WINDOW))
-    one, two = F.regexp_extract(before, r"(?<!\S)(\S++)\s*+$", 1), F.regexp_extract(before, r"(?<!\S)(\S++\s++\S++)\s*+$", 1)
-    right = F.regexp_extract(after, r"^\s*+(\S++)", 1)
-    all_ = F.array(*[F.when(c != "", F.concat(F.lit(mark), flat(c))) for mark, c in (("<1 ", one), ("<2 ", two), (">1 ", right))])
-    return F.filter(all_, lambda p: p.isNotNull())
-
-
-def mentions(text: Column, base: Column, tokens: Column) -> Column:
-    """Seeds and other tokens of identifier form (tokens: the matches of TOKEN): array of (s, e, k, v, p), k null for those that are no seed."""
-    seeds = F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), F.lower(b["v"]).alias("v"), patterns(text, b["s"], b["e"]).alias("p")))
-    lead, tail = "\"'([<{=", "\"')]>}.,;:!?"
-    trimmed = F.transform(tokens, lambda x: F.struct(
-        (x["s"] + F.length(x["v"]) - F.length(F.ltrim(x["v"], F.lit(lead)))).alias("s"),
-        (x["e"] - F.length(x["v"]) + F.length(F.rtrim(x["v"], F.lit(tail)))).alias("e"), F.rtrim(F.ltrim(x["v"], F.lit(lead)), F.lit(tail)).alias("v")))
-    free = F.filter(trimmed, lambda x: (F.length(x["v"]) >= 5) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    others = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("int").alias("k"), F.lower(x["v"]).alias("v"), patterns(text, x["s"], x["e"]).alias("p")))
-    return F.concat(seeds, others)
+def with_mentions(df: DataFrame) -> DataFrame:
+    """df (base, token) with m: seeds and other tokens of identifier form, array of (s, e, k, v, p), k null for those that
+    are no seed. A token that a seed overlaps isn't one: with both in order of their starts, the largest end of the seeds
+    before a token and the smallest start of those after it tell. Arrays are laid side by side, as a column that only a
+    lambda names would be computed anew for each element."""
+    bare = lambda v: F.when(v.rlike(r"^\([0-9]+\)"), v).otherwise(F.ltrim(v, F.lit(LEAD)))
+    trimmed = F.transform("token", lambda x: F.struct(
+        (x["s"] + F.length(x["v"]) - F.length(bare(x["v"]))).alias("s"), F.lit(1).alias("t"),
+        (x["e"] - F.length(x["v"]) + F.length(F.rtrim(x["v"], F.lit(TAIL)))).alias("e"), F.rtrim(bare(x["v"]), F.lit(TAIL)).alias("v"), x["p"].alias("p")))
+    seeds = F.transform("base", lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("t"), b["e"].alias("e"), b["v"].alias("v"), b["p"].alias("p")))
+    both = (F.size("base") > 0) & (F.size("_long") > 0)
+    far = -(2**31) + 1
+    return (
+        df.withColumn("_long", F.filter(trimmed, lambda x: F.length(x["v"]) >= 5))
+        .withColumn("_all", F.when(both, F.array_sort(F.concat(seeds, F.col("_long")))))
+        .withColumns({
+            "_end": F.when(both, F.transform("_all", lambda x: F.when(x["t"] == 0, x["e"]).otherwise(F.lit(0)))),
+            "_start": F.when(both, F.transform(F.reverse("_all"), lambda x: F.when(x["t"] == 0, -x["s"]).otherwise(F.lit(far))))})
+        .withColumns({"_end": F.when(both, scan(F.col("_end"), 0, larger)), "_start": F.when(both, scan(F.col("_start"), far, larger))})
+        .withColumn("_free", F.when(both, F.filter(F.zip_with(
+            F.zip_with("_all", "_end", lambda x, end: F.when((x["t"] == 1) & (end <= x["s"]), x)), F.reverse("_start"),
+            lambda x, start: F.when(-start >= x["e"], x)), lambda x: x.isNotNull())).otherwise(F.col("_long")))
+        .withColumn("m", F.concat(
+            F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), F.lower(b["v"]).alias("v"), b["p"].alias("p"))),
+            F.transform("_free", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("int").alias("k"), F.lower(x["v"]).alias("v"), x["p"].alias("p")))))
+        .drop("_long", "_all", "_end", "_start", "_free")
+    )
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -140,26 +179,29 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return good
 
 
+def keyed(id_: Column, text: Column) -> dict[str, Column]:
+    """KEY of a row: 128 bits of hash over id and text, by which spans find their rows again."""
+    return {"row": F.xxhash64(id_, text), "row2": F.xxhash64(F.lit(2), text, id_)}
+
+
 def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(id, row, base, added) for each row of df: row is a hash of id and text, base and added are arrays of (s, k, e)."""
-    text = F.col("text")
-    kept = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    table = materialise(
-        with_found(kept, {k: BASE[k] for k in KINDS} | {"token": TOKEN}).withColumn("base", base_spans())
-        .withColumn("m", mentions(text, F.col("base"), F.col("token")))
-        .select("id", "row", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), "m"), "mentions")
-    each = table.select("row", F.explode("m").alias("m")).select("row", "m.*")
+    """(id, KEY, base, added) for each row of df; base and added are arrays of (s, k, e)."""
+    kept = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumns(keyed(F.col("id"), F.col("text")))
+    found = with_found(kept, {k: BASE[k] for k in KINDS} | {"token": TOKEN}).withColumn("base", base_spans())
+    table = materialise(with_mentions(found).select(
+        "id", *KEY, F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), "m"), "mentions")
+    each = table.select(*KEY, F.explode("m").alias("m")).select(*KEY, "m.*")
     edges = materialise(each.select(F.explode("p").alias("pattern"), F.xxhash64("v").alias("instance"), "k").distinct(), "pattern-instances")
     good = score_patterns(edges, rounds)
     loose = F.array(*[F.col("v").rlike(LOOSE[k]) for k in KINDS])
     hits = (
-        each.where("k IS NULL").select("row", "s", "e", loose.alias("loose"), F.explode("p").alias("pattern"))
+        each.where("k IS NULL").select(*KEY, "s", "e", loose.alias("loose"), F.explode("p").alias("pattern"))
         .join(good, "pattern").where(F.expr("loose[k]"))
-        .groupBy("row", "s", "e").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("best"))
+        .groupBy(*KEY, "s", "e").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("best"))
     )
-    added = materialise(hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", (-F.col("best.k")).alias("k"), "e"))).alias("added")), "added")
+    added = materialise(hits.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("s", (-F.col("best.k")).alias("k"), "e"))).alias("added")), "added")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return table.select("id", "row", "base").join(added, "row", "left").select("id", "row", "base", F.coalesce("added", none).alias("added"))
+    return table.select("id", *KEY, "base").join(added, KEY, "left").select("id", *KEY, "base", F.coalesce("added", none).alias("added"))
 
 
 def _text_of(spans: Column) -> Column:
@@ -170,8 +212,9 @@ def _text_of(spans: Column) -> Column:
 def pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of df: id, n_email, n_ip, n_card, n_phone (seeds), base_sha256, spans (seeds and added), n_added.
 
-    Null counts as empty: no spans, and the digest of the empty string. Texts count whole. Rows repeated with one id
-    are each returned; columns besides id and text are ignored. Without any seed no pattern is sure, so none is added.
+    Null counts as empty: no spans, and the digest of the empty string. Texts count whole, in time linear in them. The
+    context of a place is what stands between it and the second match of its pattern before it, or the next one after
+    it. Rows repeated with one id are each returned; columns besides id and text are ignored. Without any seed no pattern is sure, so none is added.
     """
     rows = pii_spans(df, id_col, text_col, rounds)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
@@ -180,23 +223,38 @@ def pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: i
         _text_of(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in brackets; a span that begins in an earlier one only lengthens it."""
+def with_masked(df: DataFrame) -> DataFrame:
+    """df (text, spans) with masked: text with each span replaced by its kind in brackets; a span that begins in an earlier
+    one only lengthens it. The text is cut into stretches once, and what stands between two spans is put together from
+    the stretches it lies in, so the work is linear in the text and the spans."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["e"]).alias("at"),
-        F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"])))).otherwise(acc["out"]).alias("out"))
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(text)
+    some = F.size("spans") > 0
+
+    def piece(a: Column, b: Column) -> Column:
+        """Code points a up to b of the text."""
+        first = F.floor(a / STRETCH).cast("int")
+        inside = F.slice("_cut", first + 1, F.floor(b / STRETCH).cast("int") - first + 1)
+        low = lambda t: F.greatest(a - (first + t) * STRETCH, F.lit(0))
+        return F.array_join(F.transform(inside, lambda x, t: F.substring(x, low(t) + 1, F.least(b - (first + t) * STRETCH, F.lit(STRETCH)) - low(t))), "")
+
+    before = lambda i: F.coalesce(F.get("_to", i - 1), F.lit(0))
+    return (
+        df.withColumn("_cut", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+        .withColumn("_ends", F.when(some, F.transform("spans", lambda x: x["e"])))
+        .withColumn("_to", F.when(some, scan(F.col("_ends"), 0, larger)))
+        .withColumn("_parts", F.when(some, F.transform("spans", lambda x, i: F.when(x["s"] >= before(i), F.concat(piece(before(i), x["s"]), F.get(names, x["k"]))).otherwise(F.lit("")))))
+        .withColumn("masked", F.when(some, F.concat(F.array_join("_parts", ""), piece(F.element_at("_to", -1), F.length("text")))).otherwise(F.col("text")))
+        .drop("_cut", "_ends", "_to", "_parts")
+    )
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every span of text_col masked; a null text stays null. Columns and their order stay."""
-    spans = pii_spans(df, id_col, text_col).select("row", F.array_sort(F.concat("base", "added")).alias("_spans")).where(F.size("_spans") > 0)
-    spans = materialise(spans.dropDuplicates(["row"]), "spans").withColumnRenamed("row", "_row")
-    out = df.withColumn("_row", F.xxhash64(F.col(id_col), text_or_empty(text_col))).join(spans, "_row", "left")
-    return out.withColumn(text_col, F.when(F.col("_spans").isNotNull(), masked(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))).select(*df.columns)
+    spans = pii_spans(df, id_col, text_col).select(*KEY, F.array_sort(F.concat("base", "added")).alias("spans")).where(F.size("spans") > 0)
+    spans = materialise(spans.dropDuplicates(KEY), "spans")
+    rows = df.select(F.struct("*").alias("whole"), F.col(text_col).alias("text"), *[c.alias(k) for k, c in keyed(F.col(id_col), text_or_empty(text_col)).items()])
+    out = with_masked(rows.join(spans, KEY, "left"))
+    return out.select(*[F.col("masked").alias(c) if c == text_col else F.col("whole")[c].alias(c) for c in df.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,3 +79,90 @@ def test_long_arrays_have_right_places(spark):
     got = pii.with_found(df, {"m": pii.BASE["email"]}).head().m
     text = df.head().text
     assert [(x.s, x.e) for x in got] == [m.span() for m in re.finditer(RULES["email"], text)] and len(got) == n
+
+
+def test_contexts_are_the_words_beside_a_match(docs):
+    text = "alpha beta (1.2.3.4), gamma 5.6.7.8 9.9.9.9\n7.7.7.7 omega"
+    got = pii.with_found(docs([(1, text)]), {"m": pii.BASE["ip"]}).head().m
+    assert [x.p for x in got] == [
+        ["<1 beta", "<2 alpha beta", ">1 gamma"], ["<1 gamma", "<2 (0.0.0.0), gamma", ">1 0.0.0.0"],
+        ["<1 0.0.0.0", "<2 gamma 0.0.0.0", ">1 0.0.0.0"], ["<1 0.0.0.0", "<2 0.0.0.0 0.0.0.0", ">1 omega"]]
+
+
+def test_added_spans_and_scores_match_brute_force(spark, docs):
+    rng = random.Random(2)
+    words = ["call", "phone:", "host", "costs", "see", "mail"]
+
+    def value(kind):
+        return {"call": f"+1 212 555 {rng.randrange(1000, 9999)}", "phone:": f"(212) 555-{rng.randrange(1000, 9999)}" if rng.random() < 0.1 else f"+1 (212) 555-{rng.randrange(1000, 9999)}",
+                "host": f"10.0.{rng.randrange(256)}.{rng.randrange(256)}" if rng.random() < 0.8 else f"fe80::{rng.randrange(16, 99)}", "costs": f"{rng.randrange(10**6, 10**7)}",
+                "see": f"a{rng.randrange(99)}@b.cd" if rng.random() < 0.5 else f"{rng.randrange(10**7)}", "mail": f"x{rng.randrange(99)}@{rng.choice(['b.cd', 'host'])}"}[kind]
+
+    rows = [(i, " ".join(f"{w} {value(w)} and" for w in rng.choices(words, k=4))) for i in range(150)]
+    table = pii.with_mentions(pii.with_found(docs(rows).select("doc_id", "text"), {k: pii.BASE[k] for k in pii.KINDS} | {"token": pii.TOKEN}).withColumn("base", pii.base_spans()))
+    mentions = {r.doc_id: [(m.s, m.e, m.k, m.v, m.p) for m in r.m] for r in table.select("doc_id", "m").collect()}
+    seen = {(p, v, k) for ms in mentions.values() for _, _, k, v, ps in ms for p in ps}
+    total, guess = {}, {}
+    for p, v, k in seen:
+        total[p] = total.get(p, 0) + 1
+    for _ in range(pii.ROUNDS):
+        mass = {}
+        for p, v, k in seen:
+            for kind, c in ([(k, 1.0)] if k is not None else guess.get(v, {}).items()):
+                mass[p, kind] = mass.get((p, kind), 0) + c
+        good = {(p, k): m / (total[p] + 0.5) for (p, k), m in mass.items() if total[p] >= pii.MIN_INSTANCES and m >= pii.MIN_INSTANCES and m / (total[p] + 0.5) >= pii.MIN_SCORE}
+        miss = {}
+        for p, v, k in seen:
+            if k is None:
+                for (q, kind), c in good.items():
+                    if q == p:
+                        miss[v, kind] = miss.get((v, kind), 1.0) * max(1 - c, 1e-6)
+        guess = {}
+        for (v, kind), x in miss.items():
+            guess.setdefault(v, {})[kind] = 1 - x
+    want, n = {}, 0
+    for i, ms in mentions.items():
+        spans = []
+        for s, e, k, v, ps in ms:
+            hits = [(good[p, kind], -kind) for p in ps for kind in range(4) if (p, kind) in good and re.search(pii.LOOSE[pii.KINDS[kind]], v)] if k is None else []
+            if k is not None or hits:
+                spans.append((s, k if k is not None else -max(hits)[1], e))
+                n += k is None
+        want[i] = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    assert n > 20 and {r.doc_id: r.spans for r in pii.pii(docs(rows)).collect()} == want
+    assert any(f"phone:{t.index('(212)')}:{t.index('(212)') + 14}" in want[i] for i, t in rows if " (212)" in t and "+1 (212)" not in t)
+
+
+def masked(text, spans):
+    out, at = "", 0
+    for s, k, e in spans:
+        if s >= at:
+            out += text[at:s] + f"[{pii.KINDS[k].upper()}]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_masking_matches_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab\n😀é ") for _ in range(rng.choice([0, 5, 4096, 8192, 20_000])))
+        spans = sorted((s, rng.randrange(4), min(len(text), s + rng.choice([1, 3, 5000]))) for s in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 40]))) ) if text else []
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<s:int,k:int,e:int>>")
+    assert {r.i: r.masked for r in pii.with_masked(df).collect()} == {i: masked(t, x) for i, t, x in rows}
+
+
+def test_long_texts_take_linear_time(docs):
+    many = " ".join(f"id{i} 10.0.{i % 250}.{i % 199} host" for i in range(200_000))
+    rows = [(1, many), (2, " ".join(map(str, range(800_000)))), (3, "9" * 2_000_000), (4, " ".join(f"x{i}" for i in range(400_000)))]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.pii(docs(rows)).collect()}
+    assert len(many) > 5_000_000 and got[1].n_ip == 200_000 and got[2].n_ip == 0
+    assert {r.doc_id: r.text.count("[IP]") for r in pii.redacted(docs(rows)).collect()} == {1: 200_000, 2: 0, 3: 0, 4: 0}
+    assert time.time() - began < 120
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd", 1, "r", None)], "doc_id long, text string, _row int, spans string, masked string")
+    assert tuple(pii.redacted(df).head()) == (1, "mail [EMAIL]", 1, "r", None)
