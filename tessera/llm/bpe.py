@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, gather, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker keeps for later blocks at most, characters of a piece above which it isn't kept, characters of a block.
@@ -142,12 +142,6 @@ def replay(path: str) -> MergeReplay:
         return MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def gather(pool: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of pool (run i has size[i] entries) that pick names, end to end, and the size of each."""
-    start, long = np.cumsum(size) - size, size[pick]
-    return pool[np.repeat(start[pick] - (np.cumsum(long) - long), long) + np.arange(long.sum())], long
-
-
 def cut_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(pieces of all texts, the order of the texts in which they lie, the number of pieces of each text there).
 
@@ -214,16 +208,6 @@ def block_encoder(path: str, pattern: str) -> BlockEncoder:
     return BlockEncoder(path, pattern)
 
 
-def slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about `chars` characters of text, one row at least."""
-    size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(size) - size) // chars
-    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        if hi > lo:
-            yield batch.slice(lo, hi - lo)
-
-
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, pattern: str | None = None,
                with_ids: bool = True) -> DataFrame:
     """One row per row of df: id, n_tokens, ids_sha256 (of decimals joined by commas), decoded_sha256 (of the bytes that

@@ -1,7 +1,8 @@
 """Operator 7, packing: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
-A document's ids are cut into full pieces of `capacity`, which are sequences of their own, and one rest. Rests go
-to groups by a hash of the document's id; each group is packed on its own. Only lengths and checksums travel.
+A document's ids are cut into full pieces of `capacity`, which are sequences of their own and stay where they are, and
+one rest. Rests go to groups by a hash of a number of their own, so that no id or text makes a large group; each group
+is packed on its own. Only lengths and checksums travel.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import documents, materialise
+from tessera.llm.common import documents, gather, materialise, slices
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 #: Documents of a group, on average; encoded words that a worker keeps.
@@ -32,12 +33,6 @@ SURE = rf"^\pL+[{MARKS}]?$"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def gather(pool: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of pool (run i has size[i] entries) that pick names, end to end, and the size of each."""
-    start, long = np.cumsum(size) - size, size[pick]
-    return pool[np.repeat(start[pick] - (np.cumsum(long) - long), long) + np.arange(long.sum())], long
-
-
 class WordEncoder:
     """A tokenizer that drops white space and never joins across it: the distinct stretches between spaces are encoded
     once a slice of texts, and words are kept for later slices."""
@@ -45,10 +40,16 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = self._raw(list(MARKS))
+        #: Whether the short cuts below are right for this vocabulary: it ends words with </w>, takes no account of case or
+        #: of how much white space there is, and its ids fit two bytes. Any other is asked for each text whole.
+        self.by_words = len(self.ends) <= 1 << 16 and self.ends.any() and all(
+            self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids and len(self.tokenizer.encode(y, add_special_tokens=False).ids)
+            for x, y in (("Ab  cDe\nf", "ab cde f"), (" ab, cd. ", "ab , cd .")))
+        self.marks = self._raw(list(MARKS)) if self.by_words else []
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -77,6 +78,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (no nulls)."""
+        if not self.by_words:
+            return [np.array(e.ids, dtype="<u4") for at in range(0, len(texts), RAW)
+                    for e in self.tokenizer.encode_batch(texts.slice(at, RAW).to_pylist(), add_special_tokens=False)]
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         places = cut.flatten().dictionary_encode()
         units = places.dictionary
@@ -105,26 +109,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list[int], pa.Array]]:
-    """Ids and texts of a batch in runs of rows of about `chars` characters, one row at least."""
-    size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(size) - size) // chars
-    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        if hi > lo:
-            part = batch.slice(lo, hi - lo)
-            yield part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "")
-
-
 def pieces(df: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
     """PIECES of every row: full ones and the rest, which is never empty as END_ID ends each document."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, texts in slices(batch, SLICE_CHARS):
+            for part in slices(batch, SLICE_CHARS):
                 out = []
-                for doc, ids in zip(docs, encoder(path).encode(texts)):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(path).encode(pc.fill_null(part.column("text"), ""))):
                     ids = np.append(ids, END_ID).astype("<u4")
                     out += [(doc, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes()), len(ids)) for at in range(0, len(ids), capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
@@ -169,27 +162,32 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, group_documents: int = GROUP_DOCUMENTS, seed: int = 11) -> DataFrame:
-    """table (PIECES, materialised) with sequence_id and offset."""
-    groups = max(1, -(-table.where("start = 0").count() // group_documents))
+    """table (PIECES and each one's number, materialised) with sequence_id and offset. A group's sequences begin at its
+    number times 2^32; a full piece's sequence is 2^62 and its number."""
+    rests = table.where(F.col("length") < capacity)
+    groups = max(1, -(-rests.count() // group_documents))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "start", "number"], kind="stable").reset_index(drop=True)
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), capacity)
         frame["sequence_id"], frame["offset"] = (int(frame["g"].iloc[0]) << 32) + bins, offsets
-        return frame.drop(columns="g")
+        return frame.drop(columns=["g", "number"])
 
-    keyed = table.withColumn("g", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    keyed = rests.withColumn("g", F.pmod(F.xxhash64("number", F.lit(seed)), F.lit(groups)))
+    packed = keyed.groupBy("g").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    full = table.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.col("number"), "offset": F.lit(0).cast("long")}).drop("number")
+    return packed.unionByName(full)
 
 
 def packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null counts as empty; an empty document is the one id END_ID. Documents of any length are cut, none is shortened.
-    Rows repeated with one id are each packed. Ids are cast to long; rows with a null id are packed as one group's.
-    Columns besides id and text are ignored; an empty table gives no rows.
+    Rows repeated with one id, or with none, are each packed, in any group. Ids are cast to long. Columns besides id and
+    text are ignored; an empty table gives no rows.
     """
-    return pack(materialise(pieces(df, path or public_tokenizers.path(VOCABULARY), id_col, text_col, capacity), "pieces"), capacity)
+    cut = pieces(df, path or public_tokenizers.path(VOCABULARY), id_col, text_col, capacity)
+    return pack(materialise(cut.withColumn("number", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

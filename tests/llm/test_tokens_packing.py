@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing
@@ -132,3 +133,25 @@ def test_word_encoder_forgets_and_stays_right(monkeypatch):
     texts = pa.array(odd + list(filter(None, TEXTS)))
     assert [x.tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
     assert enc.encode(pa.array([], pa.string())) == []
+
+
+def test_many_rows_with_one_id_are_many_groups(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCUMENTS", 50)
+    df = docs([(7, "one two three")] * 900 + [(None, "w " * 100)] * 300)
+    table = packing.materialise(packing.pieces(df, P.path(packing.VOCABULARY), "doc_id", "text", 64).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    rows = packing.pack(table, 64, 50).collect()
+    assert len(rows) == table.count() == 900 + 300 * 2 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    groups = {}
+    for r in rows:
+        if r.length < 64:
+            groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(groups) == 24 and max(groups.values()) < 90
+    assert all(r.offset == 0 and r.sequence_id >= 1 << 62 for r in rows if r.length == 64)
+
+
+def test_another_vocabulary_is_asked_for_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    enc, tok = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.by_words and packing.WordEncoder(P.path(packing.VOCABULARY)).by_words
+    texts = [t or "" for t in TEXTS]
+    assert [x.tolist() for x in enc.encode(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
