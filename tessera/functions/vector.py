@@ -94,10 +94,18 @@ def slice(v: Column, start: int, end: int) -> Column:  # noqa: A001
 
 
 def slice_bits(words: Column, start: int, end: int) -> Column:
-    """Bits start up to end of a bit vector; both must be multiples of 64 here, where words are whole."""
-    if start % 64 or end % 64:
-        raise ValueError("bit slices are by whole words of 64 bits")
-    return slice(words, start // 64, end // 64)
+    """Bits start up to end of a bit vector; both must be multiples of 8. Bits beyond the end in the last word are 0."""
+    if start % 8 or end % 8 or start < 0 or start >= end:
+        raise ValueError(f"no bit slice from {start} to {end}: both ends must be multiples of 8")
+    first, shift, count = start // 64, start % 64, -(-(end - start) // 64)
+    left, right = (lambda x, n, f=f: F.call_function(f, x, F.lit(n)) for f in ("shiftleft", "shiftrightunsigned"))
+    out = []
+    for i in range(count):
+        low = F.get(words, F.lit(first + i))
+        word = low if not shift else right(low, shift).bitwiseOR(left(F.coalesce(F.get(words, F.lit(first + i + 1)), F.lit(0).cast("long")), 64 - shift))
+        rest = end - start - 64 * i
+        out.append(word if rest >= 64 else word.bitwiseAND(F.lit((1 << rest) - 1).cast("long")))
+    return F.when(words.isNull(), None).when(F.size(words) * 64 >= end, F.array(*out)).otherwise(F.raise_error(F.lit("slice ends beyond the vector")))
 
 
 def normalize(v: Column) -> Column:
@@ -131,6 +139,10 @@ def to_json(v: Column) -> Column:
 
 
 def bits_to_json(words: Column, dim: int) -> Column:
+    return bound(words, lambda w: _bits_to_json(w, dim))
+
+
+def _bits_to_json(words: Column, dim: int) -> Column:
     bit = lambda i: F.call_function("shiftright", words[F.floor(i / 64).cast("int")], i % 64).bitwiseAND(F.lit(1).cast("long")).cast("string")
     return F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), bit), ","), F.lit("]"))
 
@@ -181,8 +193,8 @@ def bit(x: Column) -> Column:
 
 
 def length(v: Column, element: str = "float32") -> Column:
-    """Dimensions: elements of an array, bits of a BINARY bit vector."""
-    return F.octet_length(v) * 8 if element == "bit" else F.size(v)
+    """Dimensions: elements of an array ("float32", "int8"), bits of a bit vector of BINARY ("bit") or of words ("words")."""
+    return F.octet_length(v) * 8 if element == "bit" else F.size(v) * (64 if element == "words" else 1)
 
 
 def element_type(kind: str) -> str:

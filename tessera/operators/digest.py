@@ -15,12 +15,13 @@ NO_IDENTITY = "No identity configured. Create an identity file."
 
 
 def newest(drawers: DataFrame, rooms: DataFrame, wings: DataFrame, wing: str | None = None, max_drawers: int = MAX_DRAWERS) -> DataFrame:
-    """The newest drawers with their names. Only ids and times are ranked; the texts of the few that stay follow."""
+    """The newest drawers with their names. Only ids and times are ranked; the driver takes the ids of the max_drawers that
+    stay, and they become a filter that reaches the scan for the texts."""
     if wing is not None:
         wings = wings.where(F.col("name") == wing)
     dims = rooms.select(F.col("id").alias("room_id"), "wing_id").join(wings.select(F.col("id").alias("wing_id")), "wing_id").select("room_id")
     top = drawers.select("id", "room_id", "created_at").join(dims, "room_id", "left_semi").orderBy(F.desc("created_at"), "id").limit(max_drawers)
-    found = drawers.join(F.broadcast(top.select("id")), "id", "left_semi")
+    found = drawers.where(F.col("id").isin([r["id"] for r in top.select("id").collect()]))
     return named(found, rooms, wings).select("id", "content", "source_path", "room_name", "wing_name", "created_at")
 
 

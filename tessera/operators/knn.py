@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as vec
+from tessera.operators.shared import new_path
 
 MAX_K = 4096
 OPERATORS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__, "=": Column.__eq__, "!=": Column.__ne__}
 #: Ids of an `ids` filter that are sent as a literal list at most; more come as a DataFrame.
 LITERAL_IDS = 10_000
-#: Queries of one pass over the corpus: a block is at most QUERY_BLOCK vectors, so it may be sent to every task.
-QUERY_BLOCK = 2048
+#: Bytes of the query vectors of one pass over the corpus, which every task is sent, and neighbours that a task keeps for them.
+QUERY_BYTES, QUERY_KEPT = 64 << 20, 4_000_000
 
 
 def _check(df: DataFrame, query: list | None, k: int, vector: str, metric: str) -> None:
@@ -49,9 +50,14 @@ def constrained(column: Column, constraint: tuple) -> Column:
     return OPERATORS[op](column, F.lit(value))
 
 
-def filtered(df: DataFrame, where: dict[str, tuple] | None, ids, id_col: str, auxiliary: tuple[str, ...] = ()) -> DataFrame:
-    """df under metadata and partition filters {column: (operator, value)} and an id filter (list or DataFrame of ids)."""
-    for name, constraint in (where or {}).items():
+def constraints(where) -> list[tuple[str, tuple]]:
+    """Filters as (column, (operator, value)), of a dict {column: (operator, value)} or a list of (column, operator, value)."""
+    return list(where.items()) if isinstance(where, dict) else [(name, (op, value)) for name, op, value in where or []]
+
+
+def filtered(df: DataFrame, where, ids, id_col: str, auxiliary: tuple[str, ...] = ()) -> DataFrame:
+    """df under metadata and partition filters (see constraints) and an id filter (list or DataFrame of ids)."""
+    for name, constraint in constraints(where):
         kind = df.schema[name].dataType.simpleString()
         if name in auxiliary:
             raise ValueError(f"{name} is auxiliary: it can't filter a nearest-neighbour query")
@@ -70,12 +76,14 @@ def filtered(df: DataFrame, where: dict[str, tuple] | None, ids, id_col: str, au
     return df.where(F.col(id_col).isin(ids))
 
 
-def knn(df: DataFrame, query: list, k: int, *, vector: str = "embedding", id: str = "id", metric: str = "l2", where: dict[str, tuple] | None = None,  # noqa: A002
-        ids=None, distance: tuple[str, float] | None = None, per: str | None = None, auxiliary: tuple[str, ...] = ()) -> DataFrame:
-    """The k rows nearest to query, by distance, then id: df's columns without the vector, and distance.
+def knn(df: DataFrame, query: list, k: int, *, vector: str = "embedding", id: str = "id", metric: str = "l2", where=None,  # noqa: A002
+        ids=None, distance: tuple[str, float] | None = None, per: str | None = None, auxiliary: tuple[str, ...] = (), with_vector: bool = False) -> DataFrame:
+    """The k rows nearest to query, by distance, then id: df's columns, and distance; the vector only with_vector.
 
-    where: {column: (operator, value)}; ids: a list or DataFrame; distance: (operator, value), applied before the k are
-    taken; per: a column, for the k nearest of each of its values. Null vectors are left out; NaN distances come last.
+    where: {column: (operator, value)} or a list of (column, operator, value), which may name a column twice; ids: a list or
+    DataFrame; distance: (operator, value), applied before the k are taken; per: a column, for the k nearest of each of its
+    values. Null vectors are left out; NaN distances come last. Only ids and distances are ranked: the vectors of the k
+    follow by their ids, which must then be unique.
     """
     _check(df, query, k, vector, metric)
     kind = df.schema[vector].dataType.simpleString()
@@ -86,9 +94,11 @@ def knn(df: DataFrame, query: list, k: int, *, vector: str = "embedding", id: st
             raise ValueError(f"no distance filter by {distance[0]}")
         rows = rows.where(constrained(F.col("distance"), distance))
     if per is None:
-        return rows.orderBy("distance", id).limit(k)
-    rank = F.row_number().over(Window.partitionBy(per).orderBy("distance", id))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+        near = rows.orderBy("distance", id).limit(k)
+    else:
+        rank = F.row_number().over(Window.partitionBy(per).orderBy("distance", id))
+        near = rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.join(df.select(id, vector), id) if with_vector else near
 
 
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -142,35 +152,32 @@ def _one_pass(corpus: DataFrame, block: pd.DataFrame, k: int, metric: str, vecto
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "l2", query_id: str = "query_id", vector: str = "embedding", id: str = "id") -> DataFrame:  # noqa: A002
     """(query_id, id, distance, rank): the k nearest rows of corpus for each query, by distance, then id.
 
-    Queries are taken QUERY_BLOCK at a time, in order of their ids, and each block passes over the corpus once: what a
-    task is sent and what the driver holds at once is bounded by a block, whatever the number of queries."""
+    Queries are taken in blocks, in order of their ids: as many as QUERY_BYTES of vectors and QUERY_KEPT neighbours
+    allow. Each block passes over the corpus once and its neighbours are written before the next, so the driver holds one
+    block, and a task one block and its neighbours, whatever the number of queries."""
     if not 1 <= k <= MAX_K or metric not in ("l2", "l1", "cosine"):
         raise ValueError("k must be from 1 to 4096, and the metric l2, l1 or cosine")
     from tessera.operators.numbering import numbered
 
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    n = asked.count()
-    parts = []
-    if n <= QUERY_BLOCK:
-        blocks = iter([asked])
-    else:
-        rows = numbered(asked, [F.col("query_id")], "at", start=0)
-        blocks = (rows.where(F.floor(F.col("at") / QUERY_BLOCK) == b).drop("at") for b in range(-(-n // QUERY_BLOCK)))
-    for block in blocks:
-        held = block.toPandas()
-        if len(held):
-            parts.append(_one_pass(corpus, held, k, metric, vector, id))
-    if not parts:
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).head()
+    if not size["n"]:
         return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-    near = parts[0]
-    for p in parts[1:]:
-        near = near.unionByName(p)
+    block = max(1, min(QUERY_BYTES // (8 * max(1, size["d"])), QUERY_KEPT // k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = lambda held: _one_pass(corpus, held, k, metric, vector, id).withColumn("rank", rank).where(F.col("rank") <= k)
+    if size["n"] <= block:
+        return best(asked.toPandas())
+    spark, path = corpus.sparkSession, new_path(corpus.sparkSession, "knn-join")
+    rows = numbered(asked, [F.col("query_id")], "at", start=0)
+    for lo in range(0, size["n"], block):
+        best(rows.where(F.col("at").between(lo, lo + block - 1)).drop("at").toPandas()).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def static_vectors(df: DataFrame, name: str) -> DataFrame:
-    """Register a fixed set of vectors under a name, kept in memory, for knn over spark.table(name)."""
+    """Register a fixed set of vectors under a name, kept in memory, for knn over spark.table(name). The frame returned is
+    what was cached: unpersist it when the set is no longer needed."""
     out = df.cache()
     out.createOrReplaceTempView(name)
     return out

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.shared import written
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder (spark.checkpoint.dir; a local one is set only where it is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """df written to the session's shared folder, computed once."""
+    return written(df, "rows")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """df with a column of consecutive numbers in the order given, which should be total.
 
     Rows are range-partitioned and sorted; a partition's numbers begin after the counts of those before it. The counts,
-    one row per partition, are broadcast. The sorted rows are checkpointed, so ranges and counts belong together."""
+    one row per partition, are broadcast. The sorted rows are written first, so ranges and counts belong together."""
     inner = F.monotonically_increasing_id()
     rows = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", inner))
     part = F.shiftright("_m", 33)

@@ -11,23 +11,23 @@ from tessera.functions import text
 from tessera.operators.knn import knn
 
 LIMIT, RECENCY_BOOST, KEYWORD_BOOST, RERANK_BONUS, RERANK_BYTES = 20, 0.1, 0.2, 0.5, 500
-#: Rooms and wings are joined by broadcast while both have at most this many rows, else by a shuffle.
-DIMENSION_ROWS = 100_000
 
 
 def named(drawers: DataFrame, rooms: DataFrame, wings: DataFrame) -> DataFrame:
-    """drawers with room_name and wing_name; those without a room or wing vanish. Dimensions are broadcast only
-    while Spark's own size estimate and the count stay under the bound."""
+    """drawers with room_name and wing_name; those without a room or wing vanish. No side is marked for a broadcast: Spark
+    broadcasts rooms and wings while their size, as known from the files or measured at run time, is under its threshold."""
     names = rooms.select(F.col("id").alias("room_id"), F.col("name").alias("room_name"), "wing_id").join(
         wings.select(F.col("id").alias("wing_id"), F.col("name").alias("wing_name")), "wing_id")
-    if names.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS:
-        names = F.broadcast(names)
     return drawers.join(names, "room_id")
 
 
 def search_join(near: DataFrame, drawers: DataFrame, rooms: DataFrame, wings: DataFrame) -> DataFrame:
-    """Nearest (id, distance), at most 2 * 4096 rows by the bound on k and so broadcast, with text and names."""
-    found = drawers.join(F.broadcast(near.select("id", "distance")), "id")
+    """Nearest (id, distance) with text and names. They are at most 2 * 4096 rows by the bound on k, so the driver takes them
+    and their ids become a filter that reaches the scan of the drawers."""
+    near = near.select("id", "distance")
+    held = near.collect()
+    few = near.sparkSession.createDataFrame(held, near.schema)
+    found = drawers.where(F.col("id").isin([r["id"] for r in held])).join(F.broadcast(few), "id")
     return named(found, rooms, wings).select("id", "content", "source_path", "wing_name", "room_name", "distance", "created_at")
 
 

@@ -39,24 +39,29 @@ def upsert_rooms(rooms: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
 
 def first_of_hash(drawers: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
     """One drawer of each content hash, the first by order (id). A minimum per hash is a partial aggregate, so a text
-    that a third of all rows share is no hot group; only one row per hash is joined back."""
+    that a third of all rows share is no hot group; only one row per hash is joined back. A null hash (no content) is a
+    hash like any other."""
     order = order or ["id"]
-    firsts = drawers.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("_first"))
-    return drawers.withColumn("_first", F.struct(*order)).join(firsts, ["content_hash", "_first"], "left_semi").drop("_first")
+    firsts = drawers.groupBy(F.col("content_hash").alias("_hash")).agg(F.min(F.struct(*order)).alias("_first"))
+    same = F.col("content_hash").eqNullSafe(F.col("_hash")) & F.struct(*order).eqNullSafe(F.col("_first"))
+    return drawers.join(firsts, same, "left_semi")
 
 
 def dedup(drawers: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The drawers to insert: the first of each hash, unless stored has the hash, in any wing or room."""
-    fresh = drawers if stored is None else drawers.join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
+    if stored is None:
+        return first_of_hash(drawers)
+    have = stored.select(F.col("content_hash").alias("_have")).distinct()
+    fresh = drawers.join(have, F.col("content_hash").eqNullSafe(F.col("_have")), "left_anti")
     return first_of_hash(fresh)
 
 
 def resolved(drawers: DataFrame, stored: DataFrame) -> DataFrame:
-    """(id, stored_id, inserted) for every drawer offered: the id under which its text is stored."""
-    have = stored.groupBy("content_hash").agg(F.min("id").alias("_old"))
-    new = drawers.groupBy("content_hash").agg(F.min("id").alias("_new"))
-    at = new.join(have, "content_hash", "left").select("content_hash", F.coalesce("_old", "_new").alias("stored_id"), F.col("_old").isNull().alias("_fresh"))
-    return drawers.select("id", "content_hash").join(at, "content_hash").select(
+    """(id, stored_id, inserted) for every drawer offered: the id under which its text is stored. No content is a content too."""
+    have = stored.groupBy(F.col("content_hash").alias("_h")).agg(F.min("id").alias("_old"))
+    new = drawers.groupBy(F.col("content_hash").alias("_hash")).agg(F.min("id").alias("_new"))
+    at = new.join(have, F.col("_hash").eqNullSafe(F.col("_h")), "left").select("_hash", F.coalesce("_old", "_new").alias("stored_id"), F.col("_old").isNull().alias("_fresh"))
+    return drawers.select("id", "content_hash").join(at, F.col("content_hash").eqNullSafe(F.col("_hash"))).select(
         "id", "stored_id", (F.col("_fresh") & (F.col("id") == F.col("stored_id"))).alias("inserted"))
 
 
@@ -88,12 +93,11 @@ def latest_per_partition(table: DataFrame, keys: list[str], id_col: str = "id")
 
 
 def stats(wings: DataFrame, rooms: DataFrame, drawers: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row: the number of wings, rooms, drawers and entities. Each count is one row before they meet."""
-    parts = [df.agg(F.count(F.lit(1)).alias(n)) for n, df in (("wings", wings), ("rooms", rooms), ("drawers", drawers), ("entities", entities))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
-    return out
+    """One row: the number of wings, rooms, drawers and entities, in one aggregate that reads no column of theirs."""
+    names = ("wings", "rooms", "drawers", "entities")
+    parts = [df.select(F.lit(i).alias("t")) for i, df in enumerate((wings, rooms, drawers, entities))]
+    rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return rows.agg(*[F.count_if(F.col("t") == i).alias(n) for i, n in enumerate(names)])
 
 
 def by_wing_and_room(drawers: DataFrame, rooms: DataFrame, wings: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The store's API: open, mine, store, search, digest, statistics, graph. Tables are Parquet folders under one path.
 
-A write goes to new files and is published by a one-row pointer per table; one writer at a time."""
+A write goes to new folders. A log of one row a write names, for each table, the folders that make it up; the write
+counts when its row is there, for all tables at once. One writer at a time; readers see the last row of the log."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import schema
 from tessera.functions import embed, text
@@ -17,11 +19,16 @@ from tessera.operators.numbering import checkpointed
 from tessera.sources import mining
 
 
+#: A row of the log; folders of a table before they are rewritten as one.
+LOG, MAX_PARTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("parts", T.MapType(T.StringType(), T.ArrayType(T.StringType())))]), 64
+
+
 @dataclass
 class MineStats:
     files_processed: int
     files_skipped: int
     bytes: int
+    errors: int
     chunks_seen: int
     drawers_inserted: int
 
@@ -30,35 +37,52 @@ class Palace:
     def __init__(self, spark: SparkSession, path: str, embedder=None, metric: str = "l2"):
         self.spark, self.path, self.metric = spark, path.rstrip("/"), metric
         self.embedder = embedder or embed.HashEmbedder()
+        self.number, self.parts = 0, {}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int = 384, metric: str = "l2", embedder=None) -> Palace:
         """Open or create a store."""
         self = cls(spark, path, embedder or embed.HashEmbedder(dim), metric)
-        for name in schema.TABLES:
-            if self._pointer(name) is None:
-                self._replace(name, spark.createDataFrame([], schema.TABLES[name]))
+        self.refresh()
+        if missing := [name for name in schema.TABLES if name not in self.parts]:
+            self._publish({name: [] for name in missing})
         return self
 
-    def _pointer(self, name: str) -> str | None:
+    def refresh(self) -> None:
+        """Take the last published state, as another session may have written."""
         try:
-            row = self.spark.read.schema("version string").json(f"{self.path}/{name}/_current.json").head()
+            row = self.spark.read.schema(LOG).json(f"{self.path}/_log/*").orderBy(F.desc("n")).head()
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return row[0] if row else None
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            row = None
+        self.number, self.parts = (row["n"], {k: list(v) for k, v in row["parts"].items()}) if row else (0, {})
+
+    def _publish(self, changes: dict[str, list[str]]) -> None:
+        """One row of the log: the folders of all tables, with those of `changes` new. Its folder must not be there yet, so
+        of two writers one fails."""
+        number, parts = self.number + 1, self.parts | changes
+        self.spark.createDataFrame([(number, parts)], LOG).coalesce(1).write.mode("error").json(f"{self.path}/_log/{number:012d}")
+        self.number, self.parts = number, parts
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.path}/{name}/{self._pointer(name)}")
+        if not self.parts[name]:
+            return self.spark.createDataFrame([], schema.TABLES[name])
+        return self.spark.read.schema(schema.TABLES[name]).parquet(*[f"{self.path}/{name}/{part}" for part in self.parts[name]])
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        """A folder with df's rows that no table has yet."""
+        part = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/{name}/{part}")
+        return part
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{self.path}/{name}/_current.json")
+        self._publish({name: [self._write(name, df)]})
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}/{self._pointer(name)}")
+    def _with_more(self, name: str, part: str) -> list[str]:
+        """name's folders and one more; many are rewritten as one first."""
+        have = self.parts[name]
+        return [*have, part] if len(have) < MAX_PARTS else [self._write(name, self.table(name)), part]
 
     def wing_id(self, name: str, wing_type: str, now: int) -> int:
         wanted = self.spark.createDataFrame([(name, "", wing_type)], "name string, description string, wing_type string")
@@ -73,16 +97,16 @@ class Palace:
         wing_id = self.wing_id(wing, wing_type, now)
         rows = checkpointed(rows.withColumn("content_hash", text.content_hash(F.col("content"))))
         named = rows.select(F.lit(wing_id).cast("long").alias("wing_id"), F.col("room").alias("name"), F.lit("").alias("description"))
-        self._replace("rooms", store.upsert_rooms(self.table("rooms"), named, now))
-        ids = self.table("rooms").where(F.col("wing_id") == wing_id).select(F.col("id").alias("room_id"), F.col("name").alias("room"))
+        rooms = checkpointed(store.upsert_rooms(self.table("rooms"), named, now))
+        ids = rooms.where(F.col("wing_id") == wing_id).select(F.col("id").alias("room_id"), F.col("name").alias("room"))
         placed = rows.join(ids, "room").drop("room")
         order = ["source_path", "chunk_index", "room_id"]
         fresh = store.first_of_hash(placed.join(self.table("drawers").select("content_hash"), "content_hash", "left_anti"), order).dropDuplicates(["content_hash"])
         new = store.numbered(fresh, [F.col(c) for c in order], "id", store.next_id(self.table("drawers")))
         new = checkpointed(new.withColumn("created_at", F.lit(now).cast("long")).select(*[f.split()[0] for f in schema.TABLES["drawers"].split(", ")]))
-        self._append("drawers", new)
         vectors = new.select("id", self.embedder.column(F.col("content")).alias("embedding")).where("embedding IS NOT NULL")
-        self._append("vec_drawers", vectors)
+        more = {"drawers": self._write("drawers", new), "vec_drawers": self._write("vec_drawers", vectors)}
+        self._publish({"rooms": [self._write("rooms", rooms)]} | {name: self._with_more(name, part) for name, part in more.items()})
         return rows.count(), new.count()
 
     def mine(self, path: str, wing: str, mode: str = "auto", max_chunk: int = text.MAX_CHUNK, overlap: int = text.OVERLAP, *, now: int) -> MineStats:
@@ -92,12 +116,12 @@ class Palace:
         files = mining.read_files(self.spark, path)
         if mode == "conversation":
             rows, counts, kind = mining.conversation_chunks(self.spark, path), files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).head(), "conversation"
-            done, skipped, size = counts.n, 0, counts.b or 0
+            done, skipped, size, errors = counts.n, 0, counts.b or 0, 0
         else:
             rows = mining.file_chunks(files, path if mode == "directory" else None, max_chunk, overlap, every=mode == "file").drop("start", "end")
-            done, skipped, size = mining.stats(files.drop("content")).head()
+            done, skipped, size, errors = mining.stats(files).head()
             kind = "auto-mined"
-        return MineStats(done, skipped, size, *self.insert(rows, wing, kind, now))
+        return MineStats(done, skipped, size, errors, *self.insert(rows, wing, kind, now))
 
     def _is_dir(self, path: str) -> bool:
         jvm = self.spark._jvm
@@ -132,9 +156,8 @@ class Palace:
     def forget(self, wing: str) -> None:
         """Delete a wing with its rooms, drawers and vectors (an extension)."""
         names = ("wings", "rooms", "drawers", "vec_drawers")
-        left = [checkpointed(df) for df in store.cascade(*[self.table(t) for t in names], F.col("name") == wing)]
-        for name, df in zip(reversed(names), reversed(left)):
-            self._replace(name, df)
+        left = store.cascade(*[self.table(t) for t in names], F.col("name") == wing)
+        self._publish({name: [self._write(name, df)] for name, df in zip(names, left)})
 
     def see_entities(self, seen: DataFrame, now: int) -> None:
         self._replace("entities", graph.upsert_entities(self.table("entities"), seen, now))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import digest, graph, search, store
 from tessera.operators.knn import knn
+from tessera.operators.shared import new_path
+from tessera.palace import Palace
 from tessera.plans.base import (EPOCH, GRAPH, HIER, LOWER, NOW, PREVIEW, SEARCH_TEXT, UPPER, drawers, entities, query, query_vector, relationships, rooms,
                                 table, vectors, wings)
 from tessera.plans.vector_queries import l2
@@ -210,7 +212,8 @@ def size_filter(spark, sf):
 
 
 @query(f"""WITH {NAMES} SELECT count(*) FILTER (WHERE NOT {SKIP} AND strlen(text) > 0) AS files_processed, count(*) FILTER (WHERE {SKIP} OR strlen(text) = 0) AS files_skipped,
-    CAST(coalesce(sum(strlen(text)) FILTER (WHERE NOT {SKIP}), 0) AS BIGINT) AS bytes FROM names""")
+    CAST(coalesce(sum(strlen(text)) FILTER (WHERE NOT {SKIP}), 0) AS BIGINT) AS bytes,
+    count(*) FILTER (WHERE NOT {SKIP} AND strlen(text) > 0 AND text IS NULL) AS errors FROM names""")
 def mine_stats(spark, sf):
     return mining.stats(files(spark, sf))
 
@@ -230,5 +233,9 @@ def mine_file(spark, sf):
 
 @query("SELECT 1 AS chunks, sha256('a decision and its reason') AS content_hash, 'notes' AS room, 'agent' AS source_path, 'memory' AS source_type")
 def store_memory(spark, sf):
-    one = mining.snippet(spark, "a decision and its reason", "notes", "agent")
-    return one.select(F.lit(1).alias("chunks"), text.content_hash(F.col("content")).alias("content_hash"), "room", "source_path", "source_type")
+    """A text stored twice in a new store, read back from its tables."""
+    palace = Palace.open(spark, new_path(spark, "palace"), dim=16)
+    for now in (EPOCH, NOW):
+        palace.store("a decision and its reason", "work", now=now)
+    rows = palace.table("drawers").join(palace.table("rooms").select(F.col("id").alias("room_id"), F.col("name").alias("room")), "room_id").join(palace.table("vec_drawers"), "id")
+    return rows.groupBy("content_hash", "room", "source_path", "source_type").agg(F.count(F.lit(1)).cast("int").alias("chunks"))

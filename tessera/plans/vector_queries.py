@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vector as vec
 from tessera.operators import store
 from tessera.operators.knn import knn, knn_join, literal, static_vectors
-from tessera.operators.vector_table import VectorTableSpec, appended
+from tessera.operators.shared import new_path
+from tessera.operators.vector_table import VectorTable, VectorTableSpec, appended
 from tessera.plans.base import query, query_vector, table, vectors
 
 Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -119,14 +120,46 @@ def knn_meta_bool(spark, sf):
     return shown(knn(rows, query_vector(spark, sf), K, where={"good": ("=", True)}))
 
 
+@query(near_sql(l2("e.embedding", "q"), "n_chars >= 500 AND n_chars < 3000", WITH_DOCUMENTS))
+def knn_meta_between(spark, sf):
+    """Two bounds on one column."""
+    return shown(knn(with_documents(spark, sf), query_vector(spark, sf), K, where=[("n_chars", ">=", 500), ("n_chars", "<", 3000)]))
+
+
+@query(f"""SELECT id, label, round(d, 6) + 0.0 AS distance, {as_json('v')} AS vector FROM (
+    SELECT e.vec_id AS id, e.label, e.embedding AS v, {l2('e.embedding', 'q')} AS d FROM {E}) ORDER BY d, id LIMIT {K}""")
+def knn_with_vector(spark, sf):
+    near = knn(vectors(spark, sf), query_vector(spark, sf), K, with_vector=True)
+    return near.select("id", "label", F.round("distance", 6).alias("distance"), vec.to_json(F.col("embedding")).alias("vector"))
+
+
+SPEC = VectorTableSpec(vectors={"embedding": ("float32", 64)}, partition={"label": "int"})
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def vector_table(spark, sf):
+    """The embeddings as a vector table with a folder for each label, written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    made = key in _TABLES
+    out = VectorTable(spark, _TABLES.setdefault(key, new_path(spark, "vector-table")), SPEC)
+    if not made:
+        out.insert(vectors(spark, sf).withColumn("label", F.col("label").cast("long")))
+    return out
+
+
+def in_partitions(spark, sf, op, label):
+    rows = vector_table(spark, sf).knn(query_vector(spark, sf), K, where={"label": (op, label)})
+    return shown(rows.withColumn("label", F.col("label").cast(vectors(spark, sf).schema["label"].dataType)))
+
+
 @query(near_sql(l2("e.embedding", "q"), "label = 5"))
 def knn_partition_eq(spark, sf):
-    return nearest(spark, sf, where={"label": ("=", 5)})
+    return in_partitions(spark, sf, "=", 5)
 
 
 @query(near_sql(l2("e.embedding", "q"), "label <= 4"))
 def knn_partition_range(spark, sf):
-    return nearest(spark, sf, where={"label": ("<=", 4)})
+    return in_partitions(spark, sf, "<=", 4)
 
 
 @query(near_sql(l2("e.embedding", "q"), "e.vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
@@ -198,6 +231,13 @@ scalar("vec_f32", as_json(V), lambda v, q: vec.to_json(vec.f32(vec.to_json(v))))
 scalar("vec_int8", as_json("list_transform(e.embedding::DOUBLE[], lambda x: CAST(trunc(x * 100) AS INT))"), lambda v, q: vec.to_json(vec.int8(F.transform(vec.doubles(v), lambda x: (x * 100).cast("int")))))
 
 
+@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding[9:48], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ',') || ']' AS value, 64 AS bits FROM embeddings")
+def vec_slice_bits(spark, sf):
+    """Bits 8 up to 48 of the quantised vectors, and their length."""
+    rows = vectors(spark, sf).select("id", vec.quantize_binary(F.col("embedding")).alias("b"))
+    return rows.select("id", vec.bits_to_json(vec.slice_bits(F.col("b"), 8, 48), 40).alias("value"), vec.length(F.col("b"), "words").alias("bits"))
+
+
 @query("SELECT vec_id AS id, 'float32' AS value FROM embeddings")
 def vec_type(spark, sf):
     df = vectors(spark, sf)
@@ -234,9 +274,6 @@ def vec_point_lookup(spark, sf):
     return vec_scan(spark, sf).where("id = 7")
 
 
-SPEC = VectorTableSpec(vectors={"embedding": ("float32", 64)}, partition={"label": "int"})
-
-
 @query(f"SELECT vec_id AS id, label, {as_json('embedding')} AS vector FROM embeddings UNION ALL SELECT vec_id + 1000000000, label + 100, {as_json('embedding')} FROM embeddings")
 def vec_insert(spark, sf):
     rows = vectors(spark, sf)

@@ -41,11 +41,12 @@ def file_chunks(files: DataFrame, root: str | None, max_chunk: int = text.MAX_CH
 
 
 def stats(files: DataFrame) -> DataFrame:
-    """(files_processed, files_skipped, bytes) in one aggregate. The file reader lists neither hidden nor empty files, so only
-    frames from elsewhere count them as skipped."""
+    """(files_processed, files_skipped, bytes, errors) in one aggregate. A file that is to be mined but whose content is null,
+    as could not be read, is an error and not processed. The file reader lists neither hidden nor empty files, so only frames from elsewhere count them as skipped."""
     keep = mined(F.col("path"), F.col("length"))
-    return files.agg(F.count_if(keep).alias("files_processed"), F.count_if(~keep).alias("files_skipped"),
-                     F.coalesce(F.sum(F.when(keep, F.col("length"))), F.lit(0)).cast("long").alias("bytes"))
+    good = keep & F.col("content").isNotNull()
+    return files.agg(F.count_if(good).alias("files_processed"), F.count_if(~keep).alias("files_skipped"),
+                     F.coalesce(F.sum(F.when(good, F.col("length"))), F.lit(0)).cast("long").alias("bytes"), F.count_if(keep & F.col("content").isNull()).alias("errors"))
 
 
 def conversation_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,20 +1,22 @@
 import hashlib
+import io
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.__main__ import main
 from tessera.functions import text
 from tessera.functions import vector as vec
-from tessera.operators import graph, store
+from tessera.operators import digest, graph, search, store
 from tessera.operators.knn import knn, knn_join
 from tessera.operators.vector_table import VectorTable, VectorTableSpec
 from tessera.palace import Palace
 from tessera.plans.base import table
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 from tessera.service import Service
-from tessera.sources import config, npy
+from tessera.sources import config, mining, npy
 from tessera.streaming.mine import mine_stream
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +81,109 @@ def test_chunks_of_hard_texts(spark):
     assert text.chunked(spark.createDataFrame([(1, None)], "id int, text string"), "text").count() == 0
 
 
+def test_mined_chunks_match_brute_force(spark):
+    docs = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
+    ends = [".md", ".py", ".png", "", ".PNG", ".lock", ".txt"]
+    name = lambda i: f"{docs[i].source}/{'.f' if i % 13 == 0 else 'f'}{i}{ends[i % 7]}"
+    chunks = lambda t: [(i, s, e, hashlib.sha256(t.encode()[s:e]).hexdigest()) for i, (s, e) in enumerate(brute_chunks(t, 2048, 256))]
+    want = {("project", name(i), "file", *c) for i, r in docs.items() if i % 13 and i % 7 not in (2, 4, 5) for c in chunks(r.text)}
+    got = QUERIES["mine_directory"](spark, SF).select("room", "source_path", "source_type", "chunk_index", "start", "end", "content_hash").collect()
+    assert {(a, b.removeprefix("project/"), *rest) for a, b, *rest in map(tuple, got)} == want and len(got) == len(want)
+    longest = min(docs.values(), key=lambda r: (-len(r.text.encode()), "project/" + name(r.doc_id)))
+    got = QUERIES["mine_file"](spark, SF).select("chunk_index", "start", "end", F.sha2(F.col("content").cast("binary"), 256)).collect()
+    assert sorted(map(tuple, got)) == chunks(longest.text)
+
+
+def test_unreadable_files_are_errors(spark):
+    files = spark.createDataFrame([("a/b.md", 3, bytearray(b"abc")), ("a/c.md", 5, None), ("a/d.png", 2, None)], "path string, length long, content binary")
+    assert tuple(mining.stats(files).head()) == (1, 1, 3, 1)
+
+
+def test_partition_filters_prune_and_bounds_repeat(spark):
+    df = QUERIES["knn_partition_range"](spark, SF)
+    plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(label" in plan and "<= 4)]" in plan
+    rows = spark.createDataFrame([(i, [float(i)], i) for i in range(20)], "id long, embedding array<float>, n int")
+    assert [r.id for r in knn(rows, [0.0], 3, where=[("n", ">=", 5), ("n", "<", 7)]).orderBy("id").collect()] == [5, 6]
+    near = knn(rows, [4.2], 2, with_vector=True).orderBy("distance").collect()
+    assert [(r.id, r.embedding) for r in near] == [(4, [4.0]), (5, [5.0])]
+
+
+def test_bit_slices_by_bytes(spark):
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, 192)
+    df = spark.createDataFrame([(bits.tolist(),)], "v array<int>").select(vec.quantize_binary(F.col("v").cast("array<float>")).alias("b"))
+    for lo, hi in ((0, 8), (8, 72), (56, 192), (64, 128), (40, 136), (184, 192)):
+        got = df.select(vec.bits_to_json(vec.slice_bits(F.col("b"), lo, hi), hi - lo).alias("j")).head().j
+        assert json.loads(got) == bits[lo:hi].tolist(), (lo, hi)
+    with pytest.raises(ValueError):
+        vec.slice_bits(F.col("b"), 4, 8)
+    with pytest.raises(Exception, match="beyond"):
+        df.select(vec.slice_bits(F.col("b"), 8, 200)).collect()
+
+
+def test_reranker_lowers_what_it_takes_for_relevant(spark):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "id long, embedding array<float>")
+    drawers = spark.createDataFrame([(i, 1, f"text {i} " + "é" * 600, f"s{i}", 0) for i in range(6)], "id long, room_id long, content string, source_path string, created_at long")
+    rooms, wings = spark.createDataFrame([(1, 1, "r")], "id long, wing_id long, name string"), spark.createDataFrame([(1, "w")], "id long, name string")
+    seen = []
+
+    def reranker(query, content):
+        seen.append(content)
+        if "text 1" in content:
+            raise RuntimeError("down")
+        return "text 2" in content
+
+    run = lambda r: search.hybrid(vectors, drawers, rooms, wings, "zz", [0.0], limit=3, now=10**9, reranker=r).collect()
+    plain, better = run(None), run(reranker)
+    assert [r.id for r in plain] == [0, 1, 2] and [r.id for r in better] == [0, 1, 2]
+    assert better[2].score == plain[2].score - 0.5 and better[1].score == plain[1].score and len(seen) == 6 and all(len(c.encode()) <= 500 for c in seen)
+
+
+def test_identity_file_and_its_cap(tmp_path):
+    assert digest.identity(str(tmp_path / "none")) == digest.NO_IDENTITY
+    (tmp_path / "i.txt").write_text("I am é" + "x" * 20_000)
+    assert digest.identity(str(tmp_path / "i.txt")) == ("I am é" + "x" * 20_000).encode()[: digest.IDENTITY_BYTES].decode()
+    (tmp_path / "e.txt").write_text("")
+    assert digest.identity(str(tmp_path / "e.txt")) == digest.NO_IDENTITY
+
+
+def test_command_line_verbs(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "c.yaml").write_text(f"default_wing: home\ndatabase_path: {tmp_path}/db\n")
+    (tmp_path / "note.md").write_text("rivers carry sand to the sea")
+    said = lambda *argv: (main(["--config", str(tmp_path / "c.yaml"), *argv]), capsys.readouterr().out)[1]
+    assert said("instructions").startswith("Search before") and said("init") == "" and "No results" in said("search", "rivers")
+    assert "drawers_inserted=1" in said("mine", str(tmp_path / "note.md")) and "note.md\nrivers carry sand" in said("search", "rivers sand")
+    assert "Drawers:         1" in said("stats") and "No knowledge graph" in said("kg") and "rivers carry" in said("wake-up", "--wing", "home")
+    assert said("compare", "one text", "one text").strip() == "1.0000"
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"hook_event_name":"SessionStart"}'))
+    assert "additionalContext" in said("hook")
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"id":1,"method":"tools/list"}\n'))
+    assert len(json.loads(said("mcp"))["result"]["tools"]) == 4
+
+
+def test_a_write_counts_for_all_tables_or_for_none(spark, tmp_path):
+    palace = Palace.open(spark, str(tmp_path / "store"), dim=8)
+    palace.store("first text", "w", now=1)
+
+    class Broken:
+        def column(self, content):
+            return F.when(F.raise_error(F.lit("model is gone")).isNotNull(), F.array(F.lit(1.0).cast("float")))
+
+    whole, palace.embedder = palace.embedder, Broken()
+    with pytest.raises(Exception, match="model is gone"):
+        palace.store("second text", "w", now=2)
+    again = Palace.open(spark, str(tmp_path / "store"), dim=8)
+    for p in (palace, again):
+        assert p.table("drawers").count() == p.table("vec_drawers").count() == 1
+    again.store("second text", "w", now=3)
+    palace.embedder = whole
+    with pytest.raises(Exception, match="exist"):
+        palace.store("third text", "w", now=4)
+    palace.refresh()
+    assert palace.store("third text", "w", now=4) == 3 and palace.table("vec_drawers").count() == 3
+
+
 def test_mined_files(spark):
     rows = QUERIES["mine_directory"](spark, SF).collect()
     want = {r.doc_id for r in table(spark, SF, "documents").collect() if r.doc_id % 13 and r.doc_id % 7 not in (2, 4, 5)}
@@ -122,7 +227,7 @@ def test_knn_join_in_blocks(spark, monkeypatch):
     x = rng.normal(size=(60, 8))
     x[7] = x[3]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
-    monkeypatch.setattr(module, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(module, "QUERY_BYTES", 25 * 8 * 8)
     for metric in ("l2", "l1", "cosine"):
         got = knn_join(df.withColumnRenamed("id", "query_id"), df, 4, metric=metric).collect()
         far = {"l2": lambda a, b: np.linalg.norm(a - b), "l1": lambda a, b: np.abs(a - b).sum(), "cosine": lambda a, b: 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b)}[metric]
@@ -229,7 +334,9 @@ def test_config(tmp_path):
 
 def test_writes(spark):
     rows = spark.createDataFrame([(1, "h1"), (2, "h1"), (3, None)], "id long, content_hash string")
-    assert sorted(r.id for r in store.first_of_hash(rows).collect()) == [1]
+    assert sorted(r.id for r in store.first_of_hash(rows).collect()) == [1, 3]
+    assert sorted(map(tuple, store.resolved(rows, rows.where("id > 2")).collect())) == [(1, 1, True), (2, 1, False), (3, 3, False)]
+    assert [r.id for r in store.dedup(rows, rows.where("id = 3")).collect()] == [1]
     old = spark.createDataFrame([(1, 1, "p", 2, 1.0, 5, 9, None, 5)], "id long, subject_id long, predicate string, object_id long, confidence double, valid_from long, valid_until long, source_drawer_id long, created_at long")
     edge = spark.createDataFrame([(1, "p", 2)], "subject_id long, predicate string, object_id long")
     once = graph.add_edges(old, edge, 20)
