@@ -1,13 +1,20 @@
 """Operator 4, n-gram Jaccard join by signature trees.
 
-Texts with the same shingle set are one class. Classes that agree in a band of minimum hashes are neighbours, and the
-connected components of neighbours are the cells, the roots of the trees: with the bands below a pair at the threshold
-agrees in a band but for odds of 6e-11 at 0.85 and 5e-8 at 0.8. The pruning in the trees is exact, the bands are not. In a cell, nodes hold the OR of the token bitmaps of their texts and
-their range of set sizes. A dual traversal starts at pairs of nodes and drops those whose sizes or whose largest
-possible overlap rule a link out, or whose texts are in one component already; what is left is verified exactly.
-
-Large cells are dealt out: random blocks of `block` texts first, which settle most of the components, then every pair
-of nodes that still spans two components and passes the bounds, each in a task of its own. No pair is left out.
+Texts with the same shingle set are one class. In a signature tree, nodes hold the OR of the token bitmaps of their
+texts and their range of set sizes. A dual traversal starts at pairs of nodes and drops those whose sizes or whose
+largest possible overlap rule a link out, or whose texts are in one component already; what is left is verified exactly.
+Which texts meet in a tree is settled in two steps.
+
+First, classes that agree in a band of minimum hashes are neighbours, and the connected components of neighbours are the
+cells, the roots of trees. They bring nearly all links together at little cost: a pair at the threshold shares a band but
+for odds of 6e-11 at 0.85 and 5e-8 at 0.8. Large cells are dealt out: random blocks of `block` texts first, which settle
+most of the components, then every pair of nodes that still spans two components and passes the bounds, each in a task
+of its own.
+
+Then the rest, for certain: with all shingles in one order, rare ones first, two texts of a link have a shingle in common
+among the first |x| - ceil(t |x|) + 1 of each. So every such shingle that texts of different components (of different
+cells, where links are counted) have is the root of a tree over them; its pairs that pass the bounds are verified. No
+pair is left out, whatever the bands do.
 
 Where links are counted, no component is a reason to drop a pair: every pair of classes of a cell that passes the
 bounds is verified, and a link counts with the sizes of its classes.
@@ -22,15 +29,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, documents, groups, materialise
+from tessera.llm.common import components, documents, groups, materialise, spread_join
 from tessera.llm.shingles import minhashes, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
 WORDS = 32  # 64-bit words of a bitmap
 BLOCK, LEAF, ROUNDS = 64, 8, 3
-SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>"
+#: Rows of the sample that shows which shingles are common, rows of it that a common one is in, common ones at most. They
+#: decide the order of shingles, so the length of lists, and no result.
+SAMPLE, COMMON_ROWS, COMMON = 10_000, 3, 200_000
+LIST_BLOCK = 2048
+SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>, first array<long>"
 MEMBER = "cell long, id long, n long, hashes binary, bits array<long>, pop long"
-EDGE, FOUND = "a long, b long", "id long, links long, other long"
+EDGE, FOUND, PAIR = "a long, b long", "id long, links long, other long", "a long, na long, b long, nb long"
 
 
 def weights(docs: DataFrame) -> list[str]:
@@ -44,8 +55,41 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(on).view(np.uint64)
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """SIGNATURE of every row: the set's size, two sums that stand for it, and a key for each band (none if empty)."""
+def common_shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are in several rows of a sample, sorted, and in how many; at most COMMON, so the driver and the tasks
+    may hold them."""
+    share = SAMPLE / max(1, df.count())
+    some = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(4)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select(F.col(text_col).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), 500):
+                yield pd.DataFrame({"h": np.concatenate([np.empty(0, dtype=np.uint64), *shingle_sets(f["text"].iloc[lo : lo + 500].tolist(), n)]).view(np.int64)})
+
+    count = some.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON_ROWS)
+    found = count.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    h, c = found["h"].to_numpy(dtype=np.int64).view(np.uint64), found["c"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def first_shingles(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """Of a set (sorted), those of which any linked set shares one with its own: the first |s| - ceil(t |s|) + 1 in the
+    order by frequency in the sample, then by value."""
+    if not len(s):
+        return s
+    seen = np.zeros(len(s), dtype=np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+        seen = np.where(common[0][at] == s, common[1][at], 0)
+    return s[np.argsort(seen, kind="stable")[: len(s) + (-num * len(s)) // den + 1]]
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """SIGNATURE of every row: the set's size, two sums that stand for it, a key for each band, and the first shingles (none
+    if empty)."""
+    common = common_shingles(df, id_col, text_col, n)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), 500):
@@ -58,6 +102,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     "h1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
                     "h2": [int(mix(s, 99).sum(dtype=np.uint64).view(np.int64)) for s in sets],
                     "keys": [k if len(s) else k[:0] for k, s in zip(keys, sets)],
+                    "first": [first_shingles(s, common, num, den).view(np.int64) for s in sets],
                 })
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, SIGNATURE)
@@ -108,6 +153,12 @@ class SignatureTree:
             self.levels.append(level)
 
 
+def tree_of(f: pd.DataFrame) -> tuple[pd.DataFrame, SignatureTree]:
+    """Texts (id, n, bits, ...) by set size, and the tree over them."""
+    f = f.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
+    return f, SignatureTree(f["n"].to_numpy(), np.array(f["bits"].tolist(), dtype=np.int64).reshape(len(f), -1).view(np.uint64))
+
+
 def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether a link may join a text of node i and one of node j: by size, and by the largest possible overlap.
     A text has at most (size - bits) + (bits in common) shingles in common with any text of the other node."""
@@ -165,12 +216,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def link(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: int) -> pd.DataFrame | None:
     """Edges (a, b) that span the components of one node's texts, or of two nodes' against each other.
     Frames have id, n, hashes, bits and a label; texts with one label are taken as connected."""
-    def tree(f: pd.DataFrame) -> tuple[pd.DataFrame, SignatureTree]:
-        f = f.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
-        return f, SignatureTree(f["n"].to_numpy(), np.array(f["bits"].tolist(), dtype=np.int64).reshape(len(f), -1).view(np.uint64))
-
-    left, ta = tree(left)
-    right, tb = (left, None) if right is None else tree(right)
+    left, ta = tree_of(left)
+    right, tb = (left, None) if right is None else tree_of(right)
     i, j = candidates(ta, tb, num, den)
     root: dict[int, int] = {}
 
@@ -213,14 +260,10 @@ def overlaps(sets: list[np.ndarray], n: int | None) -> np.ndarray:
 
 def count_links(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: int) -> pd.DataFrame | None:
     """FOUND rows of one node's texts, or of two nodes' against each other: links by weight, and local components."""
-    def tree(f: pd.DataFrame) -> tuple[pd.DataFrame, SignatureTree]:
-        f = f.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
-        return f, SignatureTree(f["n"].to_numpy(), np.array(f["bits"].tolist(), dtype=np.int64).reshape(len(f), -1).view(np.uint64))
-
-    left, ta = tree(left)
+    left, ta = tree_of(left)
     both, tb = left, None
     if right is not None:
-        right, tb = tree(right)
+        right, tb = tree_of(right)
         both = pd.concat([left, right], ignore_index=True)
     i, j = candidates(ta, tb, num, den)
     if not len(i):
@@ -308,6 +351,56 @@ def across_nodes(docs: DataFrame, label: DataFrame, size: DataFrame, num: int, d
     return both.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, out_schema)
 
 
+def label_apart(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | None]]:
+    """Frames to compare, so that every two rows of different labels meet, but not those of the commonest label, which may
+    hold nearly all of a list."""
+    most = (left if right is None else pd.concat([left, right]))["label"].mode().iloc[0] if len(left) else 0
+    of = lambda f: (f[f["label"] == most], f[f["label"] != most])
+    many, few = of(left)
+    sides = [(few, None), (many, few)] if right is None else [(many, of(right)[1]), (few, right)]
+    for a, b in sides:
+        if len(a) > (b is None) and (b is None or len(b)):
+            yield a, b
+
+
+def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """PAIR rows: all linked pairs of classes that `label` (id, label; a class without one is its own) holds apart."""
+    heads = member.where("id = class").select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    first = materialise(sig.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "first").join(heads, "id"), "first-shingles")
+    each = first.select("id", "n", "label", F.explode("first").alias("shingle"))
+    lists = each.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("shingle", "size")
+    rows = materialise(each.join(lists, "shingle").distinct(), "shared-first")
+    texts = materialise(members(df, rows.select("id", F.lit(0).cast("long").alias("cell")).distinct(), id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "shared-texts")
+    cut = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    rows = rows.withColumn("cut", cut).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    rows = rows.withColumn("pair", F.explode(pair)).select("shingle", "pair.i", "pair.j", "own", "id", "n", "label").join(texts.select("id", "n", "bits"), ["id", "n"])
+    key = ["shingle", "i", "j"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(frames, key):
+            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+            for left, right in label_apart(g[g["own"] == i], None if i == j else g[g["own"] == j]):
+                left, ta = tree_of(left)
+                other, tb = (left, None) if right is None else tree_of(right)
+                x, y = candidates(ta, tb, num, den)
+                apart = left["label"].to_numpy()[x] != other["label"].to_numpy()[y]
+                a, b = left[["id", "n"]].to_numpy()[x[apart]], other[["id", "n"]].to_numpy()[y[apart]]
+                turn = a[:, 0] > b[:, 0]
+                a[turn], b[turn] = b[turn], a[turn].copy()
+                yield pd.DataFrame({"a": a[:, 0], "na": a[:, 1], "b": b[:, 0], "nb": b[:, 1]})
+
+    pairs = materialise(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, na long, b long, nb long").distinct(), "shared-pairs")
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("hashes").alias(f"h{k}"))
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            both = np.array([overlap(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(f["ha"], f["hb"])], dtype=np.int64)
+            yield f.loc[both * (num + den) >= num * (f["na"] + f["nb"]), ["a", "na", "b", "nb"]]
+
+    return materialise(pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).mapInPandas(verify, PAIR).distinct(), "missed-pairs")
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, threshold: tuple[int, int] = (80, 100),
                block: int = BLOCK, rounds: int = ROUNDS, links: bool = False) -> DataFrame:
     """One row per row of df: id, n_shingles (distinct n-word shingles), component_id (smallest id reachable by links).
@@ -317,28 +410,36 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     have no shingle and link with nothing. Ids are cast to long; rows with a null id are returned with a null
     component. An id that stands for several texts links as all of them. Other columns are ignored.
 
+    block: texts of a block of a cell; a cell of more is cut into blocks and nodes, which changes the cost and no result.
+
     With links, a fourth column n_links is the number of other rows linked directly, those of equal shingle sets
     included; ids should then be unique. Without, only the links that settle the components are verified.
     """
     num, den = threshold
-    sig = materialise(signatures(df, id_col, text_col, n), "signatures")
+    sig = materialise(signatures(df, id_col, text_col, n, num, den), "signatures")
     member, cell = cells(sig)
     docs = materialise(members(df, cell, id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "members")
     if links:
-        return with_links(sig, member, cell, docs, id_col, num, den, block)
+        more = missed_pairs(df, sig, member, cell.select("id", F.col("cell").alias("label")), id_col, text_col, n, num, den)
+        return with_links(sig, member, cell, docs, more, id_col, num, den, block)
     edges = materialise(within_blocks(docs, cell, num, den, block, rounds), "block-edges")
     if cell.where(F.col("size") > block).limit(1).count():
         more = across_nodes(docs, components(edges), cell, num, den, block)
         edges = materialise(edges.union(more), "edges")
-    top = components(edges).withColumnRenamed("id", "class")
+    top = components(edges)
+    more = missed_pairs(df, sig, member, top.withColumnRenamed("component", "label"), id_col, text_col, n, num, den)
+    if more.limit(1).count():
+        top = components(edges.union(more.select("a", "b")))
+    top = top.withColumnRenamed("id", "class")
     known = materialise(
-        member.join(top, "class", "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component_id")), "components")
+        spread_join(member, top, ["class"], ["id"], "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component_id")), "components")
     return sig.select("id", "n_shingles").join(known, "id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def with_links(sig: DataFrame, member: DataFrame, cell: DataFrame, docs: DataFrame, id_col: str, num: int, den: int, block: int) -> DataFrame:
-    """The rows of `ngram_join` with n_links: every pair of classes of a cell is met in one task, or a bound drops it."""
+def with_links(sig: DataFrame, member: DataFrame, cell: DataFrame, docs: DataFrame, more: DataFrame, id_col: str, num: int, den: int, block: int) -> DataFrame:
+    """The rows of `ngram_join` with n_links: every pair of classes of a cell is met in one task, or a bound drops it; more
+    (PAIR) are the links between cells."""
     key = ["n_shingles", "h1", "h2"]
     some = sig.where("n_shingles > 0 AND id IS NOT NULL")
     heads = materialise(some.groupBy(*key).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("weight")), "class-sizes")
@@ -347,10 +448,13 @@ def with_links(sig: DataFrame, member: DataFrame, cell: DataFrame, docs: DataFra
     if cell.where(F.col("size") > block).limit(1).count():
         own = cell.select("id", F.col("id").alias("component"))
         found = found.union(across_nodes(docs, own, cell, num, den, max(block, 2), count_links, FOUND))
-    found = materialise(found, "links")
+    weight = heads.select(F.col("class").alias("id"), F.col("n_shingles").alias("n"), "weight")
+    ends = more.select("a", "na", "b", "nb").union(more.select("b", "nb", "a", "na")).toDF("id", "_n", "x", "n")
+    between = ends.join(weight.withColumnRenamed("id", "x"), ["x", "n"]).select("id", F.col("weight").alias("links"), F.col("x").alias("other"))
+    found = materialise(found.union(between), "links")
     count = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
     top = components(found.where("id <> other"), "id", "other").withColumnRenamed("id", "class")
-    known = materialise(member.join(top, "class", "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component_id")), "components")
+    known = materialise(spread_join(member, top, ["class"], ["id"], "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component_id")), "components")
     number = materialise(heads.join(count, "class", "left").select(*key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "n-links")
     return sig.select("id", *key).join(number, key, "left").join(known, "id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),

@@ -75,6 +75,39 @@ def test_links_match_brute_force(spark, docs):
     assert sorted(tuple(r)[:3] for r in got) == brute(list(range(len(texts))), texts, 4, 85, 100)
 
 
+def test_links_that_no_band_shows_are_found(spark, docs, monkeypatch):
+    """Bands that never agree, and others that agree seldom: the shared first shingles alone must bring the links."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choice(vocab) for _ in range(30))
+    texts = [t for k in range(10) for t in family(rng, rng.choice([2, 6, 12]), rng.choice([3, 20, 60, 200]), 3, vocab)]
+    texts += [f"{passage} " + " ".join(rng.choice(vocab) for _ in range(rng.choice([2, 40]))) for _ in range(40)] + [passage] * 3
+    ids = rng.sample(range(10_000), len(texts))
+    sets = sets_of(texts, 4)
+    want = sorted((i, sum(a != b and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets))) for a, (i, x) in enumerate(zip(ids, sets)))
+    monkeypatch.setattr(nj, "LIST_BLOCK", 7)
+    monkeypatch.setattr(nj, "BANDS", 1)
+    for never in (False, True):
+        if never:
+            monkeypatch.setattr(nj, "minhashes", lambda sets, k: np.array([random.Random(int(s.sum())).randrange(2**60) for s in sets for _ in range(k)], dtype=np.uint64).reshape(len(sets), k))
+        df = docs(list(zip(ids, texts)))
+        assert sorted(map(tuple, nj.ngram_join(df, n=4, threshold=(85, 100), block=16).collect())) == brute(ids, texts, 4, 85, 100)
+        got = nj.ngram_join(df, n=4, threshold=(85, 100), block=16, links=True).collect()
+        assert sorted((r.doc_id, r.n_links) for r in got) == want and sum(x for _, x in want) > 100
+
+
+def test_linked_sets_share_a_first_shingle():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        pool = rng.permutation(400).astype(np.uint64)
+        a = np.sort(pool[: rng.integers(1, 60)])
+        b = np.sort(np.unique(np.concatenate([a[rng.random(len(a)) > 0.08], pool[300 : 300 + rng.integers(0, 4)]])))
+        common = (np.sort(pool[:100]), rng.integers(3, 9, 100))
+        for num in (80, 85):
+            if len(b) and 100 * nj.overlap(a, b) >= num * (len(a) + len(b) - nj.overlap(a, b)):
+                assert set(nj.first_shingles(a, common, num, 100).tolist()) & set(nj.first_shingles(b, common, num, 100).tolist())
+
+
 def test_documents_match_brute_force(spark):
     rows = documents(spark, SF).select("doc_id", "text").collect()
     got = nj.op4_ngram_join(spark, SF)
