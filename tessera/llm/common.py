@@ -76,6 +76,24 @@ def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield pd.concat(rest, ignore_index=True)
 
 
+def runs(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Whole groups of frames that come sorted by keys, many in a frame: a group that goes on is held back, and with less
+    than `rows` rows all are."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) < rows:
+            continue
+        f = pd.concat(held, ignore_index=True)
+        k = f[keys].to_numpy()
+        cut = int(np.flatnonzero((k != k[-1]).any(axis=1))[-1]) + 1 if (k != k[-1]).any() else 0
+        if cut:
+            yield f.iloc[:cut].reset_index(drop=True)
+        held = [f.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
 def gather(pool: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of pool (run i has size[i] entries) that pick names, end to end, and the size of each."""
     start, long = np.cumsum(size) - size, size[pick]

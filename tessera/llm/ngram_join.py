@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, documents, groups, materialise, spread_join
+from tessera.llm.common import components, documents, groups, materialise, runs, spread_join
 from tessera.llm.shingles import minhashes, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -38,8 +38,8 @@ BLOCK, LEAF, ROUNDS = 64, 8, 3
 #: Rows of the sample that shows which shingles are common, rows of it that a common one is in, common ones at most. They
 #: decide the order of shingles, so the length of lists, and no result.
 SAMPLE, COMMON_ROWS, COMMON = 10_000, 3, 200_000
-LIST_BLOCK = 2048
-SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>, first array<long>"
+LIST_BLOCK, LEAVES = 2048, 64
+SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>, first array<long>, bits array<long>"
 MEMBER = "cell long, id long, n long, hashes binary, bits array<long>, pop long"
 EDGE, FOUND, PAIR = "a long, b long", "id long, links long, other long", "a long, na long, b long, nb long"
 
@@ -86,8 +86,8 @@ def first_shingles(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: in
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """SIGNATURE of every row: the set's size, two sums that stand for it, a key for each band, and the first shingles (none
-    if empty)."""
+    """SIGNATURE of every row: the set's size, two sums that stand for it, a key for each band, the first shingles (none
+    if empty), and the bitmap."""
     common = common_shingles(df, id_col, text_col, n)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +102,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
                     "h1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
                     "h2": [int(mix(s, 99).sum(dtype=np.uint64).view(np.int64)) for s in sets],
                     "keys": [k if len(s) else k[:0] for k, s in zip(keys, sets)],
-                    "first": [first_shingles(s, common, num, den).view(np.int64) for s in sets],
+                    "first": [first_shingles(s, common, num, den).view(np.int64) for s in sets], "bits": [bitmap(s).view(np.int64) for s in sets],
                 })
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, SIGNATURE)
@@ -363,34 +363,80 @@ def label_apart(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tupl
             yield a, b
 
 
+def leaf_pairs(f: pd.DataFrame, start: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in stretches of f (each a tree of one leaf) that have different labels and pass the bounds."""
+    pairs = [np.zeros((2, 0), dtype=np.int64)]
+    for k in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(k, 1)
+        at = start[size == k][:, None]
+        pairs.append(np.stack([(at + i).ravel(), (at + j).ravel()]))
+    i, j = np.concatenate(pairs, axis=1)
+    n, label = f["n"].to_numpy(), f["label"].to_numpy()
+    ok = (label[i] != label[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return i, j
+    bits = np.array(f["bits"].tolist(), dtype=np.int64).view(np.uint64)
+    one = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1).astype(np.int64))
+    ok = np.concatenate([possible(one, i[lo : lo + 50_000], one, j[lo : lo + 50_000], num, den) for lo in range(0, len(i), 50_000)])
+    return i[ok], j[ok]
+
+
+def tree_pairs(g: pd.DataFrame, num: int, den: int) -> Iterator[pd.DataFrame]:
+    """PAIR rows of one long list, or of two blocks of it against each other, that pass the bounds."""
+    i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+    for left, right in label_apart(g[g["own"] == i], None if i == j else g[g["own"] == j]):
+        left, ta = tree_of(left)
+        other, tb = (left, None) if right is None else tree_of(right)
+        x, y = candidates(ta, tb, num, den)
+        apart = left["label"].to_numpy()[x] != other["label"].to_numpy()[y]
+        yield pair_rows(left.iloc[x[apart]], other.iloc[y[apart]])
+
+
+def pair_rows(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    a, b = x[["id", "n"]].to_numpy(), y[["id", "n"]].to_numpy()
+    turn = a[:, 0] > b[:, 0]
+    a[turn], b[turn] = b[turn], a[turn].copy()
+    return pd.DataFrame({"a": a[:, 0], "na": a[:, 1], "b": b[:, 0], "nb": b[:, 1]})
+
+
 def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """PAIR rows: all linked pairs of classes that `label` (id, label; a class without one is its own) holds apart."""
+    """PAIR rows: all linked pairs of classes that `label` (id, label; a class without one is its own) holds apart.
+
+    Shingles that the same texts have make one list. Lists of up to LEAVES texts are leaves, of which a task bounds many at
+    a time; longer ones are trees, cut into blocks above LIST_BLOCK texts. Only texts of pairs that pass are read again."""
     heads = member.where("id = class").select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     first = materialise(sig.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "first").join(heads, "id"), "first-shingles")
     each = first.select("id", "n", "label", F.explode("first").alias("shingle"))
-    lists = each.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("shingle", "size")
-    rows = materialise(each.join(lists, "shingle").distinct(), "shared-first")
-    texts = materialise(members(df, rows.select("id", F.lit(0).cast("long").alias("cell")).distinct(), id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "shared-texts")
+    same = ["size", "lo", "hi", "x", "y"]
+    lists = each.groupBy("shingle").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+        F.bit_xor(F.xxhash64("id", "n")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "n", "id")).alias("y"))
+    lists = materialise(lists.where("a <> b").groupBy(*same).agg(F.min("shingle").alias("shingle")).select("shingle", "size"), "lists")
+    rows = materialise(each.join(lists, "shingle"), "list-rows")
     cut = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
     rows = rows.withColumn("cut", cut).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    rows = rows.withColumn("pair", F.explode(pair)).select("shingle", "pair.i", "pair.j", "own", "id", "n", "label").join(texts.select("id", "n", "bits"), ["id", "n"])
+    rows = rows.withColumn("pair", F.explode(pair)).select("shingle", "pair.i", "pair.j", "own", "size", "id", "n", "label")
+    bits = sig.select("id", F.col("n_shingles").alias("n"), "h1", "bits").dropDuplicates(["id", "n", "h1"]).drop("h1")
+    rows = rows.join(bits, ["id", "n"])
     key = ["shingle", "i", "j"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(frames, key):
-            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-            for left, right in label_apart(g[g["own"] == i], None if i == j else g[g["own"] == j]):
-                left, ta = tree_of(left)
-                other, tb = (left, None) if right is None else tree_of(right)
-                x, y = candidates(ta, tb, num, den)
-                apart = left["label"].to_numpy()[x] != other["label"].to_numpy()[y]
-                a, b = left[["id", "n"]].to_numpy()[x[apart]], other[["id", "n"]].to_numpy()[y[apart]]
-                turn = a[:, 0] > b[:, 0]
-                a[turn], b[turn] = b[turn], a[turn].copy()
-                yield pd.DataFrame({"a": a[:, 0], "na": a[:, 1], "b": b[:, 0], "nb": b[:, 1]})
-
-    pairs = materialise(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, na long, b long, nb long").distinct(), "shared-pairs")
+        for f in runs(frames, key, 4096):
+            new = np.append(True, (f[key].to_numpy()[1:] != f[key].to_numpy()[:-1]).any(axis=1))
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(f)))
+            small = size <= LEAVES
+            i, j = leaf_pairs(f, start[small], size[small], num, den)
+            if len(i):
+                yield pair_rows(f.iloc[i], f.iloc[j])
+            for lo, k in zip(start[~small].tolist(), size[~small].tolist()):
+                yield from tree_pairs(f.iloc[lo : lo + k], num, den)
+
+    pairs = materialise(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, PAIR).distinct(), "list-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = materialise(members(df, ids.withColumn("cell", F.lit(0).cast("long")), id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "list-texts")
     side = lambda k: texts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("hashes").alias(f"h{k}"))
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
