@@ -11,10 +11,10 @@ for odds of 6e-11 at 0.85 and 5e-8 at 0.8. Large cells are dealt out: random blo
 most of the components, then every pair of nodes that still spans two components and passes the bounds, each in a task
 of its own.
 
-Then the rest, for certain: with all shingles in one order, rare ones first, two texts of a link have a shingle in common
-among the first |x| - ceil(t |x|) + 1 of each. So every such shingle that texts of different components (of different
-cells, where links are counted) have is the root of a tree over them; its pairs that pass the bounds are verified. No
-pair is left out, whatever the bands do.
+Then the rest, for certain: with all shingles in one order, rare ones first, two texts of a link have L shingles in common
+among the first |x| - ceil(t |x|) + L of each. So every such shingle that texts of different components (of different
+cells, where links are counted) have is the root of a tree over those of them that have enough of such shingles; its
+pairs that pass the bounds are verified. No pair is left out, whatever the bands do.
 
 Where links are counted, no component is a reason to drop a pair: every pair of classes of a cell that passes the
 bounds is verified, and a link counts with the sizes of its classes.
@@ -74,15 +74,16 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[
 
 
 def first_shingles(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
-    """Of a set (sorted), those of which any linked set shares one with its own: the first |s| - ceil(t |s|) + 1 in the
-    order by frequency in the sample, then by value."""
+    """Of a set (sorted), the first |s| - ceil(t |s|) + L in the order by frequency in the sample, then by value; L is a third
+    of what a linked set may lack, and 1. Two linked sets have as many of these in common as the smaller of their Ls."""
     if not len(s):
         return s
     seen = np.zeros(len(s), dtype=np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
         seen = np.where(common[0][at] == s, common[1][at], 0)
-    return s[np.argsort(seen, kind="stable")[: len(s) + (-num * len(s)) // den + 1]]
+    lack = len(s) + (-num * len(s)) // den
+    return s[np.argsort(seen, kind="stable")[: lack + lack // 3 + 1]]
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
@@ -403,11 +404,18 @@ def pair_rows(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
 def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """PAIR rows: all linked pairs of classes that `label` (id, label; a class without one is its own) holds apart.
 
+    A text with fewer first shingles in common with texts of other labels than any link of its size needs is left out.
     Shingles that the same texts have make one list. Lists of up to LEAVES texts are leaves, of which a task bounds many at
     a time; longer ones are trees, cut into blocks above LIST_BLOCK texts. Only texts of pairs that pass are read again."""
     heads = member.where("id = class").select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     first = materialise(sig.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "first").join(heads, "id"), "first-shingles")
-    each = first.select("id", "n", "label", F.explode("first").alias("shingle"))
+    each = F.explode("first").alias("shingle")
+    shared = first.select("label", each).groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
+    rows = materialise(first.select("id", "n", each).join(shared, "shingle"), "shared")
+    least = F.expr(f"n - (n - ({num} * n + {den - 1}) div {den})")  # the size of the smallest set that may be linked
+    keep = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("has")).withColumn("least", least).where(
+        F.expr(f"has >= (least - ({num} * least + {den - 1}) div {den}) div 3 + 1")).select("id", "n")
+    each = materialise(rows.join(first.select("id", "n", "label").join(keep, ["id", "n"]), ["id", "n"]), "kept")
     same = ["size", "lo", "hi", "x", "y"]
     lists = each.groupBy("shingle").agg(
         F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"),
@@ -448,7 +456,7 @@ def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFr
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, threshold: tuple[int, int] = (80, 100),
-               block: int = BLOCK, rounds: int = ROUNDS, links: bool = False) -> DataFrame:
+               block: int = BLOCK, rounds: int = ROUNDS, links: bool = False, exact: bool = True) -> DataFrame:
     """One row per row of df: id, n_shingles (distinct n-word shingles), component_id (smallest id reachable by links).
 
     Two texts link if den * (shingles in common) >= num * (shingles of both together), threshold = (num, den). Words
@@ -456,7 +464,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     have no shingle and link with nothing. Ids are cast to long; rows with a null id are returned with a null
     component. An id that stands for several texts links as all of them. Other columns are ignored.
 
-    block: texts of a block of a cell; a cell of more is cut into blocks and nodes, which changes the cost and no result.
+    exact: whether the links that no band shows are searched for (see above); without, a pair may be missed with the odds
+    given there. block: texts of a block of a cell; a cell of more is cut into blocks and nodes, which changes the cost and no result.
 
     With links, a fourth column n_links is the number of other rows linked directly, those of equal shingle sets
     included; ids should then be unique. Without, only the links that settle the components are verified.
@@ -466,16 +475,17 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     member, cell = cells(sig)
     docs = materialise(members(df, cell, id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "members")
     if links:
-        more = missed_pairs(df, sig, member, cell.select("id", F.col("cell").alias("label")), id_col, text_col, n, num, den)
+        more = missed_pairs(df, sig, member, cell.select("id", F.col("cell").alias("label")), id_col, text_col, n, num, den) if exact else df.sparkSession.createDataFrame([], PAIR)
         return with_links(sig, member, cell, docs, more, id_col, num, den, block)
     edges = materialise(within_blocks(docs, cell, num, den, block, rounds), "block-edges")
     if cell.where(F.col("size") > block).limit(1).count():
         more = across_nodes(docs, components(edges), cell, num, den, block)
         edges = materialise(edges.union(more), "edges")
     top = components(edges)
-    more = missed_pairs(df, sig, member, top.withColumnRenamed("component", "label"), id_col, text_col, n, num, den)
-    if more.limit(1).count():
-        top = components(edges.union(more.select("a", "b")))
+    if exact:
+        more = missed_pairs(df, sig, member, top.withColumnRenamed("component", "label"), id_col, text_col, n, num, den)
+        if more.limit(1).count():
+            top = components(edges.union(more.select("a", "b")))
     top = top.withColumnRenamed("id", "class")
     known = materialise(
         spread_join(member, top, ["class"], ["id"], "left").groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component_id")), "components")
