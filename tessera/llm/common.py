@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed now. Spark removes them when the driver's garbage collector finds that
+    nothing refers to their plans any more, which may be long after their results were written; a job over many tables
+    would hold the disk of all its shuffles till then. Costs a collection of the driver's heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -45,19 +45,14 @@ def lanes_for(rows: int, fan_in: int = FAN_IN, least: int = MIN_LANES, each: int
     return lanes
 
 
-def tagged(df: DataFrame) -> DataFrame:
-    """(row, tag): each row as a struct with a number of its own; written, so that the number stays."""
-    return materialise(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("tag")), "tagged")
-
-
-def digest_rows(rows: DataFrame, lanes: int) -> DataFrame:
+def digest_rows(rows: DataFrame, lanes: int, more: list[str] | None = None) -> DataFrame:
     """Entries of rows (id, text, tag): KEY, ORDER, size and lane. Equality is verified by three values at every level:
     SHA-256, a second 64-bit hash and the length of the normalised text."""
     return (
-        rows.select("id", "tag", (-F.length("text")).cast("long").alias("neg_chars"), F.col("id").isNull().alias("no_id"), normalised(F.col("text")).alias("norm"))
+        rows.select(*(more or []), "id", "tag", (-F.length("text")).cast("long").alias("neg_chars"), F.col("id").isNull().alias("no_id"), normalised(F.col("text")).alias("norm"))
         .select(
             F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.xxhash64("norm").alias("check"), F.length("norm").alias("chars"),
-            *ORDER, F.lit(1).cast("long").alias("size"), F.pmod(F.xxhash64("tag"), F.lit(lanes)).cast("int").alias("lane"))
+            *ORDER, *(more or []), F.lit(1).cast("long").alias("size"), F.pmod(F.xxhash64("tag"), F.lit(lanes)).cast("int").alias("lane"))
     )
 
 
@@ -104,13 +99,13 @@ def tree_merge(entries: DataFrame, lanes: int, fan_in: int) -> tuple[DataFrame,
     return leaf, level.select(*KEY, F.col("id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.col("size").alias("group_size"))
 
 
-def decided(rows: DataFrame, lanes: int | None, fan_in: int) -> DataFrame:
-    """rows (id, text, tag): id, tag, keep_id, group_size, kept, text_sha256."""
+def decided(rows: DataFrame, lanes: int | None, fan_in: int, more: list[str] | None = None) -> DataFrame:
+    """rows (id, text, tag, ...): id, tag, keep_id, group_size, kept, text_sha256, and the columns of more."""
     lanes = lanes or lanes_for(rows.count(), fan_in)
-    entries = materialise(digest_rows(rows, lanes), "digests")
-    leaf, winners = tree_merge(entries, lanes, fan_in)
+    entries = materialise(digest_rows(rows, lanes, more), "digests")
+    leaf, winners = tree_merge(entries.drop(*(more or [])), lanes, fan_in)
     down = materialise(leaf.select(*KEY, "lane").join(materialise(winners, "winners"), KEY), "winners")
-    return entries.join(down, [*KEY, "lane"]).select("id", "tag", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), "text_sha256")
+    return entries.join(down, [*KEY, "lane"]).select("id", "tag", *(more or []), "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lanes: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -126,10 +121,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns; of repeated rows one."""
-    rows = tagged(df)
-    kept = decided(rows.select(F.col(f"row.{id_col}").alias("id"), text_or_empty(f"row.{text_col}").alias("text"), "tag"), None, FAN_IN).where("kept").select("tag")
-    return rows.join(kept, "tag", "left_semi").select("row.*")
+    """The input rows that stay, with all their columns. Of rows with one id and one text one stays, which of them is open
+    where their other columns differ.
+
+    Kept rows are found again by 128 bits of hash over id and text. Rows that agree in it become one on the map side
+    already, and the kept ones' hashes are joined where the rows then are, so texts are shuffled once."""
+    own = lambda id_, text: {"_k1": F.xxhash64(id_, text), "_k2": F.xxhash64(F.lit(2), text, id_)}
+    text = text_or_empty(text_col)
+    entries = df.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("tag"))
+    found = decided(entries.withColumns(own(F.col("id"), F.col("text"))), None, FAN_IN, ["_k1", "_k2"])
+    rows = df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in own(F.col(id_col), text).items()]).dropDuplicates(["_k1", "_k2"])
+    return rows.join(found.where("kept").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, documents, groups, materialise, runs, spread_join
+from tessera.llm.common import components, documents, groups, materialise, release_shuffles, runs, spread_join
 from tessera.llm.shingles import minhashes, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -411,7 +411,11 @@ def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFr
     first = materialise(sig.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "first").join(heads, "id"), "first-shingles")
     each = F.explode("first").alias("shingle")
     shared = first.select("label", each).groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
+    release_shuffles(df.sparkSession)
+    shared = materialise(shared, "shared-shingles")
+    release_shuffles(df.sparkSession)
     rows = materialise(first.select("id", "n", each).join(shared, "shingle"), "shared")
+    release_shuffles(df.sparkSession)
     least = F.expr(f"n - (n - ({num} * n + {den - 1}) div {den})")  # the size of the smallest set that may be linked
     keep = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("has")).withColumn("least", least).where(
         F.expr(f"has >= (least - ({num} * least + {den - 1}) div {den}) div 3 + 1")).select("id", "n")
@@ -471,6 +475,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     included; ids should then be unique. Without, only the links that settle the components are verified.
     """
     num, den = threshold
+    release_shuffles(df.sparkSession)
     sig = materialise(signatures(df, id_col, text_col, n, num, den), "signatures")
     member, cell = cells(sig)
     docs = materialise(members(df, cell, id_col, text_col, n).dropDuplicates(["id", "n", "hashes"]), "members")
