@@ -39,6 +39,7 @@ BLOCK, LEAF, ROUNDS = 64, 8, 3
 #: decide the order of shingles, so the length of lists, and no result.
 SAMPLE, COMMON_ROWS, COMMON = 10_000, 3, 200_000
 LIST_BLOCK, LEAVES = 2048, 64
+SLICE_ROWS, SLICE_CHARS = 500, 1_000_000
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>, first array<long>, bits array<long>"
 MEMBER = "cell long, id long, n long, hashes binary, bits array<long>, pop long"
 EDGE, FOUND, PAIR = "a long, b long", "id long, links long, other long", "a long, na long, b long, nb long"
@@ -55,6 +56,17 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(on).view(np.uint64)
 
 
+def text_slices(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of f (text) in runs of SLICE_ROWS and about SLICE_CHARS characters, one row at least: shingling takes some
+    hundred bytes of memory a character of what is shingled together."""
+    size = np.array([len(t or "") + SLICE_CHARS // SLICE_ROWS for t in f["text"]], dtype=np.int64)
+    run = (np.cumsum(size) - size) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(f)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield f.iloc[lo:hi]
+
+
 def common_shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that are in several rows of a sample, sorted, and in how many; at most COMMON, so the driver and the tasks
     may hold them."""
@@ -63,8 +75,8 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), 500):
-                yield pd.DataFrame({"h": np.concatenate([np.empty(0, dtype=np.uint64), *shingle_sets(f["text"].iloc[lo : lo + 500].tolist(), n)]).view(np.int64)})
+            for part in text_slices(f):
+                yield pd.DataFrame({"h": np.concatenate([np.empty(0, dtype=np.uint64), *shingle_sets(part["text"].tolist(), n)]).view(np.int64)})
 
     count = some.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON_ROWS)
     found = count.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
@@ -93,8 +105,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), 500):
-                part = f.iloc[lo : lo + 500]
+            for part in text_slices(f):
                 sets = shingle_sets(part["text"].tolist(), n)
                 low = minhashes(sets, BANDS * ROWS).reshape(len(sets), BANDS, ROWS)
                 keys = mix((low * np.array([1, 3, 5, 7][:ROWS], dtype=np.uint64)).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
@@ -127,8 +138,7 @@ def members(df: DataFrame, cell: DataFrame, id_col: str, text_col: str, n: int)
     """MEMBER rows: the shingles and the bitmap of each text that is in a cell."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), 500):
-                part = f.iloc[lo : lo + 500]
+            for part in text_slices(f):
                 sets = shingle_sets(part["text"].tolist(), n)
                 bits = [bitmap(s) for s in sets]
                 yield pd.DataFrame({
