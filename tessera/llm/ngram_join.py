@@ -175,7 +175,10 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, num: int, den: in
     A text has at most (size - bits) + (bits in common) shingles in common with any text of the other node."""
     lo_a, hi_a, lo_b, hi_b = a[1][i], a[2][i], b[1][j], b[2][j]
     fits = (hi_a * den >= lo_b * num) & (hi_b * den >= lo_a * num)
-    common = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1).astype(np.int64)
+    common = np.zeros(len(i), dtype=np.int64)
+    for lo in range(0, len(i), 50_000):  # a bitmap a pair, so only some at a time
+        part = slice(lo, lo + 50_000)
+        common[part] = np.bitwise_count(a[0][i[part]] & b[0][j[part]]).sum(axis=1)
     most = np.minimum(np.minimum(a[3][i] + common, hi_a), np.minimum(b[3][j] + common, hi_b))
     return fits & (most * (num + den) >= num * (lo_a + lo_b))
 
