@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, documents, groups, materialise, release_shuffles, runs, spread_join
+from tessera.llm.common import components, documents, groups, materialise, release_shuffles, runs, small_batches, spread_join
 from tessera.llm.shingles import minhashes, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -38,7 +38,7 @@ BLOCK, LEAF, ROUNDS = 64, 8, 3
 #: Rows of the sample that shows which shingles are common, rows of it that a common one is in, common ones at most. They
 #: decide the order of shingles, so the length of lists, and no result.
 SAMPLE, COMMON_ROWS, COMMON = 10_000, 3, 200_000
-LIST_BLOCK, LEAVES = 2048, 64
+LIST_BLOCK, LEAVES, LEAF_PAIRS = 2048, 64, 2000
 SLICE_ROWS, SLICE_CHARS = 500, 1_000_000
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, keys array<long>, first array<long>, bits array<long>"
 MEMBER = "cell long, id long, n long, hashes binary, bits array<long>, pop long"
@@ -183,8 +183,9 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, num: int, den: in
     return fits & (most * (num + den) >= num * (lo_a + lo_b))
 
 
-def candidates(a: SignatureTree, b: SignatureTree | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dual traversal of two trees, or of one with itself: pairs of texts that no bound rules out."""
+def candidates(a: SignatureTree, b: SignatureTree | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal of two trees, or of one with itself: pairs of texts that no bound rules out, those of LEAF_PAIRS pairs of
+    leaves at a time, so that memory doesn't grow with the square of a list."""
     other = b or a
     top = max(len(a.levels), len(other.levels)) - 1
     i = j = np.zeros(1, dtype=np.int64)
@@ -209,13 +210,15 @@ def candidates(a: SignatureTree, b: SignatureTree | None, num: int, den: int) ->
             i, j = step(i, j, len(la[0]), len(lb[0]), 2 if depth < len(a.levels) - 1 else 1, 2 if depth < len(other.levels) - 1 else 1)
         ok = possible(la, i, lb, j, num, den)
         i, j = i[ok], j[ok]
-    i, j = step(i, j, len(a.n), len(other.n), LEAF, LEAF)
-    if b is None:
-        keep = i < j
-        i, j = i[keep], j[keep]
     one = lambda t: (t.bits, t.n, t.n, t.n - t.pop)
-    ok = possible(one(a), i, one(other), j, num, den)
-    return i[ok], j[ok]
+    for lo in range(0, len(i), LEAF_PAIRS):
+        p, q = step(i[lo : lo + LEAF_PAIRS], j[lo : lo + LEAF_PAIRS], len(a.n), len(other.n), LEAF, LEAF)
+        if b is None:
+            keep = p < q
+            p, q = p[keep], q[keep]
+        ok = possible(one(a), p, one(other), q, num, den)
+        if ok.any():
+            yield p[ok], q[ok]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -232,7 +235,6 @@ def link(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: int) ->
     Frames have id, n, hashes, bits and a label; texts with one label are taken as connected."""
     left, ta = tree_of(left)
     right, tb = (left, None) if right is None else tree_of(right)
-    i, j = candidates(ta, tb, num, den)
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -245,14 +247,15 @@ def link(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: int) ->
     sa = [np.frombuffer(x, dtype=np.uint64) for x in left["hashes"]]
     sb = sa if tb is None else [np.frombuffer(x, dtype=np.uint64) for x in right["hashes"]]
     out = []
-    for x, y in zip(i.tolist(), j.tolist()):
-        p, q = find(la[x]), find(lb[y])
-        if p == q or ia[x] == ib[y]:
-            continue
-        both = overlap(sa[x], sb[y])
-        if both * (num + den) >= num * (na[x] + nb[y]):
-            root[max(p, q)] = min(p, q)
-            out.append((ia[x], ib[y]))
+    for i, j in candidates(ta, tb, num, den):
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = find(la[x]), find(lb[y])
+            if p == q or ia[x] == ib[y]:
+                continue
+            both = overlap(sa[x], sb[y])
+            if both * (num + den) >= num * (na[x] + nb[y]):
+                root[max(p, q)] = min(p, q)
+                out.append((ia[x], ib[y]))
     return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
 
@@ -279,9 +282,10 @@ def count_links(left: pd.DataFrame, right: pd.DataFrame | None, num: int, den: i
     if right is not None:
         right, tb = tree_of(right)
         both = pd.concat([left, right], ignore_index=True)
-    i, j = candidates(ta, tb, num, den)
-    if not len(i):
+    some = list(candidates(ta, tb, num, den))
+    if not some:
         return None
+    i, j = np.concatenate(some, axis=1)
     common = overlaps([np.frombuffer(x, dtype=np.uint64) for x in both["hashes"]], None if tb is None else len(left))[i, j]
     if tb is not None:
         j = j + len(left)
@@ -402,13 +406,15 @@ def tree_pairs(g: pd.DataFrame, num: int, den: int) -> Iterator[pd.DataFrame]:
     for left, right in label_apart(g[g["own"] == i], None if i == j else g[g["own"] == j]):
         left, ta = tree_of(left)
         other, tb = (left, None) if right is None else tree_of(right)
-        x, y = candidates(ta, tb, num, den)
-        apart = left["label"].to_numpy()[x] != other["label"].to_numpy()[y]
-        yield pair_rows(left.iloc[x[apart]], other.iloc[y[apart]])
+        one, two = left["label"].to_numpy(), other["label"].to_numpy()
+        for x, y in candidates(ta, tb, num, den):
+            apart = one[x] != two[y]
+            yield pair_rows(left, x[apart], other, y[apart])
 
 
-def pair_rows(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-    a, b = x[["id", "n"]].to_numpy(), y[["id", "n"]].to_numpy()
+def pair_rows(left: pd.DataFrame, x: np.ndarray, right: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+    """PAIR rows of rows x of left and rows y of right."""
+    a, b = left[["id", "n"]].to_numpy()[x], right[["id", "n"]].to_numpy()[y]
     turn = a[:, 0] > b[:, 0]
     a[turn], b[turn] = b[turn], a[turn].copy()
     return pd.DataFrame({"a": a[:, 0], "na": a[:, 1], "b": b[:, 0], "nb": b[:, 1]})
@@ -455,7 +461,7 @@ def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFr
             small = size <= LEAVES
             i, j = leaf_pairs(f, start[small], size[small], num, den)
             if len(i):
-                yield pair_rows(f.iloc[i], f.iloc[j])
+                yield pair_rows(f, i, f, j)
             for lo, k in zip(start[~small].tolist(), size[~small].tolist()):
                 yield from tree_pairs(f.iloc[lo : lo + k], num, den)
 
@@ -487,6 +493,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     With links, a fourth column n_links is the number of other rows linked directly, those of equal shingle sets
     included; ids should then be unique. Without, only the links that settle the components are verified.
     """
+    with small_batches(df.sparkSession):  # all that Python workers do is written in here
+        return _join(df, id_col, text_col, n, threshold, block, rounds, links, exact)
+
+
+def _join(df: DataFrame, id_col: str, text_col: str, n: int, threshold: tuple[int, int], block: int, rounds: int, links: bool, exact: bool) -> DataFrame:
     num, den = threshold
     release_shuffles(df.sparkSession)
     sig = materialise(signatures(df, id_col, text_col, n, num, den), "signatures")

@@ -124,12 +124,12 @@ def test_tree_keeps_every_linked_pair():
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets = [sets[i] for i in order]
     tree = nj.SignatureTree(np.array([len(s) for s in sets]), np.array([nj.bitmap(s) for s in sets]))
-    pairs = set(zip(*(x.tolist() for x in nj.candidates(tree, None, 80, 100))))
+    pairs = {p for x, y in nj.candidates(tree, None, 80, 100) for p in zip(x.tolist(), y.tolist())}
     linked = {(a, b) for b in range(len(sets)) for a in range(b) if nj.overlap(sets[a], sets[b]) * 180 >= 80 * (len(sets[a]) + len(sets[b]))}
     assert linked <= pairs and len(pairs) < len(sets) * (len(sets) - 1) / 4
     half = len(sets) // 2
     parts = [nj.SignatureTree(tree.n[s], tree.bits[s]) for s in (slice(0, half), slice(half, None))]
-    cross = {(a, b + half) for a, b in zip(*(x.tolist() for x in nj.candidates(*parts, 80, 100)))}
+    cross = {(a, b + half) for x, y in nj.candidates(*parts, 80, 100) for a, b in zip(x.tolist(), y.tolist())}
     assert {p for p in linked if p[0] < half <= p[1]} <= cross
 
 
