@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tessera.llm import ngram_join as nj
 from tessera.llm.common import components, documents
@@ -116,7 +117,9 @@ def test_documents_match_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute([r.doc_id for r in rows], [r.text for r in rows], 4, 85, 100)
 
 
-def test_tree_keeps_every_linked_pair():
+@pytest.mark.parametrize("leaf_pairs", [2000, 7])
+def test_tree_keeps_every_linked_pair(monkeypatch, leaf_pairs):
+    monkeypatch.setattr(nj, "LEAF_PAIRS", leaf_pairs)
     rng = random.Random(5)
     vocab = [f"v{i}" for i in range(80)]
     texts = [t for _ in range(15) for t in family(rng, 8, rng.choice([10, 40, 41, 120]), 3, vocab)]
