@@ -13,11 +13,13 @@ a lost task wrote is never read. With the index records are read in any order; w
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +41,11 @@ NO_ID, WIDE = 1, 2
 SLICE_CHARS, FILE_BYTES, READ_BYTES, RAW = 4_000_000, 256 << 20, 4 << 20, 1000
 #: Pieces that a worker keeps for later slices at most, and characters of a piece above which it isn't kept.
 KEEP, KEEP_CHARS = 400_000, 64
+#: Behind a run of letters, and behind one of digits, no match of the pattern goes on: the letters and digits of which every
+#: Unicode version says the same, before a character of ASCII.
+BEHIND = (r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}])([\x{1}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}])", r"([0-9])([\x{1}-\x{2F}\x{3A}-\x{7F}])")
+#: Pieces that may be encoded in lines, and lines of a text: no white space but a leading blank, nor characters that may be such.
+PLAIN, LINES = r"^ ?[!-~\x{A1}-\x{167F}\x{3001}-\x{D7FF}]+$", 500
 #: Bytes of a lane of the checksums, a power of two from 8.
 LANE = 64
 INDEX = "doc_id long, file string, part long, offset long, bytes long, before long, n_tokens long"
@@ -126,49 +133,86 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 class PieceEncoder:
     """A tokenizer of the tokenizers library. Where it cuts texts as byte-level BPE does and changes nothing before, texts are
-    cut at single spaces and line feeds, distinct pieces are encoded once a slice, and short ones kept for later. Any
-    other tokenizer, and a text with one of its special strings, is asked for the whole text."""
+    cut at single spaces and line feeds, the distinct pieces of a slice once more behind words and numbers, and what is new
+    of that is encoded; the ids of short pieces are kept, end to end, for later slices. Any other tokenizer, and a text with one
+    of its special strings or a zero character, is asked for the whole text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core; threads for short pieces cost more than they save
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.by_pieces = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.special = [t["content"] for t in told["added_tokens"]]
-        self.kind = "<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
-        self.kept: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for at in range(0, len(texts), RAW)
-                for e in self.tokenizer.encode_batch_fast(texts[at : at + RAW], add_special_tokens=False)]
-
-    def _coded(self, pieces: list[str]) -> list[bytes]:
-        new = [p for p in pieces if p not in self.kept]
-        learnt = dict(zip(new, self._raw(new)))
-        coded = [self.kept[p] if p in self.kept else learnt[p] for p in pieces]
-        if len(self.kept) + len(learnt) > KEEP:
-            self.kept = {}
-        self.kept.update((p, c) for p, c in learnt.items() if len(p) <= KEEP_CHARS)
-        return coded
+        self.special = [*(t["content"] for t in told["added_tokens"]), "\0"]
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
+        self.feed = self._raw(["\n"])[0][0] if self.by_pieces else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pool, self.size = np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), RAW) for e in self.tokenizer.encode_batch_fast(texts[at : at + RAW], add_special_tokens=False)]
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, end to end, and how many each has. Those without white space but a leading blank are laid LINES to
+        a text, with line feeds between, which are an id of their own and in no other."""
+        plain = pc.match_substring_regex(pa.array(texts, pa.string()), PLAIN).to_numpy(zero_copy_only=False)
+        one, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        lines = ["".join(texts[k] + "\n" for k in one[at : at + LINES]) for at in range(0, len(one), LINES)]
+        ids = self._raw([*lines, *(texts[k] for k in rest)])
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(size.sum()))
+        end = int(size[: len(lines)].sum())
+        cut = np.flatnonzero(flat[:end] == self.feed)
+        if len(cut) != len(one):
+            raise ValueError("the tokenizer joins line feeds with what is beside them")
+        own = np.append(np.diff(cut, prepend=-1) - 1, size[len(lines) :])
+        flat = np.append(np.delete(flat[:end], cut), flat[end:])
+        order = np.argsort(np.array([*one, *rest], dtype=np.int64))
+        return gather(flat, own, order)[0], own[order]
+
+    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, end to end, and how many each has."""
+        if len(self.number) > KEEP:
+            self._forget()
+        at = np.fromiter((self.number.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        new = np.flatnonzero(at < 0)
+        ids, size = self._flat([pieces[k] for k in new.tolist()])
+        at[new] = len(self.size) + np.arange(len(new))
+        pool, sizes = np.append(self.pool, ids), np.append(self.size, size)
+        keep = [k for k in new.tolist() if len(pieces[k]) <= KEEP_CHARS]
+        if len(keep) == len(new):
+            self.number.update((pieces[k], int(at[k])) for k in keep)
+            self.pool, self.size = pool, sizes
+        else:  # long ones aren't kept
+            some, each = gather(pool, sizes, at[keep])
+            self.number.update(zip((pieces[k] for k in keep), range(len(self.size), len(self.size) + len(keep))))
+            self.pool, self.size = np.append(self.pool, some), np.append(self.size, each)
+        return gather(pool, sizes, at)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (no nulls), as bytes."""
-        if not self.by_pieces:
-            return self._raw(texts.to_pylist())
-        whole = np.zeros(len(texts), dtype=bool)
-        for s in self.special:
+        whole = np.full(len(texts), not self.by_pieces)
+        for s in self.special if self.by_pieces else []:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
-        for k, c in zip(np.flatnonzero(whole).tolist(), self._raw(texts.filter(pa.array(whole)).to_pylist())):
-            out[k] = c
+        for k, ids in zip(np.flatnonzero(whole).tolist(), self._raw(texts.filter(pa.array(whole)).to_pylist())):
+            out[k] = np.array(ids, dtype=self.kind).tobytes()
         rest = np.flatnonzero(~whole)
         pieces, order, count = cut_texts(texts.take(pa.array(rest)))
         places = pieces.dictionary_encode()
-        coded = self._coded(places.dictionary.to_pylist())
-        width = np.dtype(self.kind).itemsize
-        ids, each = gather(np.frombuffer(b"".join(coded), dtype=self.kind), np.array([len(c) // width for c in coded], dtype=np.int64), places.indices.to_numpy(zero_copy_only=False))
+        marked = places.dictionary
+        for rule in BEHIND:
+            marked = pc.replace_substring_regex(marked, rule, "\\1\0\\2")
+        parts = pc.split_pattern(marked, "\0")
+        small = parts.flatten().dictionary_encode()
+        ids, size = gather(*self._coded(small.dictionary.to_pylist()), small.indices.to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        ids, size = gather(ids, np.diff(np.append(0, np.cumsum(size))[ends], prepend=0), places.indices.to_numpy(zero_copy_only=False))
         raw = memoryview(ids.view(np.uint8))
-        ends = np.append(0, np.cumsum(each))[np.cumsum(count)] * width
+        ends = np.append(0, np.cumsum(size))[np.cumsum(count)] * self.kind.itemsize
         for k, lo, hi in zip(rest[order].tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
             out[k] = raw[lo:hi]
         return out
@@ -236,7 +280,7 @@ def write_records(df: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (store, root), coder, part, out, before = fs.FileSystem.from_uri(f"{uri}/records"), encoder(path), TaskContext.get().partitionId() << 32, None, 0
-        wide = coder.kind == "<u4"
+        wide = coder.kind.itemsize == 4
         tail = np.array([end], dtype=coder.kind).tobytes()
         try:
             for batch in batches:
