@@ -11,6 +11,7 @@ import struct
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 VERSION = "0.1.0"
 #: A step of the unit quantiser, as a 32-bit float.
@@ -219,25 +220,65 @@ def each(df, vector: str, element: str = "float32"):
     return out.withColumn("value", F.call_function("shiftright", byte, 7 - F.col("rowid") % 8).bitwiseAND(1))
 
 
-#: SQL functions: signature and body.
+def _sql_matched(out: str) -> str:
+    """As `matched`: out for two vectors of one dimension."""
+    return (f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) = size(b) AND size(a) > 0 THEN {out} "
+            "ELSE raise_error(concat('vector dimensions differ: ', size(a), ' and ', size(b))) END")
+
+
+_SUM = "aggregate({}, 0D, (s, x) -> s + x)"
+_SQUARES = "transform({v}, x -> x * x)"
+#: SQL functions: signature and body, which do what the Columns above do, errors included. Parameters have one type each, so
+#: what takes several types has a name for each.
 SQL = {
     "vec_version() RETURNS STRING": f"'{VERSION}'",
     "vec_length(v ARRAY<DOUBLE>) RETURNS INT": "size(v)",
-    "vec_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
-    "vec_distance_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))",
-    "vec_distance_l1(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> s + x)",
+    "vec_length_bit(v BINARY) RETURNS INT": "octet_length(v) * 8",
+    "vec_type(kind STRING) RETURNS STRING":
+        "CASE WHEN kind IS NULL THEN NULL WHEN kind IN ('array<float>', 'array<double>') THEN 'float32' WHEN kind = 'array<tinyint>' THEN 'int8' "
+        "WHEN kind IN ('array<bigint>', 'binary') THEN 'bit' ELSE raise_error(concat(kind, ' is no vector type')) END",
+    "vec_debug() RETURNS STRING": f"concat('Version: {VERSION}', chr(10), 'Spark: ', version())",
+    "vec_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": _sql_matched(_SUM.format("zip_with(a, b, (x, y) -> x * y)")),
+    "vec_distance_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": _sql_matched(f"sqrt({_SUM.format('zip_with(a, b, (x, y) -> (x - y) * (x - y))')})"),
+    "vec_distance_l1(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": _sql_matched(_SUM.format("zip_with(a, b, (x, y) -> abs(x - y))")),
+    "vec_norm(v ARRAY<DOUBLE>) RETURNS DOUBLE": f"sqrt({_SUM.format(_SQUARES.format(v='v'))})",
     "vec_distance_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE":
-        "coalesce(1 - vec_dot(a, b) / nullif(sqrt(vec_dot(a, a)) * sqrt(vec_dot(b, b)), 0D), double('NaN'))",
-    "vec_distance_hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS BIGINT": "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)",
-    "vec_add(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS ARRAY<FLOAT>": "cast(zip_with(a, b, (x, y) -> x + y) AS ARRAY<FLOAT>)",
-    "vec_sub(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS ARRAY<FLOAT>": "cast(zip_with(a, b, (x, y) -> x - y) AS ARRAY<FLOAT>)",
-    "vec_slice(v ARRAY<DOUBLE>, lo INT, hi INT) RETURNS ARRAY<FLOAT>": "cast(slice(v, lo + 1, hi - lo) AS ARRAY<FLOAT>)",
+        _sql_matched("if(vec_norm(a) * vec_norm(b) = 0, double('NaN'), 1 - vec_dot(a, b) / (vec_norm(a) * vec_norm(b)))"),
+    "vec_distance_hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS BIGINT": _sql_matched("aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)"),
+    "vec_add(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS ARRAY<FLOAT>": _sql_matched("cast(zip_with(a, b, (x, y) -> x + y) AS ARRAY<FLOAT>)"),
+    "vec_sub(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS ARRAY<FLOAT>": _sql_matched("cast(zip_with(a, b, (x, y) -> x - y) AS ARRAY<FLOAT>)"),
+    "vec_add_int8(a ARRAY<TINYINT>, b ARRAY<TINYINT>) RETURNS ARRAY<TINYINT>": _sql_matched("zip_with(a, b, (x, y) -> cast(pmod(int(x) + int(y) + 128, 256) - 128 AS TINYINT))"),
+    "vec_sub_int8(a ARRAY<TINYINT>, b ARRAY<TINYINT>) RETURNS ARRAY<TINYINT>": _sql_matched("zip_with(a, b, (x, y) -> cast(pmod(int(x) - int(y) + 128, 256) - 128 AS TINYINT))"),
+    "vec_slice(v ARRAY<DOUBLE>, lo INT, hi INT) RETURNS ARRAY<FLOAT>":
+        "CASE WHEN v IS NULL THEN NULL WHEN lo < 0 OR hi < 0 OR lo >= hi THEN raise_error(concat('no slice from ', lo, ' to ', hi)) "
+        "WHEN size(v) >= hi THEN cast(slice(v, lo + 1, hi - lo) AS ARRAY<FLOAT>) ELSE raise_error('slice ends beyond the vector') END",
+    "vec_normalize(v ARRAY<DOUBLE>) RETURNS ARRAY<FLOAT>":
+        "cast(transform(array(vec_norm(v)), n -> transform(v, x -> if(n = 0, double('NaN'), x / n)))[0] AS ARRAY<FLOAT>)",
+    "vec_quantize_binary(v ARRAY<DOUBLE>) RETURNS ARRAY<BIGINT>":
+        "CASE WHEN v IS NULL THEN NULL WHEN size(v) > 0 AND size(v) % 8 = 0 THEN transform(sequence(0, int(ceil(size(v) / 64)) - 1), w -> aggregate(sequence(0, 63), 0L, "
+        "(s, i) -> s | if(get(v, w * 64 + i) > 0, shiftleft(1L, i), 0L))) ELSE raise_error('the dimension must be a multiple of 8') END",
+    "vec_quantize_int8(v ARRAY<DOUBLE>, kind STRING) RETURNS ARRAY<TINYINT>":
+        "CASE WHEN kind <> 'unit' THEN raise_error('only unit is known') ELSE transform(v, x -> cast(if(isnan(x), 127D, "
+        f"greatest(-128D, least(127D, (x + 1) / {STEP!r}D - 128))) AS TINYINT)) END",
     "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING": "concat('[', array_join(transform(v, x -> if(isnan(x), 'null', format_string('%.6f', x))), ','), ']')",
-    "vec_f32(x STRING) RETURNS ARRAY<FLOAT>": "from_json(x, 'array<float>')",
+    "vec_f32(x STRING) RETURNS ARRAY<FLOAT>":
+        r"CASE WHEN x IS NULL THEN NULL WHEN x RLIKE r'^\s*\[[-+\s,0-9.eE]*(\]|$)' AND regexp_extract(x, r'^\s*\[([^\]]*)', 1) RLIKE '[0-9]' THEN "
+        r"cast(cast(regexp_extract_all(regexp_extract(x, r'^\s*\[([^\]]*)', 1), r'[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?', 0) AS ARRAY<DOUBLE>) AS ARRAY<FLOAT>) "
+        "ELSE raise_error('not a vector') END",
+    "vec_int8(x STRING) RETURNS ARRAY<TINYINT>":
+        "transform(from_json(x, 'array<int>', map('mode', 'FAILFAST')), v -> CASE WHEN v BETWEEN -128 AND 127 THEN cast(v AS TINYINT) ELSE raise_error('not an int8') END)",
+    "vec_bit(x BINARY) RETURNS ARRAY<BIGINT>":
+        "CASE WHEN x IS NULL THEN NULL WHEN octet_length(x) > 0 THEN transform(sequence(0, int(ceil(octet_length(x) / 8)) - 1), w -> aggregate(sequence(0, 7), 0L, "
+        "(s, k) -> s | shiftleft(coalesce(cast(conv(nullif(hex(substring(x, w * 8 + k + 1, 1)), ''), 16, 10) AS BIGINT), 0L), k * 8))) "
+        "ELSE raise_error('a bit vector has a byte at least') END",
+    "vec_each(v ARRAY<DOUBLE>) RETURNS TABLE(rowid INT, value DOUBLE)": "SELECT pos, col FROM posexplode(v)",
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Make the SQL functions known in the session."""
+    """Make the SQL functions known in the session: vec_*, and the table functions vec_each(v) and npy_each(path)."""
+    from tessera.sources.npy import NpyEach
+
     for signature, body in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    spark.udtf.register("npy_each", udtf(NpyEach, returnType="rowid bigint, vector array<float>"))

@@ -13,28 +13,38 @@ def next_id(table: DataFrame) -> int:
     return (table.agg(F.max("id")).head()[0] or 0) + 1
 
 
-def new_rows(table: DataFrame, wanted: DataFrame, key: list[str], known: DataFrame | None = None) -> DataFrame:
-    """The rows of wanted (one per key) whose key known (or table) lacks, with ids that go on after table's, in key order.
-    Null keys match null keys."""
+def new_rows(table: DataFrame, wanted: DataFrame, key: list[str], known: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """The rows of wanted (one per key) whose key known (or table) lacks, with ids from `first` on, else from where table's
+    end, in key order. Null keys match null keys."""
     have = (known if known is not None else table).select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     fresh = wanted.join(have, same, "left_anti")
-    return numbered(fresh, [F.col(k) for k in key], "id", next_id(table))
+    return numbered(fresh, [F.col(k) for k in key], "id", next_id(table) if first is None else first)
 
 
-def upsert_wings(wings: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
-    """wings with those of wanted (name, description, wing_type) that they lack."""
+def fresh_wings(wings: DataFrame, wanted: DataFrame, now: int, first: int | None = None) -> DataFrame:
+    """The wings of wanted (name, description, wing_type) that wings lacks."""
     rows = wanted.groupBy("name").agg(F.min("description").alias("description"), F.min("wing_type").alias("wing_type"))
     at = F.lit(now).cast("long")
-    return wings.unionByName(new_rows(wings, rows, ["name"]).select("id", "name", "description", "wing_type", at.alias("created_at"), at.alias("updated_at")))
+    return new_rows(wings, rows, ["name"], first=first).select("id", "name", "description", "wing_type", at.alias("created_at"), at.alias("updated_at"))
+
+
+def upsert_wings(wings: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
+    """wings with those of wanted (name, description, wing_type) that they lack."""
+    return wings.unionByName(fresh_wings(wings, wanted, now))
+
+
+def fresh_rooms(rooms: DataFrame, wanted: DataFrame, now: int, first: int | None = None) -> DataFrame:
+    """The rooms of wanted (wing_id, name, description) that rooms lacks."""
+    rows = wanted.groupBy("wing_id", "name").agg(F.min("description").alias("description"))
+    return new_rows(rooms, rows, ["wing_id", "name"], first=first).select("id", "wing_id", "name", "description", F.lit(now).cast("long").alias("created_at"))
 
 
 def upsert_rooms(rooms: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
     """rooms with those of wanted (wing_id, name, description) that they lack."""
-    rows = wanted.groupBy("wing_id", "name").agg(F.min("description").alias("description"))
-    return rooms.unionByName(new_rows(rooms, rows, ["wing_id", "name"]).select("id", "wing_id", "name", "description", F.lit(now).cast("long").alias("created_at")))
+    return rooms.unionByName(fresh_rooms(rooms, wanted, now))
 
 
 def first_of_hash(drawers: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
@@ -47,13 +57,13 @@ def first_of_hash(drawers: DataFrame, order: list[Column | str] | None = None) -
     return drawers.join(firsts, same, "left_semi")
 
 
-def dedup(drawers: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def dedup(drawers: DataFrame, stored: DataFrame | None = None, order: list[Column | str] | None = None) -> DataFrame:
     """The drawers to insert: the first of each hash, unless stored has the hash, in any wing or room."""
     if stored is None:
-        return first_of_hash(drawers)
+        return first_of_hash(drawers, order)
     have = stored.select(F.col("content_hash").alias("_have")).distinct()
     fresh = drawers.join(have, F.col("content_hash").eqNullSafe(F.col("_have")), "left_anti")
-    return first_of_hash(fresh)
+    return first_of_hash(fresh, order)
 
 
 def resolved(drawers: DataFrame, stored: DataFrame) -> DataFrame:
@@ -92,14 +102,6 @@ def latest_per_partition(table: DataFrame, keys: list[str], id_col: str = "id")
     return table.groupBy(*keys).agg(F.max(id_col).alias("latest_id"))
 
 
-def stats(wings: DataFrame, rooms: DataFrame, drawers: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row: the number of wings, rooms, drawers and entities, in one aggregate that reads no column of theirs."""
-    names = ("wings", "rooms", "drawers", "entities")
-    parts = [df.select(F.lit(i).alias("t")) for i, df in enumerate((wings, rooms, drawers, entities))]
-    rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return rows.agg(*[F.count_if(F.col("t") == i).alias(n) for i, n in enumerate(names)])
-
-
 def by_wing_and_room(drawers: DataFrame, rooms: DataFrame, wings: DataFrame) -> DataFrame:
     """Drawers by wing and room with subtotals (an extension)."""
     from tessera.operators.search import named

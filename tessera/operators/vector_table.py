@@ -1,8 +1,7 @@
-"""Vector tables on Parquet: a checked schema, partition folders, append, and rewrite on update and delete."""
+"""Vector tables on Parquet: a checked schema, partition folders, and versions of which several writers make the next."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import store
 from tessera.operators.knn import knn
+from tessera.operators.versions import Change, State, Store
 
 MAX_VECTORS, MAX_PARTITION, MAX_METADATA, MAX_AUXILIARY, MAX_DIM = 16, 4, 16, 16, 8192
 ELEMENTS = {"float32": T.ArrayType(T.FloatType()), "int8": T.ArrayType(T.ByteType()), "bit": T.ArrayType(T.LongType())}
@@ -64,19 +64,26 @@ class VectorTableSpec:
         return T.StructType(out)
 
 
+#: Types that a column may have besides its own, as they lose nothing.
+NARROWER = {"bigint": ("int", "smallint", "tinyint"), "double": ("float",)}
+
+
 def checked(df: DataFrame, spec: VectorTableSpec) -> DataFrame:
-    """df's columns of the spec; rows with a wrong dimension, a null vector or null metadata raise when they are read."""
+    """df's columns of the spec. A column that is missing or of another type raises; rows with a wrong dimension, a null vector,
+    a null id or null metadata raise when they are read."""
     if missing := [f.name for f in spec.schema() if f.name not in df.columns]:
         raise ValueError(f"no column {missing}")
+    for f in spec.schema():
+        have, want = df.schema[f.name].dataType.simpleString(), f.dataType.simpleString()
+        if have != want and have not in (*NARROWER.get(want, ()), "void"):
+            raise ValueError(f"{f.name} is {have}, not {want}")
     for name, (element, dim) in spec.vectors.items():
-        if df.schema[name].dataType.simpleString() != ELEMENTS[element].simpleString():
-            raise ValueError(f"{name} is {df.schema[name].dataType.simpleString()}, not {ELEMENTS[element].simpleString()}")
         size = -(-dim // 64) if element == "bit" else dim
         good = F.coalesce(F.size(name) == size, F.lit(False))
         df = df.withColumn(name, F.when(good, F.col(name)).otherwise(F.raise_error(F.lit(f"{name} must have {dim} dimensions"))))
-    for name in spec.metadata:
+    for name in (spec.id, *spec.metadata):
         df = df.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit(f"{name} is null"))))
-    return df.select(*[f.name for f in spec.schema()])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema()])
 
 
 def appended(table: DataFrame, more: DataFrame, spec: VectorTableSpec) -> DataFrame:
@@ -85,47 +92,55 @@ def appended(table: DataFrame, more: DataFrame, spec: VectorTableSpec) -> DataFr
 
 
 class VectorTable:
-    """A vector table in a folder, one subfolder per version; a one-row table names the current one.
+    """A vector table in a folder: parts, deletions and a log (see versions.py), for any number of writers.
 
-    insert appends to the current version; update and delete write a new one, then publish it. One writer at a time."""
+    Rows are in order of their ids in a part, with Parquet's bloom filters on the id, so that a lookup skips most of a
+    file. insert adds a part, update a part and a deletion, delete a deletion; compact folds deletions in."""
 
-    def __init__(self, spark: SparkSession, path: str, spec: VectorTableSpec):
+    def __init__(self, spark: SparkSession, path: str, spec: VectorTableSpec, *, write: dict[str, str] | None = None):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
-        try:
-            self.version = spark.read.schema("version string").json(f"{self.path}/_current.json").head()[0]
-        except Exception as e:  # no such folder yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            self._publish(self._write(spark.createDataFrame([], spec.schema())))
-
-    def _write(self, df: DataFrame) -> str:
-        version = uuid.uuid4().hex
-        df.write.partitionBy(*self.spec.partition).parquet(f"{self.path}/{version}")
-        return version
-
-    def _publish(self, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{self.path}/_current.json")
-        self.version = version
+        options = {f"parquet.bloom.filter.enabled#{spec.id}": "true"} | (write or {})
+        self.store = Store(spark, path, {"rows": spec.schema()}, id=spec.id, partition=tuple(spec.partition), write=options)
+
+    def _ordered(self, df: DataFrame) -> DataFrame:
+        return df.repartitionByRange(*self.spec.partition, self.spec.id).sortWithinPartitions(*self.spec.partition, self.spec.id)
 
     def scan(self) -> DataFrame:
-        names = [f.name for f in self.spec.schema()]
-        return self.spark.read.schema(self.spec.schema()).parquet(f"{self.path}/{self.version}").select(*names)
+        return self.store.table("rows")
 
     def get(self, key) -> DataFrame:
         return self.scan().where(F.col(self.spec.id) == key)
 
+    def count(self) -> int:
+        """Rows, of the log alone."""
+        return self.store.rows("rows")
+
     def insert(self, df: DataFrame) -> None:
-        """Append; ids that the table has already raise."""
-        if df.select(self.spec.id).join(self.scan().select(self.spec.id), self.spec.id, "left_semi").limit(1).count():
-            raise ValueError("an id is in the table already")
-        checked(df, self.spec).write.mode("append").partitionBy(*self.spec.partition).parquet(f"{self.path}/{self.version}")
+        """Append; an id that the table or df has already raises, and nothing is stored. Rows are staged once; what other
+        writers commit meanwhile is only looked through for the ids."""
+        part = self.store.stage("rows", self._ordered(checked(df, self.spec)))
+        ids = self.store.staged("rows", part).select(self.spec.id)
+        if ids.groupBy(self.spec.id).count().where("count > 1").limit(1).count():
+            raise ValueError("an id is given twice")
+
+        def work(state: State) -> Change:
+            if ids.join(self.store.placed("rows", state).select(self.spec.id), self.spec.id, "left_semi").limit(1).count():
+                raise ValueError("an id is in the table already")
+            return Change(add={"rows": [part]}, built_on=["rows"])
+
+        self.store.transact(work)
 
     def update(self, changes: DataFrame) -> None:
-        new = store.updated(self.scan(), changes, self.spec.id, tuple(self.spec.partition))
-        self._publish(self._write(checked(new, self.spec)))
+        """Change columns by id (see store.updated); only the rows that change are written."""
+        fixed = tuple(self.spec.partition)
+        store.updated(self.scan(), changes, self.spec.id, fixed)  # unknown columns raise though no row may change
+        self.store.update("rows", changes, lambda rows, new: self._ordered(checked(store.updated(rows, new, self.spec.id, fixed), self.spec)))
 
     def delete(self, ids: DataFrame) -> None:
-        self._publish(self._write(store.deleted(self.scan(), ids, self.spec.id)))
+        self.store.delete("rows", ids)
+
+    def compact(self, share: float = 0.0, small: int = 0) -> int:
+        return self.store.compact("rows", share=share, small=small)
 
     def knn(self, query: list, k: int, vector: str | None = None, **kw) -> DataFrame:
         vector = vector or next(iter(self.spec.vectors))

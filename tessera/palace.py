@@ -1,26 +1,23 @@
-"""The store's API: open, mine, store, search, digest, statistics, graph. Tables are Parquet folders under one path.
-
-A write goes to new folders. A log of one row a write names, for each table, the folders that make it up; the write
-counts when its row is there, for all tables at once. One writer at a time; readers see the last row of the log."""
+"""The store's API: open, mine, store, search, digest, statistics, graph. Tables lie under one path as parts, deletions and a
+log of commits (see operators/versions.py): a write counts for all tables at once or for none, and several writers may
+work at a time. A reader sees the state that it took last."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera import schema
 from tessera.functions import embed, text
 from tessera.operators import digest, graph, search, store
 from tessera.operators.numbering import checkpointed
+from tessera.operators.versions import Change, State, Store
 from tessera.sources import mining
 
-
-#: A row of the log; folders of a table before they are rewritten as one.
-LOG, MAX_PARTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("parts", T.MapType(T.StringType(), T.ArrayType(T.StringType())))]), 64
+#: Parts of a table from which small ones are joined.
+MAX_PARTS = 64
 
 
 @dataclass
@@ -37,77 +34,65 @@ class Palace:
     def __init__(self, spark: SparkSession, path: str, embedder=None, metric: str = "l2"):
         self.spark, self.path, self.metric = spark, path.rstrip("/"), metric
         self.embedder = embedder or embed.HashEmbedder()
-        self.number, self.parts = 0, {}
+        self.db = Store(spark, self.path, schema.TABLES)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int = 384, metric: str = "l2", embedder=None) -> Palace:
         """Open or create a store."""
-        self = cls(spark, path, embedder or embed.HashEmbedder(dim), metric)
-        self.refresh()
-        if missing := [name for name in schema.TABLES if name not in self.parts]:
-            self._publish({name: [] for name in missing})
-        return self
+        return cls(spark, path, embedder or embed.HashEmbedder(dim), metric)
 
     def refresh(self) -> None:
         """Take the last published state, as another session may have written."""
-        try:
-            row = self.spark.read.schema(LOG).json(f"{self.path}/_log/*").orderBy(F.desc("n")).head()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            row = None
-        self.number, self.parts = (row["n"], {k: list(v) for k, v in row["parts"].items()}) if row else (0, {})
-
-    def _publish(self, changes: dict[str, list[str]]) -> None:
-        """One row of the log: the folders of all tables, with those of `changes` new. Its folder must not be there yet, so
-        of two writers one fails."""
-        number, parts = self.number + 1, self.parts | changes
-        self.spark.createDataFrame([(number, parts)], LOG).coalesce(1).write.mode("error").json(f"{self.path}/_log/{number:012d}")
-        self.number, self.parts = number, parts
+        self.db.refresh()
 
     def table(self, name: str) -> DataFrame:
-        if not self.parts[name]:
-            return self.spark.createDataFrame([], schema.TABLES[name])
-        return self.spark.read.schema(schema.TABLES[name]).parquet(*[f"{self.path}/{name}/{part}" for part in self.parts[name]])
-
-    def _write(self, name: str, df: DataFrame) -> str:
-        """A folder with df's rows that no table has yet."""
-        part = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{name}/{part}")
-        return part
+        return self.db.table(name)
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        self._publish({name: [self._write(name, df)]})
+    def _add(self, name: str, fresh) -> None:
+        """Commit the rows that fresh(table, first free id) finds missing, if any."""
+        def work(state: State) -> Change | None:
+            part = self.db.stage(name, fresh(self.db.table(name, state), state.next_id.get(name, 1)))
+            return Change(add={name: [part]}, reserve={name: part[1]}, built_on=[name]) if part[1] else None
 
-    def _with_more(self, name: str, part: str) -> list[str]:
-        """name's folders and one more; many are rewritten as one first."""
-        have = self.parts[name]
-        return [*have, part] if len(have) < MAX_PARTS else [self._write(name, self.table(name)), part]
+        self.db.transact(work)
 
     def wing_id(self, name: str, wing_type: str, now: int) -> int:
         wanted = self.spark.createDataFrame([(name, "", wing_type)], "name string, description string, wing_type string")
+        self.refresh()
         if not (hit := self.table("wings").where(F.col("name") == name).head()):
-            self._replace("wings", store.upsert_wings(self.table("wings"), wanted, now))
+            self._add("wings", lambda wings, first: store.fresh_wings(wings, wanted, now, first))
             hit = self.table("wings").where(F.col("name") == name).head()
         return hit["id"]
 
     def insert(self, rows: DataFrame, wing: str, wing_type: str, now: int) -> tuple[int, int]:
         """Insert (room, source_path, source_type, chunk_index, content) into a wing: (rows seen, drawers inserted). A text
         that is stored already, in any wing or room, isn't stored again. Texts that the embedder can't embed have no vector."""
-        wing_id = self.wing_id(wing, wing_type, now)
+        wing_id, done = self.wing_id(wing, wing_type, now), 0
         rows = checkpointed(rows.withColumn("content_hash", text.content_hash(F.col("content"))))
         named = rows.select(F.lit(wing_id).cast("long").alias("wing_id"), F.col("room").alias("name"), F.lit("").alias("description"))
-        rooms = checkpointed(store.upsert_rooms(self.table("rooms"), named, now))
-        ids = rooms.where(F.col("wing_id") == wing_id).select(F.col("id").alias("room_id"), F.col("name").alias("room"))
-        placed = rows.join(ids, "room").drop("room")
         order = ["source_path", "chunk_index", "room_id"]
-        fresh = store.first_of_hash(placed.join(self.table("drawers").select("content_hash"), "content_hash", "left_anti"), order).dropDuplicates(["content_hash"])
-        new = store.numbered(fresh, [F.col(c) for c in order], "id", store.next_id(self.table("drawers")))
-        new = checkpointed(new.withColumn("created_at", F.lit(now).cast("long")).select(*[f.split()[0] for f in schema.TABLES["drawers"].split(", ")]))
-        vectors = new.select("id", self.embedder.column(F.col("content")).alias("embedding")).where("embedding IS NOT NULL")
-        more = {"drawers": self._write("drawers", new), "vec_drawers": self._write("vec_drawers", vectors)}
-        self._publish({"rooms": [self._write("rooms", rooms)]} | {name: self._with_more(name, part) for name, part in more.items()})
-        return rows.count(), new.count()
+
+        def work(state: State) -> Change | None:
+            nonlocal done
+            have = lambda name: self.db.table(name, state)
+            rooms = self.db.stage("rooms", store.fresh_rooms(have("rooms"), named, now, state.next_id.get("rooms", 1)))
+            known = have("rooms").unionByName(self.db.staged("rooms", rooms))
+            ids = known.where(F.col("wing_id") == wing_id).select(F.col("id").alias("room_id"), F.col("name").alias("_room"))
+            placed = rows.join(ids, F.col("room").eqNullSafe(F.col("_room"))).drop("room", "_room")
+            fresh = store.dedup(placed, have("drawers"), order).dropDuplicates(["content_hash"])
+            new = store.numbered(fresh, [F.col(c) for c in order], "id", state.next_id.get("drawers", 1))
+            drawers = self.db.stage("drawers", new.withColumn("created_at", F.lit(now).cast("long")))
+            vectors = self.db.staged("drawers", drawers).select("id", self.embedder.column(F.col("content")).alias("embedding")).where("embedding IS NOT NULL")
+            add = {"rooms": rooms, "drawers": drawers, "vec_drawers": self.db.stage("vec_drawers", vectors)}
+            done = drawers[1]
+            add = {name: [part] for name, part in add.items() if part[1]}
+            return Change(add=add, reserve={"rooms": rooms[1], "drawers": done}, built_on=["rooms", "drawers"]) if add else None
+
+        state = self.db.transact(work)
+        for name in ("drawers", "vec_drawers", "rooms"):
+            if len(state.parts.get(name, [])) > MAX_PARTS:
+                self.db.compact(name, small=state.rows(name) // 4 + 1)
+        return rows.count(), done
 
     def mine(self, path: str, wing: str, mode: str = "auto", max_chunk: int = text.MAX_CHUNK, overlap: int = text.OVERLAP, *, now: int) -> MineStats:
         """Ingest a folder, a file or a chat export (mode: auto, directory, file, conversation)."""
@@ -144,7 +129,9 @@ class Palace:
         return digest.wake_up(self.table("drawers"), self.table("rooms"), self.table("wings"), wing, max_drawers=max_drawers, max_bytes=max_bytes, preview=preview, identity_path=identity_path)
 
     def stats(self) -> DataFrame:
-        return store.stats(*[self.table(t) for t in ("wings", "rooms", "drawers", "entities")])
+        """The number of wings, rooms, drawers and entities, of the log alone."""
+        names = ("wings", "rooms", "drawers", "entities")
+        return self.spark.createDataFrame([tuple(self.db.rows(t) for t in names)], ", ".join(f"{t} long" for t in names))
 
     def wings(self) -> DataFrame:
         return self.table("wings").orderBy("name")
@@ -155,15 +142,86 @@ class Palace:
 
     def forget(self, wing: str) -> None:
         """Delete a wing with its rooms, drawers and vectors (an extension)."""
-        names = ("wings", "rooms", "drawers", "vec_drawers")
-        left = store.cascade(*[self.table(t) for t in names], F.col("name") == wing)
-        self._publish({name: [self._write(name, df)] for name, df in zip(names, left)})
+        def work(state: State) -> Change | None:
+            at = lambda name: self.db.placed(name, state)
+            wings = at("wings").where(F.col("name") == wing)
+            rooms = at("rooms").join(wings.select(F.col("id").alias("wing_id")), "wing_id", "left_semi")
+            drawers = at("drawers").join(rooms.select(F.col("id").alias("room_id")), "room_id", "left_semi")
+            vectors = at("vec_drawers").join(drawers.select("id"), "id", "left_semi")
+            found = {name: self.db.deletion(hits) for name, hits in (("wings", wings), ("rooms", rooms), ("drawers", drawers), ("vec_drawers", vectors))}
+            return Change(delete={t: d for t, d in found.items() if d}, built_on=["rooms", "drawers"]) if found["wings"] else None
+
+        self.db.transact(work)
+
+    def export(self, path: str, wing: str | None = None) -> None:
+        """Write the store, or what is in a wing and the whole graph, as plain Parquet tables under path."""
+        at = lambda name: self.db.table(name)
+        wings = at("wings") if wing is None else at("wings").where(F.col("name") == wing)
+        rooms = at("rooms").join(wings.select(F.col("id").alias("wing_id")), "wing_id", "left_semi")
+        drawers = at("drawers").join(rooms.select(F.col("id").alias("room_id")), "room_id", "left_semi")
+        out = {"wings": wings, "rooms": rooms, "drawers": drawers, "vec_drawers": at("vec_drawers").join(drawers.select("id"), "id", "left_semi")}
+        for name, df in (out | {n: at(n) for n in ("entities", "relationships")}).items():
+            df.write.parquet(f"{path}/{name}")
+
+    def merge(self, path: str) -> dict[str, int]:
+        """Take in what was exported to path: rows added by table. Wings and entities are the same by name, rooms by wing and
+        name, texts by hash, edges by both ends, predicate and times; what is new gets ids of this store, and references follow.
+        Descriptions and times of what is here already stay."""
+        kind = lambda name: self.spark.createDataFrame([], schema.TABLES[name]).columns
+        theirs = {n: self.spark.read.schema(schema.TABLES[n]).parquet(f"{path}/{n}") for n in ("wings", "rooms", "drawers", "vec_drawers", "entities", "relationships")}
+        done: dict[str, int] = {}
+
+        def work(state: State) -> Change | None:
+            parts: dict[str, tuple[str, int]] = {}
+
+            def taken(name: str, rows: DataFrame, key: list[str]) -> DataFrame:
+                """rows (old and columns of the table): those whose key is new are staged; (old, new) of all."""
+                have, old = self.db.table(name, state), checkpointed(rows)
+                first = old.groupBy(*key).agg(F.min("old").alias("_first"))
+                one = old.join(first, [*[old[k].eqNullSafe(first[k]) for k in key], old["old"] == first["_first"]], "left_semi").drop("id")
+                fresh = checkpointed(store.new_rows(have, one.dropDuplicates(key), key, first=state.next_id.get(name, 1)))
+                parts[name] = self.db.stage(name, fresh.select(*kind(name)))
+                known = have.select("id", *key).unionByName(fresh.select("id", *key)).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min("id").alias("new"))
+                same = F.lit(True)
+                for k in key:
+                    same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+                return checkpointed(old.join(known, same).select("old", "new"))
+
+            named = lambda name: theirs[name].withColumn("old", F.col("id"))
+            moved = lambda df, ids, column: df.join(ids.select(F.col("old").alias(column), F.col("new").alias("_to")), column).drop(column).withColumnRenamed("_to", column)
+            wings = taken("wings", named("wings"), ["name"])
+            rooms = taken("rooms", moved(named("rooms"), wings, "wing_id"), ["wing_id", "name"])
+            drawers = taken("drawers", moved(named("drawers"), rooms, "room_id"), ["content_hash"])
+            fresh = self.db.staged("drawers", parts["drawers"]).select("id")
+            vectors = moved(theirs["vec_drawers"].dropDuplicates(["id"]), drawers, "id").join(fresh, "id", "left_semi").dropDuplicates(["id"])
+            parts["vec_drawers"] = self.db.stage("vec_drawers", vectors.select(*kind("vec_drawers")))
+            entities = taken("entities", named("entities"), ["name"])
+            edges = moved(moved(named("relationships"), entities, "subject_id"), entities, "object_id")
+            source = drawers.select(F.col("old").alias("source_drawer_id"), F.col("new").alias("_to"))
+            edges = edges.join(source, "source_drawer_id", "left").drop("source_drawer_id").withColumnRenamed("_to", "source_drawer_id")
+            taken("relationships", edges, ["subject_id", "predicate", "object_id", "valid_from", "valid_until"])
+            done.update({n: p[1] for n, p in parts.items()})
+            add = {n: [p] for n, p in parts.items() if p[1]}
+            return Change(add=add, reserve={n: p[0][1] for n, p in add.items() if n != "vec_drawers"}, built_on=list(theirs)) if add else None
+
+        self.db.transact(work)
+        return done
 
     def see_entities(self, seen: DataFrame, now: int) -> None:
-        self._replace("entities", graph.upsert_entities(self.table("entities"), seen, now))
+        """Add the entities (name, entity_type) that are new; known ones are seen last now."""
+        names = seen.select("name").distinct()
+
+        def work(state: State) -> Change:
+            known = self.db.placed("entities", state).join(names, "name", "left_semi")
+            all_ = graph.upsert_entities(self.db.table("entities", state), seen, now, state.next_id.get("entities", 1))
+            part = self.db.stage("entities", all_.join(names, "name", "left_semi"))
+            old = self.db.deletion(known)
+            return Change(add={"entities": [part]}, delete={"entities": old}, reserve={"entities": part[1] - sum(n for _, _, n in old)}, built_on=["entities"])
+
+        self.db.transact(work)
 
     def add_edges(self, edges: DataFrame, now: int) -> None:
-        self._replace("relationships", graph.add_edges(self.table("relationships"), edges, now))
+        self._add("relationships", lambda held, first: graph.fresh_edges(held, edges, now, first))
 
     def edges(self, subject: str | None = None, predicate: str | None = None, limit: int = graph.QUERY_ROWS) -> DataFrame:
         return graph.query(self.table("relationships"), self.table("entities"), subject, predicate, limit)

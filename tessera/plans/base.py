@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.functions import text
 from tessera.operators.shared import new_path
+from tessera.operators.versions import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,17 +39,30 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-_BUILT: dict[tuple[str, str, str], str] = {}
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder was last changed, and its length."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
+_STORES: dict[tuple, Store] = {}
+
+
+def session_store(spark: SparkSession, sf: str) -> Store:
+    """A store for the tables that come from those of sf: one a session, and a new one where they have changed."""
+    key = (spark.sparkContext.applicationId, sf, *(stamp(spark, f"{sf}/{t}.parquet") for t in ("documents", "customer", "orders")))
+    if key not in _STORES:
+        _STORES[key] = Store(spark, new_path(spark, "store"), {name: schema.TABLES[name] for name in ("wings", "rooms", "drawers", "entities", "relationships")})
+    return _STORES[key]
 
 
 def built(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """What make gives, written to the shared folder once a session, as a store's tables are, and read from there."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _BUILT:
-        path = new_path(spark, f"store-{name}")
-        make(spark, sf).write.parquet(path)
-        _BUILT[key] = path
-    return spark.read.parquet(_BUILT[key])
+    """What make gives, written to the session's store once, and read from there."""
+    held = session_store(spark, sf)
+    if name not in held.state.parts:
+        held.append(name, make(spark, sf))
+    return held.table(name)
 
 
 def query_vector(spark: SparkSession, sf: str) -> list:
@@ -104,6 +119,28 @@ drawers AS (SELECT doc_id AS id, r.id AS room_id, text AS content, 'doc/' || doc
 PREVIEW = "substr(content, 1, list_max(list_filter(range(201), lambda n: strlen(substr(content, 1, n)) <= 200)))"
 
 
+def chunk_sql(source: str, size: int, overlap: int) -> str:
+    """(id, chunk_index, start, stop, chunk, content_hash) of the texts of source (id, text), a chunk a round: a window of the
+    rest, up to its last blank line, else its last line feed, beyond its first quarter; the next begins `overlap` bytes before
+    its end, further back where that is inside a character."""
+    line = "regexp_extract(w, '(?s)^(.*{mark})', 1)"
+    two, one = (line.format(mark=m) for m in (r"\n\n", r"\n"))
+    found = f"CASE WHEN contains(w, chr(10) || chr(10)) THEN {two} WHEN contains(w, chr(10)) THEN {one} ELSE '' END"
+    window = f"left(rest, list_max(list_filter(range({size + 1}), lambda n: strlen(left(rest, n)) <= {size})))"
+    # a mark counts beyond the first quarter: what it ends has as many bytes more as the mark
+    mark = "CASE WHEN contains(w, chr(10) || chr(10)) THEN 2 ELSE 1 END"
+    chunk = f"(SELECT CASE WHEN strlen(f) - m > {size // 4} THEN f ELSE w END FROM (SELECT {found} AS f, {mark} AS m, w FROM (SELECT {window} AS w)))"
+    keep = f"right(c, list_min(list_filter(range({overlap + 1}), lambda n: strlen(right(c, n)) >= {overlap})))"
+    return f"""
+        WITH RECURSIVE step AS (
+            SELECT id, 0 AS chunk_index, 0::BIGINT AS start, text AS rest FROM ({source}) WHERE text IS NOT NULL
+            UNION ALL
+            SELECT id, chunk_index + 1, start + strlen(c) - strlen(kept), kept || substr(rest, length(c) + 1)
+            FROM (SELECT *, {keep} AS kept FROM (SELECT *, {chunk} AS c FROM step WHERE strlen(rest) > {size})))
+        SELECT id, chunk_index, start, start + strlen(c) AS stop, c AS chunk, sha256(c) AS content_hash
+        FROM (SELECT id, chunk_index, start, CASE WHEN strlen(rest) <= {size} THEN rest ELSE {chunk} END AS c FROM step)"""
+
+
 def make_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Customers, and the few order priorities after them."""
     some = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.min("o_orderdate").alias("first"))

@@ -9,8 +9,8 @@ from tessera.operators import digest, graph, search, store
 from tessera.operators.knn import knn
 from tessera.operators.shared import new_path
 from tessera.palace import Palace
-from tessera.plans.base import (EPOCH, GRAPH, HIER, LOWER, NOW, PREVIEW, SEARCH_TEXT, UPPER, drawers, entities, query, query_vector, relationships, rooms,
-                                table, vectors, wings)
+from tessera.plans.base import (EPOCH, GRAPH, HIER, LOWER, NOW, PREVIEW, SEARCH_TEXT, UPPER, chunk_sql, drawers, entities, query, query_vector, relationships, rooms,
+                                session_store, table, vectors, wings)
 from tessera.plans.vector_queries import l2
 from tessera.sources import mining
 
@@ -99,8 +99,10 @@ def preview(spark, sf):
 
 @query(f"WITH {HIER}, {GRAPH} SELECT (SELECT count(*) FROM wings) AS wings, (SELECT count(*) FROM rooms) AS rooms, (SELECT count(*) FROM drawers) AS drawers, (SELECT count(*) FROM entities) AS entities")
 def palace_stats(spark, sf):
-    d, r, w = store_of(spark, sf)
-    return store.stats(w, r, d, entities(spark, sf))
+    """Counts of the store's log, once its tables are written; no data file is read for them."""
+    store_of(spark, sf), entities(spark, sf)
+    held, names = session_store(spark, sf), ("wings", "rooms", "drawers", "entities")
+    return spark.createDataFrame([tuple(held.rows(t) for t in names)], ", ".join(f"{t} long" for t in names))
 
 
 @query(f"WITH {HIER} SELECT w.name AS wing_name, r.name AS room_name, count(*) AS drawers FROM {NAMED} GROUP BY ROLLUP (w.name, r.name)")
@@ -218,13 +220,18 @@ def mine_stats(spark, sf):
     return mining.stats(files(spark, sf))
 
 
-@query()
+MINED = "SELECT source || '/' || name AS id, n.text FROM names n JOIN documents USING (doc_id)"
+
+
+@query(f"""WITH {NAMES} SELECT 'project' AS room, id AS source_path, 'file' AS source_type, chunk_index, start, stop AS end, content_hash
+    FROM ({chunk_sql(f"{MINED} WHERE NOT {SKIP} AND strlen(n.text) BETWEEN 1 AND 10485760", text.MAX_CHUNK, text.OVERLAP)})""")
 def mine_directory(spark, sf):
     """The chunks of all files that aren't skipped, ready for the store."""
     return mining.file_chunks(files(spark, sf), "project", text.MAX_CHUNK, text.OVERLAP).withColumn("content_hash", text.content_hash(F.col("content"))).drop("content")
 
 
-@query()
+@query(f"""WITH {NAMES} SELECT parse_filename(id) AS room, 'project/' || id AS source_path, 'file' AS source_type, chunk_index, start, stop AS end, chunk AS content
+    FROM ({chunk_sql(f"{MINED} ORDER BY strlen(n.text) DESC, 'project/' || source || '/' || name LIMIT 1", text.MAX_CHUNK, text.OVERLAP)})""")
 def mine_file(spark, sf):
     """The chunks of the longest document, as one file."""
     longest = files(spark, sf).orderBy(F.desc("length"), "path").limit(1)

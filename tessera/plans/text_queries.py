@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.plans.base import query, table
+from tessera.plans.base import chunk_sql, query, table
 
 
 def docs(spark, sf):
@@ -17,12 +17,12 @@ def chunk_rows(spark, sf, size, overlap):
     return out.select("id", "chunk_index", "start", "end", text.content_hash(F.col("content")).alias("content_hash"))
 
 
-@query()
+@query(f"SELECT id, chunk_index, start, stop AS end, content_hash FROM ({chunk_sql('SELECT doc_id AS id, text FROM documents', text.MAX_CHUNK, text.OVERLAP)})")
 def chunk_documents(spark, sf):
     return chunk_rows(spark, sf, text.MAX_CHUNK, text.OVERLAP)
 
 
-@query()
+@query(f"SELECT id, chunk_index, start, stop AS end, content_hash FROM ({chunk_sql('SELECT doc_id AS id, text FROM documents', 300, 40)})")
 def chunk_documents_utf8(spark, sf):
     """Small chunks, so that many cuts fall inside characters."""
     return chunk_rows(spark, sf, 300, 40)

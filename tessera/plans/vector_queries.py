@@ -9,7 +9,7 @@ from tessera.operators import store
 from tessera.operators.knn import knn, knn_join, literal, static_vectors
 from tessera.operators.shared import new_path
 from tessera.operators.vector_table import VectorTable, VectorTableSpec, appended
-from tessera.plans.base import query, query_vector, table, vectors
+from tessera.plans.base import query, query_vector, stamp, table, vectors
 
 Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 E = "embeddings e, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
@@ -134,12 +134,12 @@ def knn_with_vector(spark, sf):
 
 
 SPEC = VectorTableSpec(vectors={"embedding": ("float32", 64)}, partition={"label": "int"})
-_TABLES: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple, str] = {}
 
 
 def vector_table(spark, sf):
     """The embeddings as a vector table with a folder for each label, written once a session."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, stamp(spark, f"{sf}/embeddings.parquet"))
     made = key in _TABLES
     out = VectorTable(spark, _TABLES.setdefault(key, new_path(spark, "vector-table")), SPEC)
     if not made:
@@ -162,6 +162,13 @@ def knn_partition_range(spark, sf):
     return in_partitions(spark, sf, "<=", 4)
 
 
+@query(near_sql(l2("e.embedding", "q"), "label IN (SELECT label FROM embeddings WHERE vec_id % 500 = 7)"))
+def knn_partition_in_query(spark, sf):
+    """Partition values that another query gives: folders are pruned at run time."""
+    wanted = vectors(spark, sf).where("id % 500 = 7").select("label")
+    return in_partitions(spark, sf, "in", wanted)
+
+
 @query(near_sql(l2("e.embedding", "q"), "e.vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def knn_id_in(spark, sf):
     return nearest(spark, sf, ids=table(spark, sf, "labels").where("toxic = 1").select("doc_id"))

@@ -38,6 +38,29 @@ def header(f) -> tuple[int, int, int]:
     return n, d, 10 + size
 
 
+def rows_of(f, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """(rowid, vector) of the rows of an open file from start up to stop."""
+    import numpy as np
+
+    f.seek(0)
+    rows, d, place = header(f)
+    for at in range(start, rows if stop is None else stop, 1024):
+        n = min(1024, (rows if stop is None else stop) - at)
+        f.seek(place + 4 * d * at)
+        block = np.frombuffer(f.read(4 * d * n), dtype="<f4").reshape(n, d)
+        yield from ((at + i, row.tolist()) for i, row in enumerate(block))
+
+
+class NpyEach:
+    """The table function npy_each(path): the rows of a file, for each path that it meets; the source reads one large file in
+    several tasks, this many files where their paths are rows. A null path has no rows."""
+
+    def eval(self, path: str):
+        if path is not None:
+            with open_input(path) as f:
+                yield from rows_of(f)
+
+
 class Rows(InputPartition):
     def __init__(self, start: int, stop: int):
         self.start, self.stop = start, stop
@@ -53,15 +76,8 @@ class NpyReader(DataSourceReader):
         return [Rows(at, min(n, at + ROWS)) for at in range(0, n, ROWS)] or [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
-        import numpy as np
-
         with open_input(self.path) as f:
-            _, d, place = header(f)
-            for at in range(partition.start, partition.stop, 1024):
-                n = min(1024, partition.stop - at)
-                f.seek(place + 4 * d * at)
-                block = np.frombuffer(f.read(4 * d * n), dtype="<f4").reshape(n, d)
-                yield from ((at + i, row.tolist()) for i, row in enumerate(block))
+            yield from rows_of(f, partition.start, partition.stop)
 
 
 class NpySource(DataSource):
