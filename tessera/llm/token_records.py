@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -173,23 +173,19 @@ class PieceEncoder:
         order = np.argsort(np.array([*one, *rest], dtype=np.int64))
         return gather(flat, own, order)[0], own[order]
 
-    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct pieces, end to end, and how many each has."""
+    def _coded(self, pieces: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, end to end, and how many each has. What isn't met often isn't kept."""
         if len(self.number) > KEEP:
             self._forget()
-        at = np.fromiter((self.number.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        at = np.fromiter(map(self.number.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
         new = np.flatnonzero(at < 0)
         ids, size = self._flat([pieces[k] for k in new.tolist()])
         at[new] = len(self.size) + np.arange(len(new))
         pool, sizes = np.append(self.pool, ids), np.append(self.size, size)
-        keep = [k for k in new.tolist() if len(pieces[k]) <= KEEP_CHARS]
-        if len(keep) == len(new):
-            self.number.update((pieces[k], int(at[k])) for k in keep)
-            self.pool, self.size = pool, sizes
-        else:  # long ones aren't kept
-            some, each = gather(pool, sizes, at[keep])
-            self.number.update(zip((pieces[k] for k in keep), range(len(self.size), len(self.size) + len(keep))))
-            self.pool, self.size = np.append(self.pool, some), np.append(self.size, each)
+        keep = [k for k in new[often[new]].tolist() if len(pieces[k]) <= KEEP_CHARS]
+        some, each = gather(pool, sizes, at[keep])
+        self.number.update(zip((pieces[k] for k in keep), range(len(self.size), len(self.size) + len(keep))))
+        self.pool, self.size = np.append(self.pool, some), np.append(self.size, each)
         return gather(pool, sizes, at)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -208,9 +204,11 @@ class PieceEncoder:
             marked = pc.replace_substring_regex(marked, rule, "\\1\0\\2")
         parts = pc.split_pattern(marked, "\0")
         small = parts.flatten().dictionary_encode()
-        ids, size = gather(*self._coded(small.dictionary.to_pylist()), small.indices.to_numpy(zero_copy_only=False))
-        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-        ids, size = gather(ids, np.diff(np.append(0, np.cumsum(size))[ends], prepend=0), places.indices.to_numpy(zero_copy_only=False))
+        where, part_of, held = (x.to_numpy(zero_copy_only=False) for x in (places.indices, small.indices, pc.list_value_length(parts)))
+        times = np.repeat(np.bincount(where, minlength=len(held)), held)
+        often = np.bincount(part_of, times, len(small.dictionary)) > 1
+        ids, size = gather(*self._coded(small.dictionary.to_pylist(), often), part_of)
+        ids, size = gather(ids, np.diff(np.append(0, np.cumsum(size))[np.cumsum(held)], prepend=0), where)
         raw = memoryview(ids.view(np.uint8))
         ends = np.append(0, np.cumsum(size))[np.cumsum(count)] * self.kind.itemsize
         for k, lo, hi in zip(rest[order].tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
