@@ -547,9 +547,18 @@ def with_links(sig: DataFrame, member: DataFrame, cell: DataFrame, docs: DataFra
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of df whose text is the first of its component, with all their columns."""
-    gone = ngram_join(df, id_col, text_col, **kw).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return df.join(materialise(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of df, with all its columns, of each component of linked texts: that of the smallest id. Rows without words stay.
+
+    Where an id is null or stands for several rows, rows are told apart by numbers of their own, so each is judged by its
+    own text; of one id's rows the first written stays, and null ids come last. That takes a written copy of df."""
+    if not df.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
+        gone = ngram_join(df, id_col, text_col, **kw).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
+        return df.join(materialise(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = materialise(df.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("whole")), "tagged")
+    label = materialise(ngram_join(rows, "tag", "text", **kw).where("n_shingles > 0").select("tag", "component_id").join(rows.select("tag", "id"), "tag"), "labels")
+    first = label.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tag")).alias("first"))
+    gone = materialise(spread_join(label, first, ["component_id"], ["tag"]).where("tag <> first.tag").select("tag"), "gone")
+    return rows.join(gone, "tag", "left_anti").select(*[F.col("whole")[c].alias(c) for c in df.columns])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
