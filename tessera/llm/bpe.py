@@ -160,6 +160,7 @@ class BlockEncoder:
 
     def __init__(self, path: str, pattern: str):
         self.model, self.pattern, self.kept = replay(path), regex.compile(pattern), {}
+        self.cut = pattern == public_tokenizers.PATTERN  # where else matches end isn't known
         decimals = [b"%d," % i for i in range(max(self.model.tokens) + 1)]
         self.decimals = np.frombuffer(b"".join(decimals), dtype=np.uint8), np.array([len(x) for x in decimals])
         self.bytes = self.model.decoder()
@@ -177,7 +178,7 @@ class BlockEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, the order of the texts in which they lie, the number of ids of each text there); no nulls."""
-        pieces, order, count = cut_texts(texts)
+        pieces, order, count = cut_texts(texts) if self.cut else (texts, np.arange(len(texts)), np.ones(len(texts), dtype=np.int64))
         places = pieces.dictionary_encode()
         distinct = places.dictionary.to_pylist()
         new = self._learn([p for p in distinct if p not in self.kept])
@@ -213,7 +214,8 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """One row per row of df: id, n_tokens, ids_sha256 (of decimals joined by commas), decoded_sha256 (of the bytes that
     the ids decode to), and with_ids the ids themselves.
 
-    Null counts as empty: no tokens. Texts of any length are encoded whole; special tokens don't exist. Repeated rows
+    Null counts as empty: no tokens. Texts of any length are encoded whole; special tokens don't exist. With a pattern of
+    one's own, what it doesn't match is left out, and texts aren't cut before it is applied. Repeated rows
     are each encoded; columns besides id and text are ignored. The files are read where the tasks run.
     """
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN

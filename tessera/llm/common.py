@@ -56,8 +56,8 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """True for the fifth of the rows that no model may learn from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of the rows that no model may learn from. A row without an id isn't of them; it has no label either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:

@@ -43,18 +43,28 @@ def larger(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def scan(values: Column, zero: int, step, chunk: int = 256) -> Column:
-    """Running results of an associative step over a column of ints, by chunks so that the work doesn't grow with the
-    square of its size."""
+def bound(value: Column, body) -> Column:
+    """body(value), value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(values: Column, zero: int, step, chunk: int = 32, levels: int = 4) -> Column:
+    """Running results of an associative step over a column of ints, none of them empty: within chunks, each begun by what the
+    chunks before come to, which is a scan of a chunk-th of the size. So the work is linear, to chunk ** levels elements
+    and in practice far beyond."""
     def running(a: Column, start: Column) -> Column:
         first = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
         more = lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(step(acc["s"], x))).alias("out"))
         return F.aggregate(a, first, more, lambda acc: acc["out"])
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda c: F.slice(values, c * chunk + 1, F.lit(chunk)))
-    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(zero), step))
-    starts = F.concat(F.array(F.lit(zero)), running(totals, F.lit(zero)))
-    return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), running))
+    def level(v: Column, left: int) -> Column:
+        if not left:
+            return running(v, F.lit(zero))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda c: F.slice(v, c * chunk + 1, F.lit(chunk)))
+        before = lambda p: F.concat(F.array(F.lit(zero)), level(F.transform(p, lambda x: F.aggregate(x, F.lit(zero), step)), left - 1))
+        return bound(cut, lambda p: bound(before(p), lambda starts: F.flatten(F.zip_with(p, F.slice(starts, F.lit(1), F.size(p)), running))))
+
+    return bound(values, lambda v: level(v, levels - 1))
 
 
 def patterns(before: Column, after: Column) -> Column:

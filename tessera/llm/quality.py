@@ -133,7 +133,8 @@ def quality_classifier(df: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts have difference 0 and the score at 0. Texts count whole, at any length. Without labelled rows
     the score is 0.5; where they are all of one label, or too few for the calibration, it is the share of label 1. An id
-    that several rows have teaches once. Repeated rows are each scored; columns besides doc_id and text are ignored.
+    that several rows have teaches once; a row with a null id is scored, not held out, and teaches nothing. Repeated rows are
+    each scored; columns besides doc_id and text are ignored.
     """
     model = train(labelled_sample(df, labels, "quality", SAMPLE_ROWS))
     return score(df, model).select(

@@ -140,8 +140,8 @@ def toxicity(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     """One row per row of df: doc_id, held_out, score (0 to 1, higher is likelier toxic), predicted, and the features.
 
     Null texts count as empty; texts count whole. Labels of held-out rows are never read into training. If the
-    labels have one class or none, the score is its share (0 without labels). Repeated rows are each scored;
-    columns besides doc_id and text are ignored.
+    labels have one class or none, the score is its share (0 without labels). A row with a null id is scored, not held
+    out, and teaches nothing. Repeated rows are each scored; columns besides doc_id and text are ignored.
     """
     model = train(labelled_sample(df, labels, "toxic", rows))
     return score(df, model).select(

@@ -47,35 +47,39 @@ def sha1_base32(payload) -> "F.Column":
 
 def with_record_types(rows: DataFrame, min_bytes: int) -> DataFrame:
     """rows (record_id, url, payload) with n, sha256, payload_digest, record_type, refers_to: of equal payloads of min_bytes
-    or more, the largest id is the response. Equality is by SHA-1, SHA-256 and length. Types are known by id and payload,
+    or more, the largest id is the response; a null id is less than any, and with no other beside it a response. Equality is by SHA-1, SHA-256 and length. Types are known by id and payload,
     so ids that several rows have are told apart by what they hold."""
     key = ["n", "payload_digest", "sha256"]
     rows = rows.withColumns({"n": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload")), "sha256": F.sha2("payload", 256)})
     ids = materialise(rows.select("record_id", *key).distinct(), "payloads")
     first = ids.where(F.col("n") >= min_bytes).groupBy(*key).agg(F.max("record_id").alias("first"))
-    revisits = materialise(ids.join(first, key).where("record_id <> first").select("record_id", *key, "first"), "revisits")
-    return rows.join(revisits, ["record_id", *key], "left").select(
+    revisits = materialise(ids.join(first, key).where("first IS NOT NULL AND NOT record_id <=> first").select(F.col("record_id").alias("_id"), *key, "first"), "revisits")
+    same = F.col("record_id").eqNullSafe(F.col("_id"))
+    for k in key:
+        same = same & (rows[k] == revisits[k])
+    return rows.join(revisits, same, "left").select("record_id", "url", "payload", *[rows[k] for k in key], "first").select(
         "record_id", "url", "payload", "n", "sha256", "payload_digest", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("first").alias("refers_to"))
 
 
 def chunk_rows(typed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """A row for each chunk of each record, in order; a record without a block (empty, or a revisit) has one empty chunk."""
+    """A row for each chunk of each record, in order; a record without a block (empty, or a revisit) has one empty chunk. Rows are
+    numbered first and each cuts its own chunk, so that a payload's chunks are never in memory together."""
     block = F.when(F.col("record_type") == "response", F.col("n")).otherwise(F.lit(0)).cast("long")
     last = F.greatest(F.ceil(block / chunk).cast("int") - 1, F.lit(0))
-    piece = lambda i: F.struct(i.alias("chunk_no"), F.when(block > 0, F.substring("payload", i * chunk + 1, F.lit(chunk))).otherwise(F.lit(b"")).alias("chunk"), (i == last).alias("last"))
-    pieces = F.transform(F.sequence(F.lit(0), last), piece)
     head = ["record_id", "url", "n", "sha256", "payload_digest", "record_type", "refers_to"]
-    return typed.select(*head, F.explode(pieces).alias("c")).select(*head, "c.*")
+    numbers = typed.select(*head, "payload", block.alias("_block"), last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    piece = F.when(F.col("_block") > 0, F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return numbers.select(*head, "chunk_no", piece.alias("chunk"), (F.col("chunk_no") == F.col("_last")).alias("last"))
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1" + CRLF + b"".join(f"{k}: {v}".encode() + CRLF for k, v in fields) + CRLF
 
 
-def _urn(record_id: int, sha256: str) -> str:
-    """The record's name: half of it from the payload, half the id, so that records of one id have different names."""
-    return f"<urn:uuid:{uuid.UUID(int=int(sha256[:16], 16) << 64 | int(record_id) & (2**64 - 1))}>"
+def _urn(record_id: int | None, sha256: str) -> str:
+    """The record's name: half of it from the payload, half the id (0 without one), so that records of one id have different names."""
+    return f"<urn:uuid:{uuid.UUID(int=int(sha256[:16], 16) << 64 | int(record_id or 0) & (2**64 - 1))}>"
 
 
 def record_id_of(urn: str) -> int:
@@ -95,7 +99,7 @@ class RecordWriter:
             fields = [
                 ("WARC-Type", row["record_type"]), ("WARC-Record-ID", _urn(row["record_id"], row["sha256"])), ("WARC-Date", "1970-01-01T00:00:00Z"),
                 ("WARC-Target-URI", " ".join((row["url"] or "").split()) or "about:blank"), ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"),
-                ("X-Payload-Length", str(row["n"])), ("Content-Type", "text/html"), ("Content-Length", str(0 if revisit else row["n"])),
+                *[("X-No-Id", "1")] * (row["record_id"] is None), ("X-Payload-Length", str(row["n"])), ("Content-Type", "text/html"), ("Content-Length", str(0 if revisit else row["n"])),
             ]
             if revisit:
                 fields[1:1] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(row["refers_to"], row["sha256"]))]
@@ -153,7 +157,7 @@ def read_archive(stream, archive: str) -> Iterator[dict]:
             raise ValueError(f"{archive}: header without an end")
         left, digest, no, number = int(fields.get("content-length", "0")), hashlib.sha1(), 0, number + 1
         base = {
-            "archive": archive, "record_no": number, "record_id": record_id_of(fields["warc-record-id"]), "record_type": fields["warc-type"],
+            "archive": archive, "record_no": number, "record_id": None if "x-no-id" in fields else record_id_of(fields["warc-record-id"]), "record_type": fields["warc-type"],
             "refers_to": record_id_of(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
             "declared_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "declared_bytes": int(fields.get("x-payload-length", left)),
         }
@@ -206,10 +210,10 @@ def read_archives(archives: DataFrame, uri: str) -> DataFrame:
                         held += len(row["chunk"]) + 200
                         rows.append(row)
                         if held > 8 << 20:
-                            yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+                            yield pd.DataFrame(rows, columns=names).astype({"record_id": "Int64", "refers_to": "Int64"})
                             rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype({"record_id": "Int64", "refers_to": "Int64"})
 
     return archives.select("archive").mapInPandas(run, CHUNKS)
 
@@ -228,13 +232,13 @@ def warc_roundtrip(df: DataFrame, id_col: str, payload_col: str, url_col: str |
     """Write a record per row, read the archives back, one row per record: record_id, payload_bytes, payload_digest,
     record_type, refers_to.
 
-    Null payloads count as empty; a url is folded to one line. Rows with a null id are not written. Rows repeated with
-    one id each make a record: with other payloads of their own type, with one payload of the same type. Other columns
+    Null payloads count as empty; a url is folded to one line. Rows with a null id are written and come back without one, as
+    revisits of what has their payload and an id. Rows repeated with one id each make a record: with other payloads of their own type, with one payload of the same type. Other columns
     are ignored. An empty table writes no archive.
     """
     spark, uri = df.sparkSession, new_path(df.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = df.where(F.col(id_col).isNotNull()).select(
+    rows = df.select(
         F.col(id_col).cast("long").alias("record_id"), (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("url"), payload.alias("payload"))
     archives = materialise(write_archives(chunk_rows(with_record_types(rows, min_bytes)), uri), "archives")
     files = archives.select("archive").repartition(max(1, min(archives.count(), 4 * spark.sparkContext.defaultParallelism)), "archive")

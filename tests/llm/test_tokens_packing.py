@@ -69,6 +69,14 @@ def test_bpe_keeps_within_its_bound(own, monkeypatch):
             assert bpe.digests(coder.bytes, ids, count, 0) == [hashlib.sha256(texts[i].encode()).hexdigest() for i in order]
 
 
+def test_other_patterns_are_applied_to_whole_texts(docs, own):
+    texts = [t or "" for t in TEXTS if "\ud800" not in (t or "")]
+    for pattern in (r"(?s).{1,7}", r" ?\w+ ?|\S|\s"):
+        rows = {r.doc_id: list(r.ids) for r in bpe.bpe_encode(docs(list(enumerate(texts))), pattern=pattern).collect()}
+        other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=own._mergeable_ranks, special_tokens={})
+        assert rows == {i: other.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def pack_check(rows, text_of, capacity):
     tok = Tokenizer.from_file(P.path(packing.VOCABULARY))
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in text_of.items()}

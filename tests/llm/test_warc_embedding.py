@@ -40,8 +40,10 @@ def test_repeated_ids_null_ids_and_clashing_names(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, n int")
     got = sorted(((r.record_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.warc_roundtrip(df, "page_id", "html", "url").collect()), key=str)
     digest = {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in ("one", "two", "own")}
-    want = [(1, digest["one"], "response", None)] * 2 + [(1, digest["two"], "revisit", 2), (2, digest["two"], "response", None), (3, digest["own"], "response", None)]
+    want = [(1, digest["one"], "response", None)] * 2 + [(1, digest["two"], "revisit", 2), (2, digest["two"], "response", None), (3, digest["own"], "response", None), (None, digest["two"], "revisit", 2)]
     assert got == sorted(want, key=str)
+    alone = df.where("page_id IS NULL").unionByName(df.where("page_id IS NULL"))
+    assert [(r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.warc_roundtrip(alone, "page_id", "html").collect()] == [(None, "response", None, 3)] * 2
 
 
 def chunked(payload):
