@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector as vec
 from tessera.operators.shared import new_path
+from tessera.plans import vector_queries  # noqa: F401  its queries' SQL is that of these
 from tessera.plans.base import ORACLE_SQL, query, stamp, vectors
+from tessera.sources import npy
 
 BITS = "vec_quantize_binary({})"
 #: The query of the same name without "sql_" has the oracle's SQL.
@@ -61,25 +63,5 @@ def sql_npy_each(spark, sf):
     """The vectors as .npy files, one for each batch that a task holds, all read by one SQL query."""
     vec.register(spark)
     place = new_path(spark, "npy")
-    vectors(spark, sf).select("id", "embedding").mapInPandas(lambda frames: saved(frames, place), "path string, ids array<long>").write.parquet(f"{place}-paths")
+    vectors(spark, sf).select("id", "embedding").mapInPandas(npy.writer(place), npy.WRITTEN).write.parquet(f"{place}-paths")
     return spark.sql(f"SELECT ids[rowid] AS id, round(cast(vector[0] AS DOUBLE), 6) AS first, size(vector) AS dimensions FROM parquet.`{place}-paths`, LATERAL npy_each(path)")
-
-
-def saved(frames, place: str):
-    """Write each frame's vectors as a .npy file: its path, and the ids of its rows."""
-    import io
-    import uuid
-
-    import numpy as np
-    import pandas as pd
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(place)
-    for f in frames:
-        if len(f):
-            raw, name = io.BytesIO(), uuid.uuid4().hex
-            np.save(raw, np.array(f["embedding"].tolist(), dtype="<f4"))
-            store.create_dir(root, recursive=True)
-            with store.open_output_stream(f"{root}/{name}.npy") as out:
-                out.write(raw.getvalue())
-            yield pd.DataFrame({"path": [f"{place}/{name}.npy"], "ids": [f["id"].tolist()]})

@@ -28,11 +28,11 @@ def event_windows_stream(spark, sf):
     return spark.read.parquet(out).select(F.col("window_start").cast("date").alias("day"), "event_type", "events", F.round("total", 2).alias("total"))
 
 
-@query(f"""WITH {GRAPH}, probes AS (SELECT id AS probe_id, subject_id, valid_from + 15 * 86400 AS at FROM relationships)
-    SELECT probe_id, p.subject_id, at, r.id, predicate, object_id, valid_from FROM probes p JOIN relationships r
-    ON r.subject_id = p.subject_id AND valid_from <= at AND (valid_until IS NULL OR valid_until > at)""")
+@query(f"""WITH {GRAPH}, probes AS (SELECT id AS probe_id, subject_id, valid_from + 15 * 86400 AS probed FROM relationships)
+    SELECT probe_id, p.subject_id, probed, r.id, predicate, object_id, valid_from FROM probes p JOIN relationships r
+    ON r.subject_id = p.subject_id AND valid_from <= probed AND (valid_until IS NULL OR valid_until > probed)""")
 def kg_as_of_join(spark, sf):
     """For each edge, those of its subject that hold fifteen days after it began."""
     edges = relationships(spark, sf)
     probes = edges.select(F.col("id").alias("probe_id"), "subject_id", (F.col("valid_from") + 15 * 86400).alias("at"))
-    return graph.as_of_join(probes, edges).select("probe_id", "subject_id", "at", "id", "predicate", "object_id", "valid_from")
+    return graph.as_of_join(probes, edges).select("probe_id", "subject_id", F.col("at").alias("probed"), "id", "predicate", "object_id", "valid_from")

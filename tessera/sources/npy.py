@@ -51,6 +51,32 @@ def rows_of(f, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
         yield from ((at + i, row.tolist()) for i, row in enumerate(block))
 
 
+WRITTEN = "path string, ids array<long>"
+
+
+def writer(place: str):
+    """A function for mapInPandas that writes each frame of (id, embedding) as a .npy file in a folder: its path, and the ids
+    of its rows in order. Names are new each time, so a task that runs twice leaves a file that no row names."""
+    def run(frames):
+        import io
+        import uuid
+
+        import numpy as np
+        import pandas as pd
+
+        store, root = fs.FileSystem.from_uri(place)
+        for f in frames:
+            if len(f):
+                raw, name = io.BytesIO(), uuid.uuid4().hex
+                np.save(raw, np.array(f["embedding"].tolist(), dtype="<f4"))
+                store.create_dir(root, recursive=True)
+                with store.open_output_stream(f"{root}/{name}.npy") as out:
+                    out.write(raw.getvalue())
+                yield pd.DataFrame({"path": [f"{place}/{name}.npy"], "ids": [f["id"].tolist()]})
+
+    return run
+
+
 class NpyEach:
     """The table function npy_each(path): the rows of a file, for each path that it meets; the source reads one large file in
     several tasks, this many files where their paths are rows. A null path has no rows."""

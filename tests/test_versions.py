@@ -252,3 +252,15 @@ def test_palaces_of_two_threads(spark, tmp_path):
     p, began = Palace.open(spark, path, dim=8), time.time()
     assert not errors and sorted(r.content for r in p.table("drawers").collect()) == ["text 0", "text 1 1", "text 1 2", "text 2 1", "text 2 2"]
     assert ids(p.table("drawers")) == [1, 2, 3, 4, 5] == ids(p.table("vec_drawers")) and p.stats().head().drawers == 5 and p.stats().head().wings == 3 and time.time() > began
+
+
+def test_the_package_can_be_shipped(tmp_path):
+    import subprocess
+    import sys
+
+    from tessera.shipping import packed
+
+    packed(str(tmp_path / "t.zip"))
+    said = subprocess.run([sys.executable, "-c", "import tessera.plans.registry as r, tessera; print(len(r.QUERIES), tessera.__file__)"], env={**os.environ, "PYTHONPATH": str(tmp_path / "t.zip")},
+                          cwd=tmp_path, capture_output=True, text=True)
+    assert "t.zip" in said.stdout and int(said.stdout.split()[0]) > 90
