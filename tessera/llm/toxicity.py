@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, held_out, labelled_sample, materialise, text_or_empty
 
 #: Labelled rows to learn from at most, and what a word must show there to join the lexicon.
-SAMPLE_ROWS, WORD_ROWS, WORD_SHARE, LEARNED_WORDS = 16_000, 5, 0.97, 400
+SAMPLE_ROWS, WORD_ROWS, WORD_SHARE = 16_000, 5, 0.97
 #: Lengths of the word beginnings that may join it too, as "stem*".
 STEMS = (4, 5, 6)
 #: A general list to start from.
@@ -86,15 +86,15 @@ def features(df: DataFrame, lexicon: list[str]) -> DataFrame:
 
 
 def learned_words(sample: DataFrame) -> list[str]:
-    """Words of the sample, and beginnings of words, in at least WORD_ROWS rows of which WORD_SHARE are toxic; at most
-    LEARNED_WORDS, best first."""
+    """All words of the sample, and beginnings of words, in at least WORD_ROWS rows of which WORD_SHARE are toxic, best first.
+    The sample bounds them."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
     terms = sample.select("label", F.explode(F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 2), *stems))).alias("word"))
     found = (
         terms.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"))
         .where((F.col("n") >= WORD_ROWS) & (F.col("share") >= WORD_SHARE))
-        .orderBy(F.desc("n"), "word").limit(LEARNED_WORDS)
+        .orderBy(F.desc("n"), "word")
     )
     return [r["word"] for r in found.collect()]
 

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
+import regex
 import zstandard
 from pyspark.sql import functions as F
 
@@ -90,3 +92,44 @@ def test_isotonic_never_falls():
     x = rng.normal(size=500).round(1)
     xs, ys = quality.isotonic(x, (x + rng.normal(size=500) > 0).astype(float), 0.5)
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all() and ys[0] < 0.2 < 0.8 < ys[-1]
+
+
+def plain_features(text, lexicon):
+    """The features by their definitions: every run of letters is looked up."""
+    letter = r"[\p{L}\p{M}]"
+    text = text or ""
+    low = text.lower()
+    known = lambda w: w in lexicon or any(s.endswith("*") and w.startswith(s[:-1]) for s in lexicon)
+    runs = lambda t: [w for w in regex.findall(f"{letter}+", t) if known(w)]
+    undone = regex.sub(rf"(?<={letter})[*._-](?={letter})", "", regex.sub(rf"[!$@](?!{letter})", " ", low)).translate(str.maketrans(*toxicity.LOOKALIKE))
+    plain = len(runs(low))
+    hits = max(plain, len(runs(undone)) if regex.search(rf"[0-9@$!*._-]{letter}", low) else 0)
+    near, at = 0, 0
+    while hits and at <= len(low):  # the shortest way from a pronoun to a known word
+        found = None
+        for m in regex.finditer(rf"(?<!{letter})(?:{'|'.join(toxicity.SECOND_PERSON)})(?!{letter})", low, pos=at):
+            for k in range(4):
+                n = regex.compile(rf"[^\p{{L}}]+(?:{letter}+[^\p{{L}}]+){{{k}}}({letter}+)(?!{letter})").match(low, m.end())
+                if n and known(n[1]) and not regex.match(letter, low[n.start(1) - 1]):
+                    found = n
+                    break
+            if found:
+                break
+        if not found:
+            break
+        near, at = near + 1, found.end()
+    size, blanks = max(1, len(text)), sum(c in " \n\t" for c in text)
+    return {"lexicon_hits": hits, "lexicon_density": hits / (1 + blanks + 1), "lexicon_kinds": len(set(runs(low))) if hits else 0, "near_you": near, "capitals": sum("A" <= c <= "Z" for c in text) / size,
+            "punctuation": sum(c in ".,;:?!'\"()-" for c in text) / size, "exclamations": text.count("!") / size, "obfuscation": hits - plain, "log_words": np.log1p(blanks)}
+
+
+def test_features_match_their_definitions(spark):
+    rng = random.Random(12)
+    lexicon = sorted({*toxicity.INSULTS, "lowe*", "réê*", "zutx"})
+    words = ["you", "your", "a", "the", "idiot", "IDIOT", "1d10t", "i.d.i.o.t", "st*pid", "stupid!", "l0ser", "lowering", "lower", "Réêou", "idiots", "xidiot", "scum,", "du", "$cum", "w-o-r-t-h-l-e-s-s", "né", "zutx", "42", "you're", "clown."]
+    texts = [None, "", "you", "you idiot", "YOU ARE A STUPID clown!!!", "you and all of them are idiot", "idiot you", "you; (idiot)", "é" * 5] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for r in toxicity.features(df, lexicon).collect():
+        want = plain_features(texts[r.doc_id], set(lexicon))
+        for name in toxicity.FEATURES:
+            assert abs(r[name] - want[name]) < 1e-12, (texts[r.doc_id], name, r[name], want[name])
