@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     palace = Palace.open(spark, settings.database_path)
     service = Service(palace, settings.default_wing)
     if args.verb == "mine":
-        print(palace.mine(args.path, args.wing or settings.default_wing, now=int(time.time())))
+        print(palace.mine(args.path, args.wing or settings.default_wing, now=int(time.time()), ignore=settings.ignore_patterns))
     elif args.verb == "search":
         rows = palace.search(args.query, now=int(time.time())).withColumn("short", prefix_bytes(F.col("content"), 200)).collect()
         for i, r in enumerate(rows, 1):

@@ -131,6 +131,38 @@ def should_skip(name: Column, more: list[str] | None = None) -> Column:
     return skip
 
 
+def glob_pattern(glob: str) -> str:
+    """The pattern of paths that a glob as in ignore files means: * and ? stay within a name, ** crosses folders, [...] is a set;
+    one with a slash before its end is taken from the root, another from any folder; a slash at the end means folders
+    only. What lies in a folder that matches matches too."""
+    folder, body = glob.endswith("/"), glob.rstrip("/")
+    anchored, body, out, i = "/" in body, body.lstrip("/"), "", 0
+    while i < len(body):
+        c = body[i]
+        if body[i : i + 3] == "**/":
+            out, i = out + "(?:.*/)?", i + 3
+        elif body[i : i + 2] == "**":
+            out, i = out + ".*", i + 2
+        elif c == "[" and "]" in body[i + 2 :]:
+            end = body.index("]", i + 2)
+            inside = body[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, i = out + "[" + ("^/" + inside[1:] if inside[0] in "!^" else inside) + "]", end + 1
+        else:
+            out, i = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else c if c.isalnum() or c in "/_" else "\\" + c), i + 1
+    return ("^" if anchored else "(?:^|/)") + out + ("/" if folder else "(?:/|$)")
+
+
+def ignored(path: Column, globs: list[str]) -> Column:
+    """Whether ignore globs leave a path (from the root on) out: the last that matches decides, and one that begins with ! takes
+    a path in again. Blank ones and those that begin with # mean nothing."""
+    out = F.lit(False)
+    for g in (g.strip() for g in globs):
+        if g and not g.startswith("#"):
+            keep = g.startswith("!")
+            out = F.when(path.rlike(glob_pattern(g[keep:])), F.lit(not keep)).otherwise(out)
+    return out
+
+
 def size_fits(size: Column) -> Column:
     return size.between(1, MAX_FILE_BYTES)
 

@@ -94,19 +94,40 @@ class Palace:
                 self.db.compact(name, small=state.rows(name) // 4 + 1)
         return rows.count(), done
 
-    def mine(self, path: str, wing: str, mode: str = "auto", max_chunk: int = text.MAX_CHUNK, overlap: int = text.OVERLAP, *, now: int) -> MineStats:
-        """Ingest a folder, a file or a chat export (mode: auto, directory, file, conversation)."""
+    def mine(self, path: str, wing: str, mode: str = "auto", max_chunk: int = text.MAX_CHUNK, overlap: int = text.OVERLAP, *, now: int,
+             ignore: list[str] | None = None, changed_only: bool = False) -> MineStats:
+        """Ingest a folder, a file or a chat export (mode: auto, directory, file, conversation). ignore: globs of files of a folder
+        to leave out; changed_only: files that were mined with the same length and time of change are not read again, and
+        count as skipped."""
         if mode == "auto":
             mode = "conversation" if path.lower().endswith((".json", ".jsonl")) else "directory" if self._is_dir(path) else "file"
         files = mining.read_files(self.spark, path)
         if mode == "conversation":
             rows, counts, kind = mining.conversation_chunks(self.spark, path), files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).head(), "conversation"
-            done, skipped, size, errors = counts.n, 0, counts.b or 0, 0
-        else:
-            rows = mining.file_chunks(files, path if mode == "directory" else None, max_chunk, overlap, every=mode == "file").drop("start", "end")
-            done, skipped, size, errors = mining.stats(files).head()
-            kind = "auto-mined"
-        return MineStats(done, skipped, size, errors, *self.insert(rows, wing, kind, now))
+            return MineStats(counts.n, 0, counts.b or 0, 0, *self.insert(rows, wing, kind, now))
+        root, known, fresh = path if mode == "directory" else None, 0, None
+        if changed_only:
+            self.refresh()
+            every = mining.listed(self.spark, path).where(mining.mined(F.col("path"), F.col("length"), root, ignore))
+            have = self.table("mined_files").select("path", "length", "modified")
+            fresh = checkpointed(every.join(have, ["path", "length", "modified"], "left_anti"))
+            known, files = every.count() - fresh.count(), checkpointed(mining.with_content(fresh))
+        rows = mining.file_chunks(files.where("content IS NOT NULL") if changed_only else files, root, max_chunk, overlap, every=mode == "file", ignore=ignore).drop("start", "end")
+        done, skipped, size, errors = mining.stats(files, root, ignore).head()
+        out = MineStats(done, skipped + known, size, errors, *self.insert(rows, wing, "auto-mined", now))
+        if changed_only:
+            self._mined(fresh.join(files.where("content IS NOT NULL").select("path"), "path", "left_semi"))
+        return out
+
+    def _mined(self, files: DataFrame) -> None:
+        """Note files (path, length, modified) as mined, in place of what was noted of them before."""
+        def work(state: State) -> Change:
+            new = store.numbered(files, [F.col("path")], "id", state.next_id.get("mined_files", 1))
+            part = self.db.stage("mined_files", new)
+            old = self.db.deletion(self.db.placed("mined_files", state).join(files.select("path"), "path", "left_semi"))
+            return Change(add={"mined_files": [part]}, delete={"mined_files": old}, reserve={"mined_files": part[1]}, built_on=["mined_files"])
+
+        self.db.transact(work)
 
     def _is_dir(self, path: str) -> bool:
         jvm = self.spark._jvm

@@ -58,7 +58,7 @@ def list_wings(spark, sf):
 @query(f"WITH {HIER} SELECT r.id, r.name FROM rooms r JOIN wings w ON w.id = r.wing_id WHERE w.name = 'de' ORDER BY r.name")
 def list_rooms(spark, sf):
     own = wings(spark, sf).where("name = 'de'").select(F.col("id").alias("wing_id"))
-    return rooms(spark, sf).join(F.broadcast(own), "wing_id", "left_semi").select("id", "name").orderBy("name")
+    return rooms(spark, sf).join(own, "wing_id", "left_semi").select("id", "name").orderBy("name")
 
 
 NEWEST = f"newest AS (SELECT d.id, content, source_path, r.name AS room_name, w.name AS wing_name, created_at FROM {NAMED} ORDER BY created_at DESC, d.id LIMIT 15)"
@@ -208,6 +208,14 @@ def file_filter(spark, sf):
     return files(spark, sf).select("path", text.should_skip(text.basename(F.col("path"))).alias("skipped"))
 
 
+@query(f"""WITH {NAMES} SELECT 'project/' || source || '/' || name AS path,
+    ((name LIKE '%.py' AND name NOT LIKE 'f7%') OR source = 'web' OR name LIKE 'f_.md') AND name <> 'f14.md' AS ignored FROM names JOIN documents USING (doc_id)""")
+def ignored_files(spark, sf):
+    """Files that globs of an ignore file leave out: by ending, but some; a folder; by a sign; and one taken in again."""
+    globs = ["*.py", "!f7*.py", "/project/web/", "# no glob", "f?.md", "!project/**/f14.md"]
+    return files(spark, sf).select("path", text.ignored(F.col("path"), globs).alias("ignored"))
+
+
 @query("SELECT doc_id AS id, strlen(text) BETWEEN 1 AND 10485760 AS fits FROM documents")
 def size_filter(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.size_fits(F.octet_length("text")).alias("fits"))

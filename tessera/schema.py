@@ -10,5 +10,6 @@ TABLES = {
     "relationships": "id long, subject_id long, predicate string, object_id long, confidence double, valid_from long, valid_until long, source_drawer_id long, created_at long",
     "agent_diaries": "id long, agent_name string, entry string, session_id string, created_at long",
     "config": "key string, value string",
+    "mined_files": "id long, path string, length long, modified timestamp",
     "mining_sessions": "id long, source_path string, file_count long, drawer_count long, started_at long, completed_at long",
 }

@@ -264,3 +264,36 @@ def test_the_package_can_be_shipped(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import tessera.plans.registry as r, tessera; print(len(r.QUERIES), tessera.__file__)"], env={**os.environ, "PYTHONPATH": str(tmp_path / "t.zip")},
                           cwd=tmp_path, capture_output=True, text=True)
     assert "t.zip" in said.stdout and int(said.stdout.split()[0]) > 90
+
+
+def test_ignore_globs(spark):
+    from tessera.functions import text
+
+    cases = {
+        "*.py": (["a.py", "x/y.py", "a.py/z"], ["a.pyc", "apy"]), "build/": (["build/a", "x/build/y/z"], ["build", "rebuild/a"]), "/top.txt": (["top.txt"], ["x/top.txt"]),
+        "doc/*.txt": (["doc/a.txt"], ["doc/x/a.txt", "x/doc/a.txt"]), "**/deep": (["deep", "a/b/deep", "a/deep/c"], ["adeep"]), "a/**/b": (["a/b", "a/x/y/b"], ["ab", "x/a/b"]), "f[0-3]?.md": (["f1x.md", "d/f3y.md"], ["f4x.md", "f1.md"]),
+        "f[!0-3].md": (["fa.md"], ["f2.md"]), "a+b(c).txt": (["a+b(c).txt"], ["aab(c).txt"]), "x/**": (["x/a", "x/a/b"], ["x", "y/x/a"])}
+    for glob, (out, kept) in cases.items():
+        df = spark.createDataFrame([(p,) for p in out + kept], "path string")
+        got = {r.path for r in df.where(text.ignored(F.col("path"), [glob])).collect()}
+        assert got == set(out), glob
+    df = spark.createDataFrame([("a.log",), ("keep.log",), ("b.txt",)], "path string")
+    assert [r.path for r in df.where(text.ignored(F.col("path"), ["*.log", "", "# x", "!keep.log"])).collect()] == ["a.log"]
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    folder = tmp_path / "project"
+    folder.mkdir()
+    for n in ("a.md", "b.md", "c.log"):
+        (folder / n).write_text(f"text of {n}")
+    palace = Palace.open(spark, str(tmp_path / "s"), dim=8)
+    run = lambda: palace.mine(str(folder), "w", now=1, ignore=["*.log"], changed_only=True)
+    first = run()
+    assert (first.files_processed, first.files_skipped, first.drawers_inserted) == (2, 0, 2)
+    again = run()
+    assert (again.files_processed, again.files_skipped, again.chunks_seen, again.drawers_inserted) == (0, 2, 0, 0)
+    (folder / "a.md").write_text("text of a.md, longer now")
+    third = run()
+    assert (third.files_processed, third.files_skipped, third.drawers_inserted) == (1, 1, 1)
+    assert palace.table("mined_files").count() == 2 and palace.db.rows("mined_files") == 2
+    assert palace.mine(str(folder), "w", now=1).files_processed == 3
