@@ -136,3 +136,20 @@ KNOWN = [
     ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3), ("Zlib", ZLIB), ("Unlicense", UNLICENSE), ("Apache-2.0", APACHE_HEADER),
     *NOTICES.items(),
 ]
+
+#: The canonical digests of whole texts that are too long to lie here, as the licences' authors published them.
+DIGESTS = {
+    "Apache-2.0": "1b8d795e3cef1366b44765d8e4a6b17528118cd6cfb3146a50bcf983a30f4777",
+    "Artistic-1.0": "2f3d769dc7523c6d7b33d67218c382c2f1bbbeb54c3752e387ae610d9a5519f8",
+    "CC0-1.0": "107657b61f1fade4bc0feb6f787704a981c4e011753c8311ecf9401310e1b507",
+    "GFDL-1.2": "0dfe3356bc84300810c038b6e2771ade3f37a89aee4a47b254e60bbfc28e8139",
+    "GFDL-1.3": "d30a95cc10a5ddc54266cdfd732e3a200e88f4aeb1f454bfe35aa19fc7d792e9",
+    "GPL-1.0": "4e9dfbd0b554e9592bfd59544c0dece19de6e249f13de3ed4d3f45fb50ec59f8",
+    "GPL-2.0": "e14a19ad75dfddfe2094bdf479a50faf3a1b987c208c247dcb12ad53a69455b3",
+    "GPL-3.0": "bf298f56841a9b4bb40ca9f36997d3a32af01f274a05846eaf5d89d5aae2af78",
+    "LGPL-2.0": "586beb2d4154903cc68738d75b4e6426076027b419eb72b2ae0ed0add9cc8786",
+    "LGPL-2.1": "2e88c50e8f4dfa9096f4a2532928385d4bc2a2ffbbd235c29d11b6e291c390c1",
+    "LGPL-3.0": "75c0453548238c572209c39c34402efb773b13fb0d4d0d4b7956f2b8c4560f12",
+    "MPL-1.1": "f81c8ff73f6be12b1bb801e42b5d51178c389d5e14add00e3d9f9cf99e4b767d",
+    "MPL-2.0": "1fa4707b66b6349121d85dfa9da964f3b6c706f2f2e8d63cfd3da5bd236a7a05",
+}

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, license_scan, license_texts
 from tests.llm.conftest import SF
@@ -50,7 +51,7 @@ def test_lanes_of_a_round_hold_no_digest_twice(spark, docs):
     assert winners.count() == 50 and winners.where("group_size = 40 AND keep_id < 50").count() == 50
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op2_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op1_license_variants", "op2_exact_dedup"])
 def test_queries_match_sql(spark, name):
     from tessera.llm.queries import ORACLE_SQL, QUERIES
 
@@ -73,3 +74,16 @@ def test_license_scan_knows_variants(spark, docs, awkward, nothing):
     assert len(out) == 11 and all(r.license_id is None for r in out)
     assert license_scan.license_scan(nothing, license_scan.known_licenses(spark)).count() == 0
     assert all(r.license_id is None for r in license_scan.license_scan(docs(rows), license_scan.known_licenses(spark).limit(0)).collect())
+
+
+def test_digests_stand_for_whole_texts(spark, docs):
+    rows = [(1, "Some long text, of A license"), (2, "SOME long text; of a licence!"), (3, "another"), (4, license_texts.MIT)]
+    own = license_scan.license_scan(docs(rows[:1]), license_scan.known_licenses(spark)).select(F.lit("Own-1.0").alias("license_id"), "canonical_sha256")
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(docs(rows), license_scan.known_licenses(spark), digests=own).collect()}
+    assert got == {1: "Own-1.0", 2: "Own-1.0", 3: None, 4: "MIT"}
+    assert all(len(d) == 64 for d in license_texts.DIGESTS.values()) and len(set(license_texts.DIGESTS.values())) == len(license_texts.DIGESTS)
+
+
+def test_variants_are_found(spark):
+    rows = license_scan.op1_license_variants(spark, SF).collect()
+    assert all((r.license_id is not None) == (r.doc_id % 20 == 0) for r in rows if r.doc_id % 20 == 0) and sum(r.license_id is not None for r in rows) >= 10
