@@ -381,6 +381,14 @@ def label_apart(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tupl
             yield a, b
 
 
+def early(n: np.ndarray, pos: np.ndarray, i: np.ndarray, m: np.ndarray, spot: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether a list's shingle, at places pos and spot of the texts' orders, may be the first that rows i and j have in common:
+    what they have in common then is from there on, and must be enough for a link. One order holds for all texts, so a
+    linked pair passes in the list of its first common shingle."""
+    least = num * (n[i] + m[j])
+    return ((n[i] - pos[i]) * (num + den) >= least) & ((m[j] - spot[j]) * (num + den) >= least)
+
+
 def leaf_pairs(f: pd.DataFrame, start: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in stretches of f (each a tree of one leaf) that have different labels and pass the bounds."""
     pairs = [np.zeros((2, 0), dtype=np.int64)]
@@ -389,8 +397,8 @@ def leaf_pairs(f: pd.DataFrame, start: np.ndarray, size: np.ndarray, num: int, d
         at = start[size == k][:, None]
         pairs.append(np.stack([(at + i).ravel(), (at + j).ravel()]))
     i, j = np.concatenate(pairs, axis=1)
-    n, label = f["n"].to_numpy(), f["label"].to_numpy()
-    ok = (label[i] != label[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
+    n, label, pos = f["n"].to_numpy(), f["label"].to_numpy(), f["pos"].to_numpy()
+    ok = (label[i] != label[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num) & early(n, pos, i, n, pos, j, num, den)
     i, j = i[ok], j[ok]
     if not len(i):
         return i, j
@@ -407,8 +415,9 @@ def tree_pairs(g: pd.DataFrame, num: int, den: int) -> Iterator[pd.DataFrame]:
         left, ta = tree_of(left)
         other, tb = (left, None) if right is None else tree_of(right)
         one, two = left["label"].to_numpy(), other["label"].to_numpy()
+        (n, pos), (m, spot) = ((f["n"].to_numpy(), f["pos"].to_numpy()) for f in (left, other))
         for x, y in candidates(ta, tb, num, den):
-            apart = one[x] != two[y]
+            apart = (one[x] != two[y]) & early(n, pos, x, m, spot, y, num, den)
             yield pair_rows(left, x[apart], other, y[apart])
 
 
@@ -424,16 +433,20 @@ def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFr
     """PAIR rows: all linked pairs of classes that `label` (id, label; a class without one is its own) holds apart.
 
     A text with fewer first shingles in common with texts of other labels than any link of its size needs is left out.
-    Shingles that the same texts have make one list. Lists of up to LEAVES texts are leaves, of which a task bounds many at
+    Shingles that the same texts have make one list, that of the first of them in the order; a pair is taken from a list whose
+    shingle may be its first common one (see early). Lists of up to LEAVES texts are leaves, of which a task bounds many at
     a time; longer ones are trees, cut into blocks above LIST_BLOCK texts. Only texts of pairs that pass are read again."""
     heads = member.where("id = class").select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     first = materialise(sig.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "first").join(heads, "id"), "first-shingles")
+    # where an id stands for several texts, a place in the order isn't one text's: then no pair is left out by it
+    own_place = not first.groupBy("id").count().where("count > 1").limit(1).count()
     each = F.explode("first").alias("shingle")
     shared = first.select("label", each).groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
     release_shuffles(df.sparkSession)
     shared = materialise(shared, "shared-shingles")
     release_shuffles(df.sparkSession)
-    rows = materialise(first.select("id", "n", each).join(shared, "shingle"), "shared")
+    placed = first.select("id", "n", F.posexplode("first").alias("pos", "shingle")).withColumn("pos", F.col("pos") if own_place else F.lit(-1))
+    rows = materialise(placed.join(shared, "shingle"), "shared")
     release_shuffles(df.sparkSession)
     least = F.expr(f"n - (n - ({num} * n + {den - 1}) div {den})")  # the size of the smallest set that may be linked
     keep = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("has")).withColumn("least", least).where(
@@ -441,14 +454,14 @@ def missed_pairs(df: DataFrame, sig: DataFrame, member: DataFrame, label: DataFr
     each = materialise(rows.join(first.select("id", "n", "label").join(keep, ["id", "n"]), ["id", "n"]), "kept")
     same = ["size", "lo", "hi", "x", "y"]
     lists = each.groupBy("shingle").agg(
-        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("pos", "id").alias("place"),
         F.bit_xor(F.xxhash64("id", "n")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "n", "id")).alias("y"))
-    lists = materialise(lists.where("a <> b").groupBy(*same).agg(F.min("shingle").alias("shingle")).select("shingle", "size"), "lists")
+    lists = materialise(lists.where("a <> b").groupBy(*same).agg(F.min_by("shingle", F.struct("place", "shingle")).alias("shingle")).select("shingle", "size"), "lists")
     rows = materialise(each.join(lists, "shingle"), "list-rows")
     cut = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
     rows = rows.withColumn("cut", cut).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    rows = rows.withColumn("pair", F.explode(pair)).select("shingle", "pair.i", "pair.j", "own", "size", "id", "n", "label")
+    rows = rows.withColumn("pair", F.explode(pair)).select("shingle", "pair.i", "pair.j", "own", "size", "id", "n", "pos", "label")
     bits = sig.select("id", F.col("n_shingles").alias("n"), "h1", "bits").dropDuplicates(["id", "n", "h1"]).drop("h1")
     rows = rows.join(bits, ["id", "n"])
     key = ["shingle", "i", "j"]
