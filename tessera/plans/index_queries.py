@@ -11,8 +11,8 @@ from tessera.operators.text_index import TextIndex, fused
 from tessera.plans.base import SEARCH_TEXT, query, query_vector, stamp, table, vectors
 from tessera.plans.vector_queries import E, K, l2, near_sql, shown
 
-#: Cells of a search over some hundreds of cells or fewer.
-PROBES = 24
+#: Cells that a query reads: of sf0.1's 45, whose vectors hardly cluster, 12 recall 0.79, 24 0.945, 32 0.975.
+PROBES = 32
 _PLACES: dict[tuple, object] = {}
 
 
