@@ -16,6 +16,8 @@ from pyspark.sql.functions import udtf
 VERSION = "0.1.0"
 #: A step of the unit quantiser, as a 32-bit float.
 STEP = struct.unpack("<f", struct.pack("<f", 2.0 / 255.0))[0]
+#: From here on doubles have no fraction.
+WHOLE = 2.0**53
 
 
 def doubles(v: Column) -> Column:
@@ -133,9 +135,15 @@ def quantize_int8(v: Column, kind: str = "unit") -> Column:
     return F.transform(doubles(v), lambda x: step(x).cast("tinyint"))
 
 
+def six_decimals(x: Column) -> Column:
+    """x as C's %.6f writes it: a tie, such as 9/128, goes to the even digit, where format_string goes away from zero. Infinity,
+    null and what has no fraction (2^53 and beyond) are format_string's."""
+    return F.when(F.abs(x) < WHOLE, F.call_function("format_number", x, F.lit("0.000000"))).otherwise(F.format_string("%.6f", x))
+
+
 def to_json(v: Column) -> Column:
-    """[x,y,...] with six decimals; NaN as null."""
-    each = F.transform(doubles(v), lambda x: F.when(F.isnan(x), F.lit("null")).otherwise(F.format_string("%.6f", x)))
+    """[x,y,...] with six decimals, ties to even; NaN as null."""
+    each = F.transform(doubles(v), lambda x: F.when(F.isnan(x), F.lit("null")).otherwise(six_decimals(x)))
     return F.when(v.isNull(), None).otherwise(F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
 
 
@@ -260,7 +268,9 @@ SQL = {
     "vec_quantize_int8(v ARRAY<DOUBLE>, kind STRING) RETURNS ARRAY<TINYINT>":
         "CASE WHEN kind <> 'unit' THEN raise_error('only unit is known') ELSE transform(v, x -> cast(if(isnan(x), 127D, "
         f"greatest(-128D, least(127D, (x + 1) / {STEP!r}D - 128))) AS TINYINT)) END",
-    "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING": "concat('[', array_join(transform(v, x -> if(isnan(x), 'null', format_string('%.6f', x))), ','), ']')",
+    "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING":
+        "concat('[', array_join(transform(v, x -> CASE WHEN isnan(x) THEN 'null' "
+        f"WHEN abs(x) < {WHOLE!r}D THEN format_number(x, '0.000000') ELSE format_string('%.6f', x) END), ','), ']')",
     "vec_f32(x STRING) RETURNS ARRAY<FLOAT>":
         r"CASE WHEN x IS NULL THEN NULL WHEN x RLIKE r'^\s*\[[-+\s,0-9.eE]*(\]|$)' AND regexp_extract(x, r'^\s*\[([^\]]*)', 1) RLIKE '[0-9]' THEN "
         r"cast(cast(regexp_extract_all(regexp_extract(x, r'^\s*\[([^\]]*)', 1), r'[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?', 0) AS ARRAY<DOUBLE>) AS ARRAY<FLOAT>) "

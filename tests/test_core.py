@@ -348,3 +348,17 @@ def test_text_edges(spark):
     assert (r.b, r.c, r.e, r.a, r.s, r.v) == (2, 12, None, None, "12", False)
     raw = ("aé" * 200).encode()
     assert r.p == raw[:200].decode("utf-8", "ignore") and r.q == raw[-200:].decode("utf-8", "ignore")
+
+
+def test_json_rounds_ties_to_even_as_the_sql_does(spark, duck):
+    """k/128 lies between two numbers of six decimals."""
+    numbers = [k / 128 for k in range(-300, 301)] + [1234.0078125, -4096.5078125, 5e-7, -1e-7, -0.0, 0.0, 12345678.0, 2.0**53, float("inf")]
+    df = spark.createDataFrame([(numbers,)], "v array<double>")
+    got = df.select(vec.to_json(F.col("v")).alias("j")).head().j
+    assert got == "[" + ",".join("Infinity" if x == float("inf") else f"{x:.6f}" for x in numbers) + "]"
+    want = [r[0] for r in duck.execute("SELECT printf('%.6f', x) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [numbers[:-1]]).fetchall()]
+    assert got[1:-1].split(",")[:-1] == want
+    vec.register(spark)
+    df.createOrReplaceTempView("ties")
+    assert spark.sql("SELECT vec_to_json(v) FROM ties").head()[0] == got
+    assert df.select(vec.to_json(F.array(F.lit(9 / 128), F.lit(None).cast("double"))).alias("j")).head().j == "[0.070312,null]"
