@@ -6,6 +6,7 @@ nearest `probes` folders only, and ranks their rows exactly, so with as many pro
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -18,6 +19,8 @@ from tessera.operators.knn import knn, knn_join
 
 #: Cells at most, vectors a cell that the centres are fitted on at most, rounds of k-means, rows of a file at most.
 MAX_CELLS, SAMPLE_PER_CELL, ROUNDS, FILE_ROWS = 4096, 256, 15, 1_000_000
+#: Rows whose neighbours probes_for takes, about, and neighbours that it holds at most.
+SAMPLE_QUERIES, SAMPLE_NEIGHBOURS = 256, 200_000
 #: The cell of vectors that have no direction or no place (zero, NaN, infinite); it is always read.
 ODD = -1
 
@@ -71,6 +74,24 @@ class IvfIndex:
         far = (c * c).sum(axis=1)[None, :] - 2 * (q @ c.T)
         return np.array(self.cells)[np.argsort(far, axis=1, kind="stable")[:, :probes]]
 
+    def probes_for(self, recall: float, k: int) -> int:
+        """How many cells a search must read to find `recall` of the k nearest: the exact neighbours of about SAMPLE_QUERIES rows,
+        drawn by a hash of the id, are looked up, and how far down each row's list of cells theirs are. The share of cells
+        that does depends on how the vectors cluster, and their number on the rows, so neither can be fixed beforehand."""
+        rows = self.table().where(F.col("cell") != ODD)
+        wanted = max(1, min(SAMPLE_QUERIES, SAMPLE_NEIGHBOURS // k))
+        share = min(1.0, wanted / max(1, rows.count()))
+        asked = rows.where(F.pmod(F.xxhash64(F.col(self.id), F.lit(5)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col(self.id).alias("query_id"), F.col(self.vector).alias("v"))
+        held = asked.withColumn("query_id", F.col("query_id").cast("long")).collect()
+        if not held:
+            return max(1, len(self.cells))
+        order = self.nearest_cells(np.array([r["v"] for r in held], dtype=np.float64), len(self.cells))
+        place = {r["query_id"]: {int(c): n for n, c in enumerate(row)} for r, row in zip(held, order)}
+        exact = knn_join(asked, rows, k, metric=self.metric, query_vector="v", vector=self.vector, id=self.id)
+        near = exact.join(rows.select(F.col(self.id).cast("long").alias("id"), "cell"), "id").select("query_id", "cell").collect()
+        depth = sorted(place[r["query_id"]][r["cell"]] for r in near)
+        return depth[max(0, math.ceil(recall * len(depth)) - 1)] + 1
+
     def probed(self, query: list, probes: int) -> DataFrame:
         """The rows of the probed cells and of the odd one: a filter on the folders."""
         if probes < 1:

@@ -165,3 +165,15 @@ def test_as_of_join_matches_brute_force_without_a_nested_loop(spark):
 def test_partition_values_of_a_query_prune_at_run_time(spark):
     df = QUERIES["knn_partition_in_query"](spark, "/root/testdata/sf0.01")
     assert "dynamicpruning" in plan(df) and df.count() == 10
+
+
+def test_probes_grow_with_cells_of_vectors_that_do_not_cluster(spark, tmp_path):
+    x = np.random.default_rng(5).standard_normal((6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    asked = df.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in knn_join(asked, df, 10).collect()}
+    index = IvfIndex.build(df, str(tmp_path / "a"))
+    found = lambda probes: len(exact & {(r.query_id, r.id) for r in index.knn_join(asked, 10, probes).collect()})
+    probes = index.probes_for(0.985, 10)
+    assert 32 < probes < len(index.cells) and found(32) < 0.95 * len(exact) <= found(probes)
+    assert IvfIndex.build(df.limit(0), str(tmp_path / "none")).probes_for(0.9, 10) == 1
