@@ -3,9 +3,11 @@ would fall inside a character moves back to where it starts."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ SKIPPED_EXTENSIONS = [
 ]
 SKIPPED_PARTS = [".db-wal", ".db-shm", "node_modules", "__pycache__"]
 MAX_FILE_BYTES = 10 * 1024 * 1024
-CHUNKS = "array<struct<chunk_index:int,start:long,end:long,content:string>>"
 
 
 def char_start(raw: bytes, at: int) -> int:
@@ -53,18 +54,28 @@ def cut(raw: bytes, max_chunk: int = MAX_CHUNK, overlap: int = OVERLAP) -> Itera
 
 
 def chunks(text: Column, max_chunk: int = MAX_CHUNK, overlap: int = OVERLAP) -> Column:
-    """The chunks of a text; an empty text is one empty chunk, null gives null. Arrow batches; texts are cut whole."""
-    @F.pandas_udf(CHUNKS)
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None):
-            if text is None:
-                return None
-            raw = text.encode("utf-8", "surrogatepass")
-            return [{"chunk_index": i, "start": s, "end": e, "content": raw[s:e].decode("utf-8", "surrogatepass")} for i, (s, e) in enumerate(cut(raw, max_chunk, overlap))]
-
-        return texts.map(one)
-
-    return run(text)
+    """The chunks of a text, an array of (chunk_index, start, end, content); an empty text is one empty chunk, null gives null. Texts are cut whole; Python gives the
+    places only, as Arrow arrays, and Spark takes the chunks of a row from its text, so that no worker holds a batch's chunks."""
+    @F.arrow_udf("array<struct<start:long,end:long>>")
+    def places(texts: pa.Array) -> pa.Array:
+        first, found = array("q"), array("q")
+        for x in texts.cast(pa.large_binary()):
+            first.append(len(found) // 2)
+            if x.is_valid:
+                for place in cut(x.as_py(), max_chunk, overlap):
+                    found.extend(place)
+        both = np.frombuffer(found, dtype=np.int64).reshape(-1, 2) if found else np.empty((0, 2), dtype=np.int64)
+        own = pa.StructArray.from_arrays([pa.array(both[:, i]) for i in (0, 1)], ["start", "end"])
+        at = np.append(np.frombuffer(first, dtype=np.int64), len(both)).astype(np.int32)
+        null = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+        return pa.ListArray.from_arrays(pa.array(at, mask=null), own)
+
+    def one(row: Column) -> Column:
+        piece = lambda c: F.substring(row.raw, (c.start + 1).cast("int"), (c.end - c.start).cast("int")).cast("string")
+        return F.transform(row.places, lambda c, i: F.struct(i.alias("chunk_index"), c.start.alias("start"), c.end.alias("end"), piece(c).alias("content")))
+
+    # each row's bytes are taken once, not for each chunk
+    return F.transform(F.array(F.struct(text.cast("binary").alias("raw"), places(text).alias("places"))), one)[0]
 
 
 def chunked(df: DataFrame, column: str, max_chunk: int = MAX_CHUNK, overlap: int = OVERLAP) -> DataFrame:

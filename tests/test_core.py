@@ -362,3 +362,19 @@ def test_json_rounds_ties_to_even_as_the_sql_does(spark, duck):
     df.createOrReplaceTempView("ties")
     assert spark.sql("SELECT vec_to_json(v) FROM ties").head()[0] == got
     assert df.select(vec.to_json(F.array(F.lit(9 / 128), F.lit(None).cast("double"))).alias("j")).head().j == "[0.070312,null]"
+
+
+def test_a_worker_gives_places_of_chunks_only(spark):
+    """Of a batch whose chunks overlap and hold several times its objects, Python makes two numbers a chunk."""
+    rows = [(1, None), (2, ""), (3, "é" * 5000), (4, "a\n\nb" * 900), (5, "日本" * 40_000), (6, None)]
+    out = text.chunked(spark.createDataFrame(rows, "id int, t string").coalesce(1), "t", 300, 40)
+    assert "places(" in out._jdf.queryExecution().analyzed().toString()
+    own = {}
+    for r in out.collect():
+        own.setdefault(r.id, []).append(r)
+    assert sorted(own) == [2, 3, 4, 5]
+    for i, t in rows:
+        if t is not None:
+            raw = t.encode()
+            assert [(r.start, r.end) for r in own[i]] == brute_chunks(t, 300, 40) and [r.chunk_index for r in own[i]] == list(range(len(own[i])))
+            assert all(r.content == raw[r.start : r.end].decode() for r in own[i])
