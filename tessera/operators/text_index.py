@@ -28,11 +28,29 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def counted(words: Column) -> Column:
+    """The distinct words of an array and how often each is in it: (term, tf), by runs of the sorted array, within the row."""
+    def runs(row: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: (i == 0) | (F.get(row, i) != F.get(row, i - 1)))
+        pair = lambda b: F.transform(b.starts, lambda p, j: F.struct(F.get(row, p).alias("term"), (F.coalesce(F.get(b.starts, j + 1), F.size(row)) - p).alias("tf")))
+        return F.transform(F.array(F.struct(starts.alias("starts"))), pair)[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]
+
+
 def postings(docs: DataFrame, id: str = "id", content: str = "content") -> DataFrame:  # noqa: A002
-    """(term, id, tf, length): how often each term is in each row of docs, and the row's number of terms."""
-    words = docs.select(F.col(id).alias("id"), terms(F.col(content)).alias("words")).where(F.size("words") > 0)
-    each = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "id", "tf", "length")
+    """(term, id, tf, length): how often each term is in each row of docs, and the row's number of terms. A row's terms are
+    counted within the row, so nothing is shuffled; only rows of an id that several have are added up, where as long."""
+    def each(some: DataFrame) -> DataFrame:
+        words = some.select(F.col(id).alias("id"), terms(F.col(content)).alias("words")).where(F.size("words") > 0)
+        return words.select("id", F.size("words").alias("length"), F.inline(counted(F.col("words")))).select("term", "id", "tf", "length")
+
+    again = docs.groupBy(F.col(id).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    if again.head() is None:
+        return each(docs)
+    same = F.col(id).eqNullSafe(F.col("_again"))
+    added = each(docs.join(again, same, "left_semi")).groupBy("term", "id", "length").agg(F.sum("tf").cast("int").alias("tf"))
+    return each(docs.join(again, same, "left_anti")).unionByName(added)
 
 
 def weight(tf: Column, df: Column, length: Column, docs: Column, average: Column, k1: float = K1, b: float = B) -> Column:
@@ -58,12 +76,12 @@ class TextIndex:
     def add(self, docs: DataFrame, id: str = "id", content: str = "content") -> None:  # noqa: A002
         """Index more rows, whose ids should be new."""
         part, kind = uuid.uuid4().hex, docs.schema[id].dataType.simpleString()
-        rows = postings(docs, id, content).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         # a folder's rows go to one task unless they are many: then Spark deals them to several
+        rows = postings(docs, id, content).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/part={part}")
         have = self._read("postings", [part], kind)
         have.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/terms/part={part}")
-        size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(F.coalesce(terms(F.col(content)), F.array().cast("array<string>")))), F.lit(0)).alias("words"))
+        size = docs.agg(F.count(F.lit(1)).alias("docs")).join(have.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")))
         size.select(F.lit(part).alias("part"), F.lit(kind).alias("id_type"), "docs", "words").coalesce(1).write.mode("append").json(f"{self.path}/parts")
 
     def _read(self, name: str, parts: list[str], kind: str) -> DataFrame:
@@ -89,9 +107,13 @@ class TextIndex:
         else:
             wanted = wanted.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
             own = counts.join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-            rows = rows.join(wanted.join(own, ["bucket", "term"]), ["bucket", "term"])
+            rows = rows.join(own, ["bucket", "term"])
         score = weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(float(docs)), F.lit(average or 1.0), k1, b)
-        return rows.withColumn("score", score)
+        rows = rows.withColumn("score", score)
+        if isinstance(wanted, list):
+            return rows
+        # a posting goes to its document's task once, not once for each query that has the term; the sums are made there
+        return rows.select("term", "id", "score").repartition("id").join(wanted.drop("bucket"), "term")
 
     def search(self, query: str, k: int, *, k1: float = K1, b: float = B) -> DataFrame:
         """(id, score): the k best rows that have a term of the query, by score, then id. A term counts once in the query."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph
 from tessera.operators.ivf import ODD, IvfIndex
 from tessera.operators.knn import knn, knn_join
-from tessera.operators.text_index import TextIndex, fused
+from tessera.operators.text_index import TextIndex, fused, postings
 from tessera.plans.registry import QUERIES
 from tessera.streaming.windows import event_windows, window_stream
 
@@ -177,3 +177,21 @@ def test_probes_grow_with_cells_of_vectors_that_do_not_cluster(spark, tmp_path):
     probes = index.probes_for(0.985, 10)
     assert 32 < probes < len(index.cells) and found(32) < 0.95 * len(exact) <= found(probes)
     assert IvfIndex.build(df.limit(0), str(tmp_path / "none")).probes_for(0.9, 10) == 1
+
+
+def test_postings_are_counted_without_a_shuffle(spark, tmp_path):
+    texts = [(i, " ".join(random.Random(i).choices(["a", "b", "Ç", "x1", "zz"], k=i % 40))) for i in range(300)] + [(900, None), (901, "?!")]
+    df = spark.createDataFrame(texts, "id long, content string")
+    rows = postings(df)
+    assert "Exchange" not in plan(rows)
+    want = sorted((t, i, len([w for w in ws if w == t]), len(ws)) for i, x in texts for ws in [(x or "").lower().replace("?!", "").split()] for t in set(ws))
+    assert sorted(map(tuple, rows.collect())) == want
+    # rows of one id count as one where they are as long
+    twice = spark.createDataFrame([(1, "a b a"), (1, "a a c"), (1, "a"), (2, "a"), (None, "b"), (None, "b")], "id long, content string")
+    assert sorted(map(tuple, postings(twice).collect()), key=repr) == sorted([("a", 1, 4, 3), ("b", 1, 1, 3), ("c", 1, 1, 3), ("a", 1, 1, 1), ("a", 2, 1, 1), ("b", None, 2, 1)], key=repr)
+    index = TextIndex.build(df, str(tmp_path / "a"), buckets=4)
+    assert index.sizes()[2] == 302 and index.sizes()[3] == sum(len((x or "").replace("?!", "").split()) for _, x in texts) / 302
+    asked = spark.createDataFrame([(1, "a b"), (2, "b x1"), (3, "a zz")], "query_id long, text string")
+    asked.coalesce(1).write.parquet(str(tmp_path / "asked"))
+    text = plan(index.search_join(spark.read.parquet(str(tmp_path / "asked")), 3))
+    assert "hashpartitioning(id" in text and not re.search(r"hashpartitioning\(query_id#\d+L?, id", text)
