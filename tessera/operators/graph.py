@@ -60,14 +60,17 @@ def query(relationships: DataFrame, entities: DataFrame, subject: str | None = N
         F.desc("valid_from"), "id").limit(limit)
 
 
-def as_of_join(probes: DataFrame, relationships: DataFrame, bucket: int = 30 * 86400) -> DataFrame:
+def as_of_join(probes: DataFrame, relationships: DataFrame, bucket: int | None = None) -> DataFrame:
     """probes (subject_id, at, and others) with every relationship of the subject that holds at the time: begun, and not ended.
 
     An interval is cut into the buckets of time that it touches, a probe lies in one, and both meet by subject and bucket, so
     Spark joins by a hash of both. An interval that hasn't ended ends with the last probe; one that lasts longer than
-    LONG buckets is met in the subject's own lane instead, so that no row is copied more often than that."""
+    LONG buckets is met in the subject's own lane instead, so that no row is copied more often than that. bucket: by default
+    as long as an interval on average, so that all are cut into about two pieces each; it decides the cost, no result."""
     last = F.lit(probes.agg(F.max("at")).head()[0]).cast("long")
     held = relationships.withColumn("_end", F.least(F.coalesce(F.col("valid_until") - 1, last), last)).where(F.col("valid_from") <= F.col("_end"))
+    if bucket is None:
+        bucket = max(1, int(held.agg(F.avg(F.col("_end") - F.col("valid_from") + 1)).head()[0] or 1))
     first, stop = F.floor(F.col("valid_from") / bucket), F.floor(F.col("_end") / bucket)
     lanes = F.when(stop - first < LONG, F.sequence(first, stop)).otherwise(F.array(F.lit(None).cast("long")))
     cut = held.withColumn("_bucket", F.explode(lanes)).drop("_end")

@@ -195,3 +195,15 @@ def test_postings_are_counted_without_a_shuffle(spark, tmp_path):
     asked.coalesce(1).write.parquet(str(tmp_path / "asked"))
     text = plan(index.search_join(spark.read.parquet(str(tmp_path / "asked")), 3))
     assert "hashpartitioning(id" in text and not re.search(r"hashpartitioning\(query_id#\d+L?, id", text)
+
+
+def test_intervals_are_cut_into_few_pieces_whatever_their_length(spark):
+    rng = random.Random(6)
+    for unit in (60, 400 * 86400):
+        edges = [(i, rng.randrange(5), f := rng.randrange(0, 50 * unit), f + rng.randrange(1, 20 * unit)) for i in range(300)]
+        probes = [(i, rng.randrange(6), rng.randrange(0, 70 * unit)) for i in range(200)]
+        e = spark.createDataFrame([(i, s, "p", 1, f, u) for i, s, f, u in edges], "id long, subject_id long, predicate string, object_id long, valid_from long, valid_until long")
+        out = graph.as_of_join(spark.createDataFrame(probes, "probe_id long, subject_id long, at long"), e)
+        assert sorted((r.probe_id, r.id) for r in out.collect()) == sorted((i, j) for i, s, t in probes for j, s2, f, u in edges if s == s2 and f <= t < u)
+        width = int(re.search(r"FLOOR\(\(cast\(at#\d+L as double\) / cast\((\d+) as double\)", out._jdf.queryExecution().analyzed().toString()).group(1))
+        assert sum(u // width - f // width + 1 for _, _, f, u in edges) < 3 * len(edges)
