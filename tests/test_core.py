@@ -364,6 +364,24 @@ def test_json_rounds_ties_to_even_as_the_sql_does(spark, duck):
     assert df.select(vec.to_json(F.array(F.lit(9 / 128), F.lit(None).cast("double"))).alias("j")).head().j == "[0.070312,null]"
 
 
+@pytest.mark.parametrize("name", [
+    "sql_vec_f32",
+])
+def test_a_table_of_ties_gives_the_rows_of_the_sql(spark, tmp_path, name):
+    """Odd multiples of 1/128, of which row 1 has length 1; row 0, the query vector, has even ones, so sums and differences are odd."""
+    import duckdb
+
+    sign = [1 - k // 3 % 2 * 2 for k in range(64)]
+    vectors = [[0.125] * 64, [s * (15 if k < 33 else 17) / 128 for k, s in enumerate(sign)], [(2 * k - 63) / 128 for k in range(64)],
+               [s * (2.0 ** (k % 16) + 1 / 128) for k, s in enumerate(sign)]]
+    place = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(list(zip(range(4), vectors, range(4))), "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(place)
+    got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{place}/*.parquet'")
+    assert got == sorted(con.sql(ORACLE_SQL[name]).fetchall())
+
+
 def test_a_worker_gives_places_of_chunks_only(spark):
     """Of a batch whose chunks overlap and hold several times its objects, Python makes two numbers a chunk."""
     rows = [(1, None), (2, ""), (3, "é" * 5000), (4, "a\n\nb" * 900), (5, "日本" * 40_000), (6, None)]
