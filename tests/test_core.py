@@ -365,7 +365,7 @@ def test_json_rounds_ties_to_even_as_the_sql_does(spark, duck):
 
 
 @pytest.mark.parametrize("name", [
-    "sql_vec_f32", "sql_vec_normalize", "sql_vec_sub", "sql_vec_to_json", "vec_add", "vec_f32", "vec_insert", "vec_normalize", "vec_scan", "vec_sub",
+    "sql_vec_f32", "sql_vec_normalize", "sql_vec_sub", "sql_vec_to_json", "vec_add", "vec_f32", "vec_insert", "vec_normalize", "vec_scan", "vec_sub", "vec_to_json",
 ])
 def test_a_table_of_ties_gives_the_rows_of_the_sql(spark, tmp_path, name):
     """Odd multiples of 1/128, of which row 1 has length 1; row 0, the query vector, has even ones, so sums and differences are odd."""
