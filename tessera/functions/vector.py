@@ -18,6 +18,8 @@ VERSION = "0.1.0"
 STEP = struct.unpack("<f", struct.pack("<f", 2.0 / 255.0))[0]
 #: From here on doubles have no fraction.
 WHOLE = 2.0**53
+#: 32-bit floats end before.
+BEYOND = 2.0**128
 
 
 def doubles(v: Column) -> Column:
@@ -135,10 +137,22 @@ def quantize_int8(v: Column, kind: str = "unit") -> Column:
     return F.transform(doubles(v), lambda x: step(x).cast("tinyint"))
 
 
+def whole_digits(x: Column) -> Column:
+    """The digits of |x|, a whole number from 10^10 up to 2^128, of which Spark's casts keep 17: |x| is a * 2^64 + b, in decimals of
+    32-bit pieces, and 2^64 is 1844674407 * 10^10 + 3709551616."""
+    size, piece = F.abs(x), "decimal(10,0)"
+    at = lambda n: ((size % 2.0 ** (n + 32) - size % 2.0**n) / 2.0**n).cast(piece)
+    number = lambda n: F.lit(n).cast(piece)
+    a, b = (at(n + 32) * number(2**32) + at(n) for n in (64, 0))
+    low, ten = a * number(3709551616) + b, F.lit(10**10).cast("decimal(11,0)")
+    return F.concat((a * number(1844674407) + F.call_function("div", low, ten)).cast("string"), F.lpad((low % ten).cast("string"), 10, "0"))
+
+
 def six_decimals(x: Column) -> Column:
-    """x as C's %.6f writes it: a tie, such as 9/128, goes to the even digit, where format_string goes away from zero. Infinity,
-    null and what has no fraction (2^53 and beyond) are format_string's."""
-    return F.when(F.abs(x) < WHOLE, F.call_function("format_number", x, F.lit("0.000000"))).otherwise(F.format_string("%.6f", x))
+    """x, a 32-bit float, as C's %.6f writes it: a tie, such as 9/128, goes to the even digit, where format_string goes away from
+    zero, and what has no fraction (2^53 and beyond) has all its digits. Infinity, null and larger doubles are format_string's."""
+    whole = F.concat(F.when(x < 0, "-").otherwise(""), whole_digits(x), F.lit(".000000"))
+    return F.when(F.abs(x) < WHOLE, F.call_function("format_number", x, F.lit("0.000000"))).when(F.abs(x) < BEYOND, whole).otherwise(F.format_string("%.6f", x))
 
 
 def to_json(v: Column) -> Column:
@@ -234,6 +248,14 @@ def _sql_matched(out: str) -> str:
             "ELSE raise_error(concat('vector dimensions differ: ', size(a), ' and ', size(b))) END")
 
 
+def _sql_whole_digits() -> str:
+    """As `whole_digits` of x."""
+    at = lambda n: f"cast((abs(x) % {2.0 ** (n + 32)!r}D - abs(x) % {2.0**n!r}D) / {2.0**n!r}D AS DECIMAL(10, 0))"
+    a, b = (f"({at(n + 32)} * 4294967296BD + {at(n)})" for n in (64, 0))
+    low = f"({a} * 3709551616BD + {b})"
+    return f"concat(cast({a} * 1844674407BD + {low} div 10000000000BD AS STRING), lpad(cast({low} % 10000000000BD AS STRING), 10, '0'))"
+
+
 _SUM = "aggregate({}, 0D, (s, x) -> s + x)"
 _SQUARES = "transform({v}, x -> x * x)"
 #: SQL functions: signature and body, which do what the Columns above do, errors included. Parameters have one type each, so
@@ -270,7 +292,8 @@ SQL = {
         f"greatest(-128D, least(127D, (x + 1) / {STEP!r}D - 128))) AS TINYINT)) END",
     "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING":
         "concat('[', array_join(transform(v, x -> CASE WHEN isnan(x) THEN 'null' "
-        f"WHEN abs(x) < {WHOLE!r}D THEN format_number(x, '0.000000') ELSE format_string('%.6f', x) END), ','), ']')",
+        f"WHEN abs(x) < {WHOLE!r}D THEN format_number(x, '0.000000') WHEN abs(x) < {BEYOND!r}D THEN concat(if(x < 0, '-', ''), {_sql_whole_digits()}, '.000000') "
+        "ELSE format_string('%.6f', x) END), ','), ']')",
     "vec_f32(x STRING) RETURNS ARRAY<FLOAT>":
         r"CASE WHEN x IS NULL THEN NULL WHEN x RLIKE r'^\s*\[[-+\s,0-9.eE]*(\]|$)' AND regexp_extract(x, r'^\s*\[([^\]]*)', 1) RLIKE '[0-9]' THEN "
         r"cast(cast(regexp_extract_all(regexp_extract(x, r'^\s*\[([^\]]*)', 1), r'[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?', 0) AS ARRAY<DOUBLE>) AS ARRAY<FLOAT>) "

@@ -382,6 +382,19 @@ def test_a_table_of_ties_gives_the_rows_of_the_sql(spark, tmp_path, name):
     assert got == sorted(con.sql(ORACLE_SQL[name]).fetchall())
 
 
+def test_json_gives_large_floats_all_their_digits_as_the_sql_does(spark, duck):
+    floats = np.random.default_rng(3).integers(2**23, 2**24, 600).astype(float) * 2.0 ** np.arange(30, 105).repeat(8)
+    numbers = [s * float(x) for x in [*floats, *(2.0**k for k in range(40, 128)), 2.0**53 - 2**29, 1e10, 2.0**128 - 2.0**104] for s in (1, -1)]
+    assert all(x == float(np.float32(x)) for x in numbers)
+    df = spark.createDataFrame([(numbers,)], "v array<float>")
+    vec.register(spark)
+    df.createOrReplaceTempView("large")
+    want = [r[0] for r in duck.execute("SELECT printf('%.6f', x) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [numbers]).fetchall()]
+    assert want == [f"{x:.6f}" for x in numbers]
+    for got in (df.select(vec.to_json(F.col("v"))).head()[0], spark.sql("SELECT vec_to_json(v) FROM large").head()[0]):
+        assert got[1:-1].split(",") == want
+
+
 def test_a_worker_gives_places_of_chunks_only(spark):
     """Of a batch whose chunks overlap and hold several times its objects, Python makes two numbers a chunk."""
     rows = [(1, None), (2, ""), (3, "é" * 5000), (4, "a\n\nb" * 900), (5, "日本" * 40_000), (6, None)]
